@@ -113,3 +113,8 @@ def join_covariates(
     other = calendar_date or date
     last = calendar.withColumnRenamed(other, date) if other != date else calendar
     return index.join(data, date, "right").join(last, date, "right")
+
+
+def order_labels(df: DataFrame, label: str, value: str) -> DataFrame:
+    """Rows in the order of a value, ties by label."""
+    return df.orderBy(value, label)

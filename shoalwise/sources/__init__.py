@@ -1,0 +1,3 @@
+from shoalwise.sources.files import normalise_names, read_table, snake_case, write_table
+
+__all__ = ["normalise_names", "read_table", "snake_case", "write_table"]
