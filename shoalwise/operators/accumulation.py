@@ -23,6 +23,12 @@ def _tows(obs: DataFrame, keys: list[str], sample: str, taxon: str, value: str)
     return whole.groupBy(*keys, sample, taxon).agg(sum_or_zero(value).alias("__n"))
 
 
+def _samples(tows: DataFrame, keys: list[str], sample: str) -> DataFrame:
+    """The distinct samples; asking for the catch keeps them on the shuffle of ``tows``."""
+    largest = tows.groupBy(*keys, sample).agg(F.max("__n").alias("__n"))
+    return largest.where(F.col("__n").isNotNull()).select(*keys, sample)
+
+
 def _sample_ranks(
     samples: DataFrame, sizes: DataFrame, keys: list[str], sample: str, permutations: int, seed: int
 ) -> DataFrame:
@@ -64,7 +70,7 @@ def accumulation(
     """
     keys = as_list(keys)
     tows = _tows(obs, keys, sample, taxon, value)
-    samples = tows.select(*keys, sample).distinct()
+    samples = _samples(tows, keys, sample)
     sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("__samples"))
     ranks = _sample_ranks(samples, sizes, keys, sample, permutations, seed)
     present = tows.where(F.col("__n") > 0).select(*keys, sample, taxon)
@@ -100,7 +106,7 @@ def rarefaction(
     """
     keys = as_list(keys)
     tows = _tows(obs, keys, sample, taxon, value)
-    sizes = tows.select(*keys, sample).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("__samples"))
+    sizes = _samples(tows, keys, sample).groupBy(*keys).agg(F.count(F.lit(1)).alias("__samples"))
     found = tows.where(F.col("__n") > 0).groupBy(*keys, taxon).agg(F.count(F.lit(1)).alias("__m"))
     same = found.groupBy(*keys, "__m").agg(F.count(F.lit(1)).alias("__taxa"))
     taxa = same.groupBy(*keys).agg(F.sum("__taxa").alias("__all"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalwise.frames import as_list, attach, lookup
@@ -63,7 +63,7 @@ def diversity(
     value: str = "cpue",
     drop_null_taxon: bool = False,
 ) -> DataFrame:
-    """Total catch, Shannon entropy and Simpson index per key.
+    """Recorded taxa, total catch, Shannon entropy and Simpson index per key.
 
     H = ln N - sum(n ln n) / N over n > 0, so one aggregate over the totals is
     enough: no pivot and no window.  A key whose total is 0 has H = 0.
@@ -75,6 +75,7 @@ def diversity(
         species_totals(rows, keys, taxon, value)
         .groupBy(*keys)
         .agg(
+            F.count(F.lit(1)).alias("taxa"),
             F.sum(n).alias("total"),
             sum_or_zero(F.when(n > 0, n * F.ln(n))).alias("__nlogn"),
             F.sum(n * n).alias("__n2"),
@@ -83,6 +84,7 @@ def diversity(
     total = F.col("total")
     return sums.select(
         *keys,
+        "taxa",
         "total",
         F.when(total > 0, F.ln(total) - F.try_divide(F.col("__nlogn"), total)).otherwise(0.0).alias("shannon"),
         F.when(total > 0, 1 - F.try_divide(F.col("__n2"), total * total)).otherwise(1.0).alias("simpson"),
@@ -156,12 +158,11 @@ def composition(
     if categories is not None:
         rows = rows.where(F.col(category).isin(list(categories)))
     sums = rows.groupBy(*keys, category).agg(sum_or_zero(value).alias("__n"))
-    whole = sums.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     if fill:
         sums = zero_fill(sums, keys, category, "__n", categories)
-    return attach(sums, whole, keys).select(
-        *keys, category, F.try_divide(F.col("__n"), F.col("__total")).alias("share")
-    )
+    # a key has as many rows here as there are categories
+    total = F.sum("__n").over(Window.partitionBy(*keys))
+    return sums.select(*keys, category, F.try_divide(F.col("__n"), total).alias("share"))
 
 
 def occurrence(
@@ -184,9 +185,11 @@ def occurrence(
     keys = as_list(keys)
     months = obs.groupBy(*keys, taxon, year, month).agg(sum_or_zero(value).alias("__n"))
     early = F.col(year) < split_year
+    # asking for the sum keeps this branch on the same shuffle as the next one
     sampled = (
-        months.select(*keys, year, month)
-        .distinct()
+        months.groupBy(*keys, year, month)
+        .agg(F.sum("__n").alias("__n"))
+        .where(F.col("__n").isNotNull())
         .groupBy(*keys)
         .agg(F.count_if(early).alias("__early_months"), F.count_if(~early).alias("__late_months"))
     )

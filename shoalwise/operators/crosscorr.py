@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoalwise.frames import as_list, attach, null_safe_join
+from shoalwise.frames import as_list, attach, durable, null_safe_join
 from shoalwise.functions.columns import missing_as_null, period_index
 from shoalwise.operators.ordered import position
 
@@ -45,6 +45,8 @@ def cross_correlation(
         missing_as_null(F.col(x).cast("double")).alias("__x"),
         missing_as_null(F.col(y).cast("double")).alias("__y"),
     ).na.drop("any", subset=["__t", "__x", "__y"])
+    # the series is read for its moments and for both sides of the lag join
+    rows = durable(rows)
     if index == "rows":
         rows = position(rows, keys, "__t", "__row").drop("__t").withColumnRenamed("__row", "__t")
     stats = rows.groupBy(*keys).agg(

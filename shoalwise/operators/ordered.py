@@ -80,16 +80,20 @@ def cumulative_weights(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], weight: str | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles (the R default) per key, one column each.
 
     Exact without holding a key's values in one buffer: the two order
     statistics next to each probability are picked from running counts.
+    ``weight`` is a count of equal rows.
     """
     keys = as_list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
-    upto = cumulative_weights(rows.withColumn("__n", F.lit(1)), keys, "__x", "__n", "__upto")
+    count = F.col(weight) if weight else F.lit(1)
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).cast("double").alias("__x"), count.alias("__n")
+    )
+    upto = cumulative_weights(rows, keys, "__x", "__n", "__upto")
     sizes = upto.groupBy(*keys).agg(F.max("__upto").alias("__size"))
     placed = null_safe_join(upto, sizes, keys) if keys else upto.withColumn("__size", sizes.select("__size").scalar())
     before = F.col("__upto") - F.col("__n")

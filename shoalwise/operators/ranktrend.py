@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoalwise.frames import as_list, null_safe_join
+from shoalwise.frames import as_list, durable, null_safe_join
 from shoalwise.functions.columns import missing_as_null
 from shoalwise.functions.tails import normal_two_sided
 
@@ -91,6 +91,8 @@ def mann_kendall(
     # one constant group keeps the joins the same when there is no key
     by = groups or ["__all"]
     rows = rows if groups else rows.withColumn("__all", F.lit(1))
+    # the series is read for its time range, its ties and its score
+    rows = durable(rows)
     c = F.col("__c").cast("double")
     ties = (
         rows.groupBy(*by, "__x")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoalwise.frames import as_list, attach, null_safe_join
+from shoalwise.frames import as_list, attach, durable, null_safe_join
 from shoalwise.functions.columns import missing_as_null
 from shoalwise.functions.tails import student_quantile, student_sf2, student_two_sided
 
@@ -240,6 +240,7 @@ def _centred_sums(df: DataFrame, keys: list[str], columns: list[str], weight: st
             F.sum(F.lit(1.0)).alias("weight"),
         )
     w = F.col(weight)
+    df = durable(df)
     means = df.groupBy(*keys).agg(
         *[F.try_divide(F.sum(w * F.col(c)), F.sum(w)).alias(f"__m{i}") for i, c in enumerate(columns)]
     )
@@ -333,6 +334,7 @@ def weighted_polynomial(
     rows = df.select(
         *keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), w.alias("__w")
     ).na.drop("any", subset=["__x", "__y", "__w"])
+    rows = durable(rows)
     centre = rows.groupBy(*keys).agg(F.avg("__x").alias("__c"))
     d = F.col("__x") - F.col("__c")
     power = lambda k: d if k == 1 else power(k - 1) * d

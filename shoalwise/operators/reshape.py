@@ -47,14 +47,17 @@ def zero_fill(
     enter as one array value, no longer than the rows one key has in the output.
     """
     keys = as_list(keys)
-    periods = df.select(*keys).distinct()
+    # both branches also ask for the values, so that Spark reuses one shuffle
+    periods = df.groupBy(*keys).agg(F.max(value).alias("__top"))
     if categories is not None:
         names = F.array(*[F.lit(c) for c in categories])
     else:
-        names = (
-            df.select(category).distinct().agg(F.array_sort(F.collect_list(category)).alias("c")).scalar()
+        found = df.groupBy(category).agg(F.max(value).alias("__top"))
+        listed = found.agg(
+            F.struct(F.array_sort(F.collect_list(category)).alias("names"), F.max("__top").alias("top")).alias("s")
         )
-    grid = periods.withColumn(category, F.explode(names))
+        names = listed.scalar()["names"]
+    grid = periods.select(*keys, F.explode(names).alias(category))
     filled = null_safe_join(grid, df.select(*keys, category, value), [*keys, category], "left")
     return filled.select(*keys, category, F.coalesce(F.col(value), F.lit(fill)).alias(value))
 

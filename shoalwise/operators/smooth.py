@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoalwise.frames import as_list, attach, null_safe_join
+from shoalwise.frames import as_list, attach, durable, null_safe_join
 from shoalwise.functions.columns import missing_as_null
 from shoalwise.operators.ordered import BLOCK, cumulative_weights, exact_quantiles, running_in_blocks
 from shoalwise.operators.regression import each_group
@@ -78,6 +78,7 @@ def local_smooth(
         .groupBy(*keys, "__x")
         .agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__y"))
     )
+    rows = durable(rows)
     if whole:
         blocked = rows.withColumn("__block", F.floor(F.col("__x") / BLOCK))
         ranked = running_in_blocks(blocked, keys, "__block", "__x", F.col("__n"), "__upto").drop("__block")
@@ -137,9 +138,20 @@ def bandwidths(df: DataFrame, keys: str | Sequence[str], x: str) -> DataFrame:
     """Rule-of-thumb bandwidth per key: 0.9 min(sd, IQR / 1.34) n^(-1/5)."""
     keys = as_list(keys)
     rows = df.select(*keys, _as_number(df, x).alias("__x")).where(F.col("__x").isNotNull())
-    quartiles = exact_quantiles(rows, keys, "__x", [0.25, 0.75])
-    spread = rows.groupBy(*keys).agg(
-        F.stddev_samp("__x").alias("__sd"), F.count(F.lit(1)).cast("double").alias("__n")
+    return _bandwidths(durable(rows.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))), keys)
+
+
+def _bandwidths(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Bandwidths from distinct values and their counts."""
+    quartiles = exact_quantiles(rows, keys, "__x", [0.25, 0.75], weight="__n")
+    n, x = F.col("__n"), F.col("__x")
+    centre = rows.groupBy(*keys).agg((F.sum(n * x) / F.sum(n)).alias("__m"))
+    off = x - F.col("__m")
+    spread = (
+        attach(rows, centre, keys)
+        .groupBy(*keys)
+        .agg(F.sum(n).cast("double").alias("__n"), F.sum(n * off * off).alias("__ss"))
+        .withColumn("__sd", F.sqrt(F.try_divide(F.col("__ss"), F.col("__n") - 1)))
     )
     both = attach(spread, quartiles, keys)
     robust = (F.col("q1") - F.col("q0")) / 1.34
@@ -171,9 +183,10 @@ def density(
         .groupBy(*keys, "__x")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
+    rows = durable(rows)
     ends = rows.agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
     if bandwidth is None:
-        shared = bandwidths(df, keys, x).agg(F.avg("bandwidth").alias("b")).scalar()
+        shared = _bandwidths(rows, keys).agg(F.avg("bandwidth").alias("b")).scalar()
     else:
         shared = F.lit(float(bandwidth))
     grid = ends.withColumn("__b", shared).select(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalwise.frames import as_list, null_safe_join
+from shoalwise.frames import as_list
 
 STEPS = ("day", "week", "month", "quarter", "year")
 
@@ -17,15 +17,22 @@ def complete_calendar(
 ) -> DataFrame:
     """One row per key and calendar step between the key's first and last date.
 
-    Dates are expected on step starts (the first of the month for ``month``).
-    The calendar of a key is as long as its date range, so the generated rows
-    never outgrow the output.
+    ``df`` is a series: one row per key and date, on step starts (the first of
+    the month for ``month``).  Each row makes the gap rows up to the next date
+    of its key, so the series is read once; a key has no more rows than its
+    calendar has dates.
     """
     if step not in STEPS:
         raise ValueError(f"step must be one of {STEPS}")
     keys = as_list(keys)
-    span = df.groupBy(*keys).agg(F.min(date).alias("__lo"), F.max(date).alias("__hi"))
-    calendar = span.where(F.col("__lo").isNotNull()).select(
-        *keys, F.explode(F.sequence("__lo", "__hi", F.expr(f"interval 1 {step}"))).alias(date)
+    one = F.expr(f"interval 1 {step}")
+    following = F.lead(date).over(Window.partitionBy(*keys).orderBy(date))
+    last = F.greatest(F.col(date), (F.coalesce("__next", F.col(date)) - one).cast("date"))
+    dated = (
+        df.where(F.col(date).isNotNull())
+        .withColumn("__next", following)
+        .withColumn("__date", F.explode(F.sequence(F.col(date), last, one)))
     )
-    return null_safe_join(calendar, df, [*keys, date], "left").select(*df.columns)
+    own = F.col("__date") == F.col(date)
+    out = {date: F.col("__date").alias(date)} | {k: F.col(k) for k in keys}
+    return dated.select(*[out.get(c, F.when(own, F.col(c)).alias(c)) for c in df.columns])

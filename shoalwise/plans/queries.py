@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalwise import operators as op
+from shoalwise.frames import durable
 from shoalwise.functions import harmonic_terms, season
 from shoalwise.session import ship
 from shoalwise.sources import star
@@ -54,8 +55,8 @@ def monthly_series(spark: SparkSession, folder: str) -> DataFrame:
     """Richness, Shannon entropy and mean order price per month."""
     obs = star.observations(spark, folder)
     price = star.orders(spark, folder).groupBy("date").agg((F.avg("price") / 1000).alias("price"))
-    rich = op.richness(obs, "date").join(op.diversity(obs, "date").select("date", "shannon", "total"), "date")
-    return rich.join(price, "date").withColumns({"year": F.year("date"), "month": F.month("date")})
+    catch = op.diversity(obs, "date").select("date", F.col("taxa").alias("richness"), "shannon", "total")
+    return catch.join(price, "date").withColumns({"year": F.year("date"), "month": F.month("date")})
 
 
 # ------------------------------------------------------------ richness, diversity
@@ -209,7 +210,8 @@ def accumulation_slope(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def slope_quadratic(spark: SparkSession, folder: str) -> DataFrame:
-    slopes = _slopes(spark, folder).select("year", F.col("slope").alias("est"), (1 / F.col("se")).alias("w"))
+    # curves are costly and their slopes few: written once, then fitted
+    slopes = durable(_slopes(spark, folder).select("year", F.col("slope").alias("est"), (1 / F.col("se")).alias("w")))
     fit = op.weighted_polynomial(slopes, [], "est", "year", weights="w")
     return rounded(op.polynomial_values(slopes, fit, [], "year", "quadratic").select("year", "est", "quadratic"), 5)
 
