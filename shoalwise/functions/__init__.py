@@ -7,6 +7,7 @@ from shoalwise.functions.columns import (
     month_start,
     oxygen_saturation,
     oxygen_percent,
+    parsed,
     presence,
     season,
     standard_error,
@@ -25,6 +26,7 @@ __all__ = [
     "normal_two_sided",
     "oxygen_percent",
     "oxygen_saturation",
+    "parsed",
     "period_index",
     "presence",
     "season",

@@ -41,10 +41,14 @@ def _sample_ranks(
     perms = F.explode(F.sequence(F.lit(1), F.lit(permutations)))
     shuffled = attach(samples, sizes, keys).withColumn("__perm", perms)
     digest = F.md5(F.concat_ws("-", F.col(sample).cast("string"), "__perm", F.lit(seed)).cast("binary"))
-    shuffled = shuffled.withColumn("__h", digest).withColumn(
-        "__block", F.when(F.col("__samples") > SPLIT_ABOVE, F.substring("__h", 1, 3)).otherwise("")
+    one = [*keys, "__perm"]
+    large = F.col("__samples") > SPLIT_ABOVE
+    whole = shuffled.where(~large).withColumn(
+        "__rank", F.row_number().over(Window.partitionBy(*one).orderBy(digest))
     )
-    ranked = running_in_blocks(shuffled, [*keys, "__perm"], "__block", "__h", F.lit(1), "__rank")
+    cut = shuffled.where(large).withColumn("__h", digest).withColumn("__block", F.substring("__h", 1, 3))
+    pieces = running_in_blocks(cut, one, "__block", "__h", F.lit(1), "__rank")
+    ranked = whole.select(*one, sample, "__rank").unionByName(pieces.select(*one, sample, "__rank"))
     entry = F.struct("__perm", F.col("__rank").cast("long").alias("__rank"))
     return ranked.groupBy(*keys, sample).agg(
         F.array_sort(F.collect_list(entry))["__rank"].alias("__ranks")
@@ -77,8 +81,8 @@ def accumulation(
     discovered = (
         null_safe_join(present, ranks, [*keys, sample])
         .groupBy(*keys, taxon)
-        .agg(*[F.min(F.get("__ranks", F.lit(p))).alias(f"__p{p}") for p in range(permutations)])
-        .select(*keys, F.explode(F.array(*[f"__p{p}" for p in range(permutations)])).alias("k"))
+        .agg(F.expr(f"array({', '.join(f'min(get(__ranks, {p}))' for p in range(permutations))})").alias("__firsts"))
+        .select(*keys, F.explode("__firsts").alias("k"))
         .groupBy(*keys, "k")
         .agg(F.count(F.lit(1)).alias("__new"))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shoalwise.frames import as_list, attach, lookup
 from shoalwise.functions.columns import sum_or_zero
-from shoalwise.operators.reshape import zero_fill
+from shoalwise.operators.reshape import _filled
 
 
 def species_totals(
@@ -159,10 +159,11 @@ def composition(
         rows = rows.where(F.col(category).isin(list(categories)))
     sums = rows.groupBy(*keys, category).agg(sum_or_zero(value).alias("__n"))
     if fill:
-        sums = zero_fill(sums, keys, category, "__n", categories)
-    # a key has as many rows here as there are categories
-    total = F.sum("__n").over(Window.partitionBy(*keys))
-    return sums.select(*keys, category, F.try_divide(F.col("__n"), total).alias("share"))
+        sums = _filled(sums, keys, category, "__n", categories, 0.0)
+    else:
+        # a key has as many rows here as there are categories
+        sums = sums.withColumn("__total", F.sum("__n").over(Window.partitionBy(*keys)))
+    return sums.select(*keys, category, F.try_divide(F.col("__n"), F.col("__total")).alias("share"))
 
 
 def occurrence(

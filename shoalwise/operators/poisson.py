@@ -12,7 +12,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
@@ -31,6 +31,8 @@ from shoalwise.operators.regression import factor_levels
 MODELS_PER_PASS = 64
 MAX_STEPS = 60
 DEVIANCE_TOLERANCE = 1e-9
+# Neighbouring smoothing parameters are compared on slightly looser fits.
+TRIAL_TOLERANCE = 1e-7
 
 
 @dataclass(frozen=True)
@@ -436,7 +438,9 @@ def _tune(model: Model, sums: dict) -> np.ndarray:
     return best
 
 
-def _fit_all(table: DataFrame, blocks: list[Block], models: list[Model]) -> None:
+def _fit_all(
+    table: DataFrame, blocks: list[Block], models: list[Model], tolerance: float = DEVIANCE_TOLERANCE
+) -> None:
     """Iterate all models together until each has converged."""
     for start in range(0, len(models), MODELS_PER_PASS):
         group = models[start : start + MODELS_PER_PASS]
@@ -456,7 +460,7 @@ def _fit_all(table: DataFrame, blocks: list[Block], models: list[Model]) -> None
                     model.kept = _independent(s["gram"], fixed)
                 if model.beta is not None:
                     fit = _solve(model, s, model.log_lambda)
-                    settled = abs(model.deviance - s["deviance"]) <= DEVIANCE_TOLERANCE * (abs(s["deviance"]) + 0.1)
+                    settled = abs(model.deviance - s["deviance"]) <= tolerance * (abs(s["deviance"]) + 0.1)
                     edf = float(fit["edf"].sum())
                     model.result = {
                         **{key: float(s[key]) for key in ("n", "sum", "deviance", "loglik", "ylogy")},
@@ -484,23 +488,22 @@ def _refine(table: DataFrame, blocks: list[Block], model: Model) -> Model:
 
     All neighbours are fitted in the same passes, starting from the current fit.
     """
-    for step in (1.5, 0.7, 0.3):
-        for _ in range(8):
-            trials = []
-            for j in range(len(model.log_lambda)):
-                for sign in (-1, 1):
-                    moved = model.log_lambda.copy()
-                    moved[j] = np.clip(moved[j] + sign * step, -25, 30)
-                    trials.append(
-                        Model(model.model_id, model.blocks, model.columns, model.penalties, moved, False,
-                              model.beta.copy(), model.kept)
-                    )
-            _fit_all(table, blocks, trials)
-            better = [t for t in trials if t.result and t.result["ubre"] < model.result["ubre"] - 1e-9]
-            if not better:
-                break
-            model = min(better, key=lambda t: t.result["ubre"])
-    return model
+    for _ in range(5):
+        trials = []
+        for j in range(len(model.log_lambda)):
+            for step in (-2.0, -0.8, -0.3, 0.3, 0.8, 2.0):
+                moved = model.log_lambda.copy()
+                moved[j] = np.clip(moved[j] + step, -25, 30)
+                trials.append(replace(model, log_lambda=moved, beta=model.beta.copy(), tune=False,
+                                      deviance=math.inf, done=False, result={}))
+        _fit_all(table, blocks, trials, TRIAL_TOLERANCE)
+        best = min(trials, key=lambda t: t.result.get("ubre", math.inf))
+        if best.result.get("ubre", math.inf) > model.result["ubre"] - 1e-7:
+            break
+        model = best
+    final = replace(model, tune=False, deviance=math.inf, done=False, result={})
+    _fit_all(table, blocks, [final])
+    return final
 
 
 # ---------------------------------------------------------------- results

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,9 @@ from shoalwise.frames import as_list, durable, null_safe_join
 from shoalwise.functions.columns import missing_as_null
 from shoalwise.functions.tails import normal_two_sided
 
+BITS = 4
+RADIX = 1 << BITS
+
 
 def _clock(df: DataFrame, time: str):
     kind = df.schema[time].dataType
@@ -24,50 +27,60 @@ def _clock(df: DataFrame, time: str):
     raise TypeError(f"{time} must be a date, timestamp or whole number")
 
 
+def _signed(counts: str, below: str) -> str:
+    """Sum over digits v of count_v * (below at smaller digits - below at larger ones)."""
+    everything = " + ".join(f"{below}{u}" for u in range(RADIX))
+    terms = []
+    for v in range(RADIX):
+        earlier = " + ".join(f"{below}{u}" for u in range(v)) or "0"
+        terms.append(f"{counts}{v} * (2 * ({earlier}) + {below}{v} - ({everything}))")
+    return " + ".join(terms)
+
+
 def _score(rows: DataFrame, groups: list[str]) -> DataFrame:
     """S = sum over i < j of sign(x_j - x_i), per group, without forming pairs.
 
-    Two times first differ in one bit.  For every bit, points that agree above
-    it form a cell, with the bit splitting it into an earlier and a later half;
-    S of a cell follows from counts per value in value order.  Each point is
-    repeated once per bit of the time range.  The value order is cut by range
-    partitioning and the cuts are combined from their totals, so neither a long
-    series nor a large cell ever sits in one task.
+    Write the times in base 16.  Two times first differ in one digit: for every
+    digit place, points that agree above it form a cell, and the place orders
+    them.  S of a cell follows from running counts per digit in value order, so
+    each point is repeated once per digit of the time range, not once per
+    partner.  The value order is cut by range partitioning and the cuts are
+    combined from their counts, so neither a long series nor a large cell ever
+    sits in one task.
     """
     span = rows.agg(F.struct(F.min("__t").alias("lo"), F.max("__t").alias("hi")).alias("s")).scalar()
     timed = rows.withColumn("__span", span)
-    bits = F.length(F.bin(F.col("__span.hi") - F.col("__span.lo")))
+    places = F.length(F.hex(F.col("__span.hi") - F.col("__span.lo")))
     t = F.col("__t") - F.col("__span.lo")
-    by_bit = timed.select(
-        *groups, "__x", t.alias("__t"), F.explode(F.sequence(F.lit(0), bits - 1)).alias("__bit")
+    by_place = timed.select(
+        *groups, "__x", t.alias("__t"), F.explode(F.sequence(F.lit(0), places - 1)).alias("__place")
     )
-    later = F.expr("shiftright(__t, __bit) & 1")
-    cell = [*groups, "__bit", "__cell"]
+    cell = [*groups, "__place", "__cell"]
+    digits = range(RADIX)
     counts = (
-        by_bit.withColumns({"__cell": F.expr("shiftright(__t, __bit + 1)"), "__late": later})
+        by_place.withColumns(
+            {
+                "__cell": F.expr(f"shiftright(__t, {BITS} * (__place + 1))"),
+                "__digit": F.expr(f"shiftright(__t, {BITS} * __place) & {RADIX - 1}"),
+            }
+        )
         .groupBy(*cell, "__x")
-        .agg(F.sum(1 - F.col("__late")).alias("__e"), F.sum("__late").alias("__l"))
+        .agg(*[F.expr(f"count_if(__digit = {v}) AS c{v}") for v in digits])
     )
     cut = counts.repartitionByRange(*cell, "__x").withColumn("__cut", F.spark_partition_id())
 
-    def below(by: list[str], order: str):
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("__e").over(w), F.lit(0))
+    def below(df: DataFrame, by: list[str], order: str) -> DataFrame:
+        """Add the counts at strictly smaller positions."""
+        over = f"PARTITION BY {', '.join(f'`{c}`' for c in by)} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        return df.select("*", *[F.expr(f"coalesce(sum(c{v}) OVER ({over}), 0) AS b{v}") for v in digits])
 
-    e, l = F.col("__e"), F.col("__l")
-    # l * (earlier below - earlier above), where above = all - below - equal
     inside = (
-        cut.withColumn("__a", l * (2 * below([*cell, "__cut"], "__x") + e))
+        below(cut, [*cell, "__cut"], "__x")
         .groupBy(*cell, "__cut")
-        .agg(F.sum("__a").alias("__a"), F.sum(e).alias("__e"), F.sum(l).alias("__l"))
-        .withColumn("__own", F.col("__a") - e * l)
-    )
-    cells = (
-        inside.withColumn("__c", F.col("__own") + l * (2 * below(cell, "__cut") + e))
-        .groupBy(*cell)
-        .agg((F.sum("__c") - F.sum(e) * F.sum(l)).alias("__s"))
+        .agg(F.expr(f"sum({_signed('c', 'b')}) AS __own"), *[F.expr(f"sum(c{v}) AS c{v}") for v in digits])
     )
-    return cells.groupBy(*groups).agg(F.sum("__s").alias("s"))
+    across = below(inside, cell, "__cut")
+    return across.groupBy(*groups).agg(F.expr(f"sum(__own + {_signed('c', 'b')}) AS s"))
 
 
 def mann_kendall(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoalwise.frames import as_list, null_safe_join
-from shoalwise.functions.columns import missing_as_null
+from shoalwise.functions.columns import missing_as_null, parsed
 
 
 def widen(
@@ -46,9 +46,15 @@ def zero_fill(
     Without a category list the distinct names found in ``df`` are used.  They
     enter as one array value, no longer than the rows one key has in the output.
     """
-    keys = as_list(keys)
+    return _filled(df, as_list(keys), category, value, categories, fill).drop("__total")
+
+
+def _filled(
+    df: DataFrame, keys: list[str], category: str, value: str, categories: Sequence | None, fill: float
+) -> DataFrame:
+    """The filled rows with the total of their key."""
     # both branches also ask for the values, so that Spark reuses one shuffle
-    periods = df.groupBy(*keys).agg(F.max(value).alias("__top"))
+    periods = df.groupBy(*keys).agg(F.sum(value).alias("__total"))
     if categories is not None:
         names = F.array(*[F.lit(c) for c in categories])
     else:
@@ -57,9 +63,9 @@ def zero_fill(
             F.struct(F.array_sort(F.collect_list(category)).alias("names"), F.max("__top").alias("top")).alias("s")
         )
         names = listed.scalar()["names"]
-    grid = periods.select(*keys, F.explode(names).alias(category))
+    grid = periods.select(*keys, "__total", F.explode(names).alias(category))
     filled = null_safe_join(grid, df.select(*keys, category, value), [*keys, category], "left")
-    return filled.select(*keys, category, F.coalesce(F.col(value), F.lit(fill)).alias(value))
+    return filled.select(*keys, category, F.coalesce(F.col(value), F.lit(fill)).alias(value), "__total")
 
 
 def repeat_rows(df: DataFrame, freq: str) -> DataFrame:
@@ -84,9 +90,11 @@ def split_id(
     df: DataFrame, column: str, into: Sequence[tuple[str, str]], separator: str = "-"
 ) -> DataFrame:
     """Replace a composite id by typed parts; parts that do not parse are NULL."""
-    parts = F.split(F.col(column), separator)
+    def part(i: int) -> Column:
+        return F.nullif(F.split_part(F.col(column), F.lit(separator), F.lit(i + 1)), F.lit(""))
+
     rest = [c for c in df.columns if c != column]
-    typed = [F.get(parts, F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(into)]
+    typed = [parsed(part(i), kind).alias(name) for i, (name, kind) in enumerate(into)]
     return df.select(*typed, *rest)
 
 

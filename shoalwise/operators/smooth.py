@@ -94,19 +94,15 @@ def local_smooth(
     stats = stats.withColumn("__q", F.greatest(reach, F.lit(1)))
     spans = _neighbour_spans(attach(ranked, stats, keys), keys)
 
-    def at(k: int) -> Column:
-        return F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (k / max(points - 1, 1))
-
-    widths = spans.groupBy(*keys).agg(
-        F.array(
-            *[
-                F.struct(
-                    F.max(at(k)).alias("g"),
-                    (F.min(F.greatest(at(k) - F.col("__left"), F.col("__right") - at(k))) * max(span, 1.0)).alias("h"),
-                )
-                for k in range(points)
-            ]
-        ).alias("__grid")
+    share = [k / max(points - 1, 1) for k in range(points)]
+    least = [
+        f"min(greatest(__lo + (__hi - __lo) * {s!r}D - __left, __right - __lo - (__hi - __lo) * {s!r}D))" for s in share
+    ]
+    grid = [f"struct(__lo + (__hi - __lo) * {s!r}D AS g, __h[{k}] * {max(span, 1.0)!r}D AS h)" for k, s in enumerate(share)]
+    widths = (
+        spans.groupBy(*keys)
+        .agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.expr(f"array({', '.join(least)})").alias("__h"))
+        .select(*keys, F.expr(f"array({', '.join(grid)})").alias("__grid"))
     )
     placed = attach(rows, widths, keys).select(*keys, "__x", "__n", "__y", F.inline("__grid"))
     u = F.try_divide(F.col("__x") - F.col("g"), F.col("h"))

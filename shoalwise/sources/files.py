@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalwise.functions.columns import missing_as_null
+from shoalwise.functions.columns import missing_as_null, parsed
 from shoalwise.operators.reshape import nan_to_null
 
 
@@ -52,9 +52,9 @@ def read_table(
     missing = [c for c in schema if c not in named.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
-    out = []
+    out, found = [], dict(named.dtypes)
     for name, kind in schema.items():
-        typed = F.col(name).try_cast(kind)
+        typed = parsed(name, kind) if found[name] == "string" else F.col(name).try_cast(kind)
         out.append((missing_as_null(typed) if kind in ("double", "float") else typed).alias(name))
     return named.select(*out)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalwise.frames import lookup
-from shoalwise.functions.columns import month_start
+from shoalwise.functions.columns import month_start, parsed
 from shoalwise.operators.reshape import drop_index_column, split_id
 from shoalwise.sources.files import read_table
 
@@ -108,7 +108,7 @@ def traits(spark: SparkSession, path: str, survey: str, fmt: str = "csv") -> Dat
         return value.cast("string").alias(c)
 
     def number(c: str):
-        value = F.col(c).try_cast("double") if c in raw.columns else F.lit(None).cast("double")
+        value = parsed(F.col(c).cast("string"), "double") if c in raw.columns else F.lit(None).cast("double")
         return F.when(~F.isnan(value), value).alias(c)
 
     return raw.select(
@@ -123,8 +123,8 @@ def species_ranges(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     raw = drop_index_column(read_table(spark, path, None, fmt))
     return raw.select(
         F.col("common_name").alias("taxon_name"),
-        F.col("upperlat").try_cast("double").alias("upper_lat"),
-        F.col("lowerlat").try_cast("double").alias("lower_lat"),
+        parsed(F.col("upperlat").cast("string"), "double").alias("upper_lat"),
+        parsed(F.col("lowerlat").cast("string"), "double").alias("lower_lat"),
     )
 
 
@@ -161,7 +161,7 @@ def bay_regions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """The wide regional file as rows of date, region, metric type and value."""
     raw = read_table(spark, path, None, fmt)
     columns = [c for c in raw.columns if c != "date"]
-    entry = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).try_cast("double").alias("value")) for c in columns])
+    entry = F.array(*[F.struct(F.lit(c).alias("metric"), parsed(F.col(c).cast("string"), "double").alias("value")) for c in columns])
     # Metric suffixes and region prefixes of the file.
     kind = (
         F.when(F.col("metric").endswith("shann"), "Diversity")
