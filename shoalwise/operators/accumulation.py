@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shoalwise.frames import as_list, attach, null_safe_join
 from shoalwise.functions.columns import log_factorial, sum_or_zero
-from shoalwise.operators.ordered import BLOCK, number_line, running_in_blocks
+from shoalwise.operators.ordered import number_line, running_in_blocks
 
 # Keys with more samples than this are ranked in hash blocks.
 SPLIT_ABOVE = 100_000
