@@ -56,19 +56,27 @@ def cross_correlation(
         F.stddev_pop("__y").alias("__sy"),
         F.count(F.lit(1)).alias("__n"),
     )
-    centred = attach(rows, stats, keys)
+    # rows that share a time enter the products through their sums
+    centred = (
+        attach(rows, stats, keys)
+        .groupBy(*keys, "__t")
+        .agg(
+            F.sum(F.col("__x") - F.col("__mx")).alias("__dx"),
+            F.sum(F.col("__y") - F.col("__my")).alias("__dy"),
+        )
+    )
     size = max(max_lag + 1, 64)
     block = lambda t: F.floor(t / size)
     left = centred.select(
         *keys,
         F.col("__t").alias("__tx"),
-        (F.col("__x") - F.col("__mx")).alias("__dx"),
+        "__dx",
         block(F.col("__t")).alias("__block"),
     )
     right = centred.select(
         *keys,
         F.col("__t").alias("__ty"),
-        (F.col("__y") - F.col("__my")).alias("__dy"),
+        "__dy",
         F.explode(F.sequence(block(F.col("__t") - max_lag), block(F.col("__t") + max_lag))).alias("__block"),
     )
     lag = F.col("__tx") - F.col("__ty")

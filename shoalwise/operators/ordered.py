@@ -8,6 +8,7 @@ per block across them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Literal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,32 +18,36 @@ from shoalwise.frames import as_list, durable, null_safe_join
 BLOCK = 4096
 
 
-def _carried(df: DataFrame, keys: list[str], block: str, weight: Column, out: str) -> DataFrame:
-    """Per key and block: the weight in all earlier blocks of the key."""
-    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, block).agg(F.sum(weight).alias("__w"))
-    return totals.select(*keys, block, F.coalesce(F.sum("__w").over(earlier), F.lit(0)).alias(out))
-
-
 def running_in_blocks(
-    df: DataFrame, keys: Sequence[str], block: str, order: str, weight: Column, out: str
+    df: DataFrame,
+    keys: Sequence[str],
+    block: str,
+    order: str,
+    value: Column,
+    out: str,
+    how: Literal["sum", "max"] = "sum",
 ) -> DataFrame:
-    """Running total of ``weight`` over ``order`` within each key.
+    """Running sum or maximum of ``value`` over ``order`` within each key; ties are included.
 
     ``block`` must never decrease as ``order`` grows, and must be the same each
     time it is computed.
     """
     keys = as_list(keys)
-    inside = (
-        Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = df.withColumn("__local", F.sum(weight).over(inside))
-    offsets = _carried(df, keys, block, weight, "__before")
-    return (
-        null_safe_join(local, offsets, [*keys, block])
-        .withColumn(out, F.col("__local") + F.col("__before"))
-        .drop("__local", "__before")
+    fold = F.sum if how == "sum" else F.max
+    inside = Window.partitionBy(*keys, block).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    local = df.withColumn("__local", fold(value).over(inside))
+    carried = (
+        df.groupBy(*keys, block)
+        .agg(fold(value).alias("__v"))
+        .select(*keys, block, fold("__v").over(earlier).alias("__before"))
     )
+    joined = null_safe_join(local, carried, [*keys, block])
+    if how == "sum":
+        total = F.col("__local") + F.coalesce("__before", F.lit(0))
+    else:
+        total = F.greatest("__local", "__before")
+    return joined.withColumn(out, total).drop("__local", "__before")
 
 
 def position(df: DataFrame, keys: Sequence[str], index: str, out: str = "position") -> DataFrame:

@@ -33,25 +33,24 @@ def _as_number(df: DataFrame, column: str) -> Column:
 def _neighbour_spans(ranked: DataFrame, keys: list[str]) -> DataFrame:
     """For every x the nearest x' >= x such that [x, x'] holds q points.
 
-    x' sits at the rank q - 1 above the first rank of x.  Ranks fall into
-    buckets of even width, and a value enters every bucket its ranks touch, so
-    the look-up is an equi-join on the bucket.
+    x' sits at the rank q - 1 above the first rank of x.  It is the largest
+    value whose first rank is not above that: values and look-ups are put on
+    one line of ranks, and a running maximum over blocks of ranks answers all.
     """
-    width = F.greatest(F.lit(64), F.ceil(F.try_divide(F.col("__size"), F.col("__distinct"))))
     first = F.col("__upto") - F.col("__n") + 1
+    wanted = first + F.col("__q") - 1
     values = ranked.select(
-        *keys,
-        F.col("__x").alias("__right"),
-        first.alias("__first"),
-        F.col("__upto").alias("__last"),
-        F.explode(F.sequence(F.floor(first / width), F.floor(F.col("__upto") / width))).alias("__bucket"),
+        *keys, "__lo", "__hi", "__size", first.alias("__rank"),
+        F.col("__x").alias("__value"), F.lit(None).cast("double").alias("__left"),
     )
-    wanted = F.col("__upto") - F.col("__n") + F.col("__q")
     starts = ranked.where(wanted <= F.col("__size")).select(
-        *keys, F.col("__x").alias("__left"), "__lo", "__hi", wanted.alias("__rank"), F.floor(wanted / width).alias("__bucket")
+        *keys, "__lo", "__hi", "__size", wanted.alias("__rank"),
+        F.lit(None).cast("double").alias("__value"), F.col("__x").alias("__left"),
     )
-    pairs = null_safe_join(starts, values, [*keys, "__bucket"])
-    return pairs.where((F.col("__rank") >= F.col("__first")) & (F.col("__rank") <= F.col("__last")))
+    width = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt("__size")))
+    line = values.unionByName(starts).withColumn("__block", F.floor(F.col("__rank") / width))
+    answered = running_in_blocks(line, keys, "__block", "__rank", F.col("__value"), "__right", "max")
+    return answered.where(F.col("__left").isNotNull())
 
 
 def local_smooth(

@@ -21,7 +21,7 @@ FISH = "grp IN ('SMALL', 'STANDARD')"
 ORDERS = """ord AS (
   SELECT CAST(o_orderdate AS DATE) AS day, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
          CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
-         o_totalprice AS price, o_orderstatus AS status FROM orders)"""
+         o_totalprice / 97 AS price, o_orderstatus AS status FROM orders)"""
 
 
 def r(expr: str, digits: int = 6) -> str:

@@ -74,7 +74,7 @@ def seasonal_richness(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def fish_richness(spark: SparkSession, folder: str) -> DataFrame:
-    return op.complete_calendar(op.richness(fish(star.named_observations(spark, folder)), "date"))
+    return op.complete_calendar(op.richness(fish(star.named_totals(spark, folder, ["date"])), "date"))
 
 
 @query
@@ -124,7 +124,7 @@ def regional_shannon(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def species_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return op.species_totals(star.named_observations(spark, folder), ["year", "month"], "taxon_name")
+    return op.species_totals(star.named_totals(spark, folder, ["year", "month"]), ["year", "month"], "taxon_name")
 
 
 # ------------------------------------------------------------ composition, occurrence
@@ -132,20 +132,20 @@ def species_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def composition_share(spark: SparkSession, folder: str) -> DataFrame:
-    obs = star.named_observations(spark, folder)
-    return rounded(op.composition(obs, ["survey", "year"], "grp"), 8)
+    totals = star.named_totals(spark, folder, ["survey", "year"])
+    return rounded(op.composition(totals, ["survey", "year"], "grp"), 8)
 
 
 @query
 def composition_filled(spark: SparkSession, folder: str) -> DataFrame:
     """Shares per station and month, where most categories are absent."""
-    obs = star.named_observations(spark, folder)
-    return rounded(op.composition(obs, ["station", "date"], "taxon_name"), 8)
+    totals = star.named_totals(spark, folder, ["station", "date"])
+    return rounded(op.composition(totals, ["station", "date"], "taxon_name"), 8)
 
 
 @query
 def composition_wide(spark: SparkSession, folder: str) -> DataFrame:
-    shares = op.composition(star.named_observations(spark, folder), "date", "grp", categories=star.PART_TYPES)
+    shares = op.composition(star.named_totals(spark, folder, ["date"]), "date", "grp", categories=star.PART_TYPES)
     return rounded(op.widen(shares, "date", "grp", "share", star.PART_TYPES), 8)
 
 
@@ -220,12 +220,12 @@ def slope_quadratic(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _traits(spark: SparkSession, folder: str) -> DataFrame:
-    obs = star.named_observations(spark, folder)
+    obs = star.named_totals(spark, folder, ["year"])
     return op.trait_trend(obs, star.traits(spark, folder), ["trophic_level", "temp_mean"])
 
 
 def _latitude(spark: SparkSession, folder: str) -> DataFrame:
-    return op.latitude_trend(star.named_observations(spark, folder), star.traits(spark, folder))
+    return op.latitude_trend(star.named_totals(spark, folder, ["year"]), star.traits(spark, folder))
 
 
 def _lengths(spark: SparkSession, folder: str) -> DataFrame:

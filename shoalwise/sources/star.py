@@ -1,5 +1,6 @@
 """The supplied star-schema tables read as survey data.
 
+Lengths and prices are divided by 97 so that means do not fall on rounding ties.
 A line item is an observation: the order is the sample, the supplier the
 station, the part the taxon and the quantity the catch.
 """
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoalwise.frames import lookup
+from shoalwise.operators.community import species_totals
+
 # Part types standing in for fish groups, and all part types.
 FISH_TYPES = ("SMALL", "STANDARD")
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -39,9 +43,14 @@ def species(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def named_observations(spark: SparkSession, folder: str) -> DataFrame:
-    """Observations with species name and group.  The part key is unique by design."""
-    return observations(spark, folder).join(species(spark, folder), "taxon", "left")
+def named_totals(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """Catch per key and taxon with the taxon's name and group.
+
+    Observations are summed before the lookup, so the join moves one row per
+    key and taxon and a dominant taxon is no heavier than any other.
+    """
+    totals = species_totals(observations(spark, folder), keys).withColumnRenamed("n", "cpue")
+    return lookup(totals, species(spark, folder), "taxon")
 
 
 def station_regions(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,7 +97,7 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
         F.trunc(day, "month").alias("date"),
         F.year(day).alias("year"),
         F.month(day).alias("month"),
-        F.col("o_totalprice").alias("price"),
+        (F.col("o_totalprice") / 97).alias("price"),
         F.col("o_orderstatus").alias("status"),
     )
 

@@ -101,6 +101,18 @@ def test_cross_correlation_short_series(spark):
     assert sorted(r["lag"] for r in got) == [-2, -1, 0, 1, 2]
 
 
+def test_cross_correlation_repeated_times(spark):
+    """Rows that share a time are all paired, without being paired one by one."""
+    rng = np.random.default_rng(10)
+    t = rng.integers(0, 6, 120)
+    x, y = rng.normal(size=120), rng.normal(size=120)
+    df = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(t, x, y)], "t int, x double, y double")
+    dx, dy = x - x.mean(), y - y.mean()
+    for r in op.cross_correlation(df, [], "t", "x", "y", 3).collect():
+        want = sum(dx[i] * dy[j] for i in range(120) for j in range(120) if t[i] - t[j] == r["lag"])
+        assert r["r"] == pytest.approx(want / (120 * x.std() * y.std()))
+
+
 def loess(x, y, g, span):
     q = max(int(math.floor(len(x) * min(span, 1) + 1e-5)), 1)
     h = np.sort(np.abs(x - g))[q - 1] * max(span, 1)
