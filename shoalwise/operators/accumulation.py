@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalwise.frames import as_list, attach, null_safe_join
+from shoalwise.frames import as_list, attach, durable, null_safe_join
 from shoalwise.functions.columns import log_factorial, sum_or_zero
 from shoalwise.operators.ordered import number_line, running_in_blocks
 
@@ -18,15 +18,13 @@ CUTOFF = 45.0
 
 
 def _tows(obs: DataFrame, keys: list[str], sample: str, taxon: str, value: str) -> DataFrame:
-    """One row per key, sample and taxon with its summed catch; incomplete rows dropped."""
-    whole = obs.where(F.col(sample).isNotNull() & F.col(taxon).isNotNull())
-    return whole.groupBy(*keys, sample, taxon).agg(sum_or_zero(value).alias("__n"))
-
+    """One row per key, sample and taxon with its summed catch; incomplete rows dropped.
 
-def _samples(tows: DataFrame, keys: list[str], sample: str) -> DataFrame:
-    """The distinct samples; asking for the catch keeps them on the shuffle of ``tows``."""
-    largest = tows.groupBy(*keys, sample).agg(F.max("__n").alias("__n"))
-    return largest.where(F.col("__n").isNotNull()).select(*keys, sample)
+    Written once: the observations are read a single time, and what follows
+    reads this much smaller table.
+    """
+    whole = obs.where(F.col(sample).isNotNull() & F.col(taxon).isNotNull())
+    return durable(whole.groupBy(*keys, sample, taxon).agg(sum_or_zero(value).alias("__n")))
 
 
 def _sample_ranks(
@@ -74,7 +72,7 @@ def accumulation(
     """
     keys = as_list(keys)
     tows = _tows(obs, keys, sample, taxon, value)
-    samples = _samples(tows, keys, sample)
+    samples = durable(tows.select(*keys, sample).distinct())
     sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("__samples"))
     ranks = _sample_ranks(samples, sizes, keys, sample, permutations, seed)
     present = tows.where(F.col("__n") > 0).select(*keys, sample, taxon)
@@ -110,7 +108,7 @@ def rarefaction(
     """
     keys = as_list(keys)
     tows = _tows(obs, keys, sample, taxon, value)
-    sizes = _samples(tows, keys, sample).groupBy(*keys).agg(F.count(F.lit(1)).alias("__samples"))
+    sizes = tows.select(*keys, sample).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("__samples"))
     found = tows.where(F.col("__n") > 0).groupBy(*keys, taxon).agg(F.count(F.lit(1)).alias("__m"))
     same = found.groupBy(*keys, "__m").agg(F.count(F.lit(1)).alias("__taxa"))
     taxa = same.groupBy(*keys).agg(F.sum("__taxa").alias("__all"))

@@ -90,12 +90,12 @@ def split_id(
     df: DataFrame, column: str, into: Sequence[tuple[str, str]], separator: str = "-"
 ) -> DataFrame:
     """Replace a composite id by typed parts; parts that do not parse are NULL."""
-    def part(i: int) -> Column:
-        return F.nullif(F.split_part(F.col(column), F.lit(separator), F.lit(i + 1)), F.lit(""))
-
     rest = [c for c in df.columns if c != column]
-    typed = [parsed(part(i), kind).alias(name) for i, (name, kind) in enumerate(into)]
-    return df.select(*typed, *rest)
+    names = [name for name, _ in into]
+    # split once, then each text part once, before the parts are matched and cast
+    pieces = df.withColumn("__parts", F.split(F.col(column), f"\\Q{separator}\\E"))
+    text = pieces.select(*[F.nullif(F.get("__parts", F.lit(i)), F.lit("")).alias(f"__{n}") for i, n in enumerate(names)], *rest)
+    return text.select(*[parsed(f"__{name}", kind).alias(name) for name, kind in into], *rest)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
