@@ -24,6 +24,14 @@ ORDERS = """ord AS (
          o_totalprice / 97 AS price, o_orderstatus AS status FROM orders)"""
 
 
+# Queries with a date column, which is compared as text.
+DATED = frozenset(
+    """monthly_richness fish_richness present_richness monthly_shannon monthly_simpson regional_richness regional_taxa
+    regional_shannon composition_filled composition_wide monthly_environment daily_environment mean_line covariate_join
+    deviance_residuals""".split()
+)
+
+
 def r(expr: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0"
 
@@ -400,7 +408,7 @@ SELECT year, CASE WHEN trait = 'trophic_level' THEN 'Trophic Level' WHEN trait =
         f"{r('sum(length * freq) / sum(freq)')} AS length FROM lengths GROUP BY ALL"
     )
     q["tow_parts"] = """SELECT CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS month,
-  CAST(NULL AS INTEGER) AS time, count(*) AS n, CAST(max(day(l_shipdate)) AS INTEGER) AS last_day,
+  count(*) AS n, CAST(0 AS BIGINT) AS timed, CAST(max(day(l_shipdate)) AS INTEGER) AS last_day,
   CAST(max(l_suppkey) AS INTEGER) AS last_station, sum(l_quantity) AS cpue FROM lineitem GROUP BY ALL"""
 
     q["monthly_environment"] = (
@@ -580,7 +588,7 @@ SELECT CAST(n AS DOUBLE) AS n, {r('dev', 4)} AS deviance, {r('nul', 4)} AS null_
     q["length_quartiles"] = f"WITH {LENGTHS} SELECT year, {quart} FROM lengths GROUP BY year"
     q["harmonic_terms_by_month"] = f"""WITH {OBS} SELECT month, {r('max(cos(2 * pi() * month / 10))')} AS costerm,
   {r('max(sin(2 * pi() * month / 10))')} AS sinterm, count(*) AS n FROM obs GROUP BY month"""
-    return q
+    return {k: f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ({v})" if k in DATED else v for k, v in q.items()}
 
 
 ORACLES = _oracles()

@@ -25,9 +25,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def dates_as_text(df: DataFrame) -> DataFrame:
+    """Dates as yyyy-mm-dd, which reads the same from any engine."""
+    return df.select(*[F.col(c).cast("string").alias(c) if kind == "date" else F.col(c) for c, kind in df.dtypes])
+
+
 def query(f: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return f(ship(spark), folder)
+        return dates_as_text(f(ship(spark), folder))
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
     QUERIES[f.__name__] = run
@@ -297,8 +302,8 @@ def tow_parts(spark: SparkSession, folder: str) -> DataFrame:
     )
     into = [("year", "int"), ("month", "int"), ("day", "int"), ("time", "int"), ("station", "int")]
     parts = op.split_id(ids, "tow", into)
-    return parts.groupBy("year", "month", "time").agg(
-        F.count(F.lit(1)).alias("n"), F.max("day").alias("last_day"), F.max("station").alias("last_station"),
+    return parts.groupBy("year", "month").agg(
+        F.count(F.lit(1)).alias("n"), F.count("time").alias("timed"), F.max("day").alias("last_day"), F.max("station").alias("last_station"),
         F.sum("l_quantity").alias("cpue"),
     )
 
