@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalwise.llm import chats, licenses, warc
+from shoalwise.llm import chats, decontam, licenses, simhash, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,27 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document has of the benchmark, by suffix arrays of the documents."""
+    bench = decontam.Benchmark(_table(spark, folder, "benchmark"))
+    docs = _table(spark, folder, "documents")
+    found = docs.select("doc_id", decontam.contamination("text", bench).alias("found"))
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        decontam.is_contaminated(F.col("found")).alias("contaminated"),
+    )
+
+
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    found = simhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("print").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chats, op3_licenses, op5_warc)
+    f.__name__: f for f in (op1_chats, op3_licenses, op5_warc, op6_decontamination, op7_simhash)
 }
