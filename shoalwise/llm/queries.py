@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalwise.llm import chats, decontam, licenses, simhash, warc
+from shoalwise.llm import chats, decontam, licenses, mixing, simhash, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("print").alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix_documents(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chats, op3_licenses, op5_warc, op6_decontamination, op7_simhash)
+    f.__name__: f for f in (op1_chats, op3_licenses, op5_warc, op6_decontamination, op7_simhash, op8_mixing)
 }
