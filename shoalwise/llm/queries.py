@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalwise.llm import chats, decontam, licenses, mixing, simhash, warc
+from shoalwise.llm import chats, decontam, licenses, mixing, private, simhash, toxicity, warc
+from shoalwise.llm.common import crc_remainder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -88,6 +89,42 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, folder, "documents"))
 
 
+def op2_private(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: exact patterns and what the random field adds."""
+    docs = _table(spark, folder, "documents")
+    field = private.train(docs)
+    found = docs.select("doc_id", private.find_private("text", field).alias("spans"))
+    base = F.filter("spans", lambda s: s["base"])
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in private.KINDS],
+        F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
+        text("spans").alias("spans"),
+    )
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _table(spark, folder, "documents")
+    model = toxicity.train(docs, _table(spark, folder, "labels"))
+    scored = docs.select(
+        "doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), toxicity.score("text", model).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chats, op3_licenses, op5_warc, op6_decontamination, op7_simhash, op8_mixing)
+    f.__name__: f
+    for f in (
+        op1_chats,
+        op2_private,
+        op3_licenses,
+        op4_toxicity,
+        op5_warc,
+        op6_decontamination,
+        op7_simhash,
+        op8_mixing,
+    )
 }
