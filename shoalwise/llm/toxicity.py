@@ -4,7 +4,7 @@ A linear classifier over hashed word and word-start features learns from
 documents that are confirmed toxic and from unlabelled documents.  With the
 class prior p, the risk on negatives is estimated as the risk of the unlabelled
 taken as negatives, less p times that of the positives taken as negatives; where
-a batch makes this estimate negative, the step goes the other way.
+this estimate is negative, the step goes the other way.
 """
 
 from __future__ import annotations
@@ -39,65 +39,73 @@ def features(text: bytes) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights, bias and the class prior; a document's score is the logistic of its mean-scaled sum."""
+    """Weights, bias, weight of the text's length (log of its number of features), and the class prior."""
 
     weights: np.ndarray
     bias: float
     prior: float
+    length: float = 0.0
 
     def score(self, text: bytes) -> float:
         at = features(text)
-        z = self.bias + (self.weights[at].sum() / np.sqrt(len(at)) if len(at) else 0.0)
+        z = self.bias + self.length * np.log1p(len(at)) + self.weights[at].sum()
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], lift: float = 2.0, errors: float = 6.0) -> np.ndarray:
+    """Features that are ``lift`` times as frequent among the positives, by at least ``errors`` standard errors.
+
+    Unlabelled documents contain toxic ones, so a feature of toxic texts alone
+    has a lift of one over the prior.
+    """
+    with_p = np.bincount(np.concatenate(positive), minlength=WIDTH) / len(positive)
+    with_u = (np.bincount(np.concatenate(unlabelled), minlength=WIDTH) + 1) / (len(unlabelled) + 1)
+    error = np.sqrt(with_u * np.maximum(1 - with_u, 1e-3) / len(positive))
+    return np.flatnonzero((with_p > lift * with_u) & (with_p - with_u > errors * error))
+
+
 def fit(
     positive: list[np.ndarray],
     unlabelled: list[np.ndarray],
     prior: float,
-    epochs: int = 12,
-    batch: int = 250,
+    steps: int = 200,
     rate: float = 0.05,
-    decay: float = 1e-5,
-    seed: int = 4,
+    decay: float = 1e-3,
 ) -> Model:
-    """Adam on the non-negative risk with the logistic loss; equal inputs give equal models."""
-    model = Model(np.zeros(WIDTH, dtype=np.float64), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), prior)
+    """Adam on the non-negative risk with the logistic loss over all examples; equal inputs give equal models."""
+    model = Model(np.zeros(WIDTH), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), prior)
     if not positive or not unlabelled:
         return model
-    rng = np.random.default_rng(seed)
-    first, second = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
-    steps = max(1, len(unlabelled) // batch)
-    t = 0
-    for _ in range(epochs):
-        p_order, u_order = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
-        for s in range(steps):
-            u = [unlabelled[i] for i in u_order[s * batch : (s + 1) * batch]]
-            p = [positive[p_order[(s * batch // 2 + i) % len(positive)]] for i in range(min(batch // 2, len(positive)))]
-            rows = p + u
-            sizes = np.array([len(r) for r in rows])
-            scale = 1 / np.sqrt(np.maximum(sizes, 1))
-            at = np.concatenate(rows)
-            row = np.repeat(np.arange(len(rows)), sizes)
-            z = model.bias + np.bincount(row, model.weights[at], len(rows)) * scale
-            q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            n = len(p)
-            negative = np.logaddexp(0, z[n:]).mean() - prior * np.logaddexp(0, z[:n]).mean()
-            # slopes of the losses in z: log(1 + e^-z) for positives, log(1 + e^z) for negatives
-            slope = np.zeros(len(rows))
-            if negative >= 0:
-                slope[:n] = prior * (q[:n] - 1) / n - prior * q[:n] / n
-                slope[n:] = q[n:] / len(u)
-            else:
-                slope[:n] = prior * q[:n] / n
-                slope[n:] = -q[n:] / len(u)
-            grad = np.append(np.bincount(at, (slope * scale)[row], WIDTH) + decay * model.weights, slope.sum())
-            t += 1
-            first = 0.9 * first + 0.1 * grad
-            second = 0.999 * second + 0.001 * grad**2
-            move = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-            model.weights -= move[:-1]
-            model.bias -= move[-1]
+    kept = telling(positive, unlabelled)
+    number = np.full(WIDTH, -1)
+    number[kept] = np.arange(len(kept))
+    rows = [number[r] for r in positive + unlabelled]
+    size = np.log1p([len(r) for r in rows])
+    rows = [r[r >= 0] for r in rows]
+    at = np.concatenate(rows)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n, m = len(positive), len(unlabelled)
+    weights, bias, length = np.zeros(len(kept)), model.bias, 0.0
+    first, second = np.zeros(len(kept) + 2), np.zeros(len(kept) + 2)
+    for t in range(1, steps + 1):
+        z = bias + length * size + np.bincount(row, weights[at], n + m)
+        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        negative = np.logaddexp(0, z[n:]).mean() - prior * np.logaddexp(0, z[:n]).mean()
+        # slopes in z of log(1 + e^-z), the loss as a positive, and of log(1 + e^z), the loss as a negative
+        slope = np.empty(n + m)
+        if negative >= 0:
+            slope[:n] = prior * (q[:n] - 1) / n - prior * q[:n] / n
+            slope[n:] = q[n:] / m
+        else:
+            slope[:n] = prior * q[:n] / n
+            slope[n:] = -q[n:] / m
+        grad = np.append(np.bincount(at, slope[row], len(kept)) + decay * weights, [slope.sum(), slope @ size])
+        first = 0.9 * first + 0.1 * grad
+        second = 0.999 * second + 0.001 * grad**2
+        move = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        weights, bias, length = weights - move[:-2], bias - move[-2], length - move[-1]
+    model.weights[kept] = weights
+    model.bias, model.length = float(bias), float(length)
     return model
 
 
@@ -157,11 +165,11 @@ def train(
 
 def score(text: str | Column, model: Model) -> Column:
     """Score of a whole text from 0 to 1; NULL and empty texts have the score of no features."""
-    weights, bias, prior = model.weights.astype(np.float32), model.bias, model.prior
+    weights, bias, prior, length = model.weights.astype(np.float32), model.bias, model.prior, model.length
 
     @pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        here = Model(weights, bias, prior)
+        here = Model(weights, bias, prior, length)
         for batch in batches:
             yield pd.Series([here.score(bytes(t)) for t in batch], dtype="float64")
 
