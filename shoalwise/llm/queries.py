@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalwise.llm import chats, decontam, licenses, mixing, private, simhash, toxicity, warc
+from shoalwise.llm import chats, decontam, katz, licenses, mixing, private, simhash, toxicity, warc
 from shoalwise.llm.common import crc_remainder
 
 
@@ -115,6 +115,11 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op9_katz(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under a Katz model of the training documents."""
+    return katz.score_documents(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -126,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_decontamination,
         op7_simhash,
         op8_mixing,
+        op9_katz,
     )
 }
