@@ -144,10 +144,10 @@ def train(
         .limit(most_unlabelled)
     )
 
-    @pandas_udf("array<int>")
+    @pandas_udf("binary")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([features(bytes(t)) for t in batch], dtype=object)
+            yield pd.Series([features(bytes(t)).astype("<i4").tobytes() for t in batch], dtype=object)
 
     # both lists of ids are bounded by their limits, so they may be broadcast
     wanted = F.broadcast(
@@ -155,11 +155,10 @@ def train(
         .groupBy("id").agg(F.max("p").alias("p"), F.min("p").alias("u"))
     )
     texts = docs.select(F.col(key).alias("id"), text_bytes(text).alias("t")).join(wanted, "id")
-    rows = texts.groupBy("id", "p", "u").agg(F.min("t").alias("t")).select("id", "p", "u", hashed("t").alias("f")).toPandas()
-    rows = rows.sort_values("id", kind="stable")
-    arrays = [np.asarray(f, dtype=np.int64) for f in rows["f"]]
-    positive = [f for f, p in zip(arrays, rows["p"], strict=True) if p == 1]
-    unlabelled = [f for f, u in zip(arrays, rows["u"], strict=True) if u == 0]
+    rows = texts.groupBy("id", "p", "u").agg(F.min("t").alias("t")).select("id", "p", "u", hashed("t").alias("f")).collect()
+    rows = sorted((r["id"], r["p"], r["u"], np.frombuffer(r["f"], "<i4")) for r in rows)
+    positive = [f for _, p, _, f in rows if p == 1]
+    unlabelled = [f for _, _, u, f in rows if u == 0]
     return fit(positive, unlabelled, prior)
 
 
