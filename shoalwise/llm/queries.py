@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalwise.llm import chats, decontam, katz, licenses, mixing, private, simhash, toxicity, warc
+from shoalwise.llm import chats, decontam, katz, licenses, mixing, private, simhash, topk, toxicity, warc
 from shoalwise.llm.common import crc_remainder
 
 
@@ -120,6 +120,12 @@ def op9_katz(spark: SparkSession, folder: str) -> DataFrame:
     return katz.score_documents(_table(spark, folder, "documents"))
 
 
+def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 20, its whole text as the query."""
+    docs = _table(spark, folder, "documents")
+    return topk.search(docs, docs.where(F.col("doc_id") % 20 == 0), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -132,5 +138,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_simhash,
         op8_mixing,
         op9_katz,
+        op10_topk,
     )
 }
