@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalwise.frames import null_safe_join
@@ -140,6 +140,7 @@ class Mix:
         block_words: int = BLOCK_WORDS,
         seed: int = 8,
     ):
+        self.seed = seed
         rows = staged(
             docs.select(
                 F.col(key).alias("key"),
@@ -207,3 +208,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row."""
     every = Mix(docs, **options).taken().withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return every.select(F.col("key").alias("doc_id"), "size", "source_size", "target", share_of(F.col("copy")).alias("taken"))
+
+
+def with_taken(rows: DataFrame, amounts: DataFrame, row: str, copy: str) -> DataFrame:
+    """``rows`` with what the mix takes of each; ``row`` is the hash of its other columns, ``amounts`` has one row per hash.
+
+    The join deals the rows by the hash; equal rows are then numbered where they are.
+    """
+    found = rows.join(amounts, row)
+    number = F.row_number().over(Window.partitionBy(row).orderBy(row))
+    return found.withColumn(copy, number).withColumn("taken", share_of(F.col(copy)))
