@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from shoalwise.llm.common import plain_words, shared_folder, text_bytes
+from shoalwise.llm.common import plain_words, shared_folder, text_bytes, unused
 
 WINDOW = 13
 LEAD = 4
@@ -282,9 +282,7 @@ def is_contaminated(found: Column, hit_share: int = 20) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: Benchmark, text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    found = "__found"
-    while found in docs.columns:
-        found += "_"
+    (found,) = unused(docs, "found")
     return docs.withColumn(found, contamination(text, benchmark)).where(~is_contaminated(F.col(found))).drop(found)
 
 

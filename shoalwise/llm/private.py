@@ -207,19 +207,28 @@ def examples(texts: list[str], most: int) -> list[tuple[str, int, int, list[Span
     """(text, zone start, zone end, true spans) from documents, then from spellings of what they hold."""
     out: list[tuple[str, int, int, list[Span]]] = []
     extra: list[tuple[str, list[Span]]] = []
+    alone: list[tuple[str, str]] = []
     for text in texts:
         known = base_spans(text)
         for a, b in zones(text):
             true: list[Span] = []
+            # where an exact pattern ran on over several entities, it tells nothing
+            if any(len(re.sub("[^0-9]", "", m[0])) > 19 and " " in m[0] for p in (_CARD, _PHONE) for m in p.finditer(text, a, b)):
+                continue
             for span in sorted(known, key=lambda s: (s[1], s[1] - s[2])):
                 if a <= span[1] and span[2] <= b and (not true or span[1] >= true[-1][2]):
                     true.append(span)
             out.append((text[max(0, a - 20) : b + 20], min(a, 20), min(a, 20) + b - a, [(k, s - max(0, a - 20), e - max(0, a - 20)) for k, s, e in true]))
+            if true:
+                kind, s, e = true[0]
+                alone.append((kind, text[s:e]))
             for kind, s, e in true:
                 extra += [(x, [(kind, 0, len(x))]) for x in other_spellings(kind, text[s:e])]
                 extra += [(x, []) for x in look_alikes(kind, text[s:e])]
         if len(out) >= most:
             break
+    for (one, a), (two, b) in zip(alone, alone[1:], strict=False):
+        extra.append((f"{a} {b}", [(one, 0, len(a)), (two, len(a) + 1, len(a) + 1 + len(b))]))
     shown = [(x, 0, len(x), true) for x, true in extra if len(x) >= 4]
     return out[:most] + shown[:: max(1, len(shown) // most)][:most]
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from shoalwise.llm.common import spaced_words, staged, text_bytes
+from shoalwise.llm.common import spaced_words, staged, text_bytes, unused
 
 BITS = 64
 SEED = 42
@@ -179,16 +179,16 @@ def dedup(
     The row with the smallest id stays, NULL ids last; of rows with equal ids
     the one whose columns hash lowest, so reruns agree.
     """
-    taken = set(docs.columns)
-    row, at = (next(n for n in (f"__{x}{i}" for i in range(len(taken) + 1)) if n not in taken) for x in ("row", "at"))
+    row, at, missing, first_id, first_hash = unused(docs, "row", "at", "missing", "first_id", "first_hash")
     order = F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(*docs.columns))
     prints = docs.select(order.alias("o"), fingerprint(text, shingle).alias("print"))
     firsts = staged(prints.groupBy("print").agg(F.min("o").alias("o")), "firsts")
     roots = components(links(firsts.select("print"), distance, n_segments))
     placed = firsts.join(roots, F.col("print") == F.col("node"), "left")
-    kept = placed.groupBy(F.coalesce("root", "print")).agg(F.min("o").alias("o")).select("o.*").toDF("missing", "id", "hash")
+    kept = placed.groupBy(F.coalesce("root", "print")).agg(F.min("o").alias("o")).select("o.*")
+    kept = kept.toDF(missing, first_id, first_hash)
     hashed = docs.withColumn(row, F.xxhash64(*docs.columns))
-    found = hashed.join(kept, (F.col(row) == F.col("hash")) & F.col(key).eqNullSafe(F.col("id")), "left_semi")
+    found = hashed.join(kept, (F.col(row) == F.col(first_hash)) & F.col(key).eqNullSafe(F.col(first_id)), "left_semi")
     # rows that repeat in every column: one stays; the join has dealt them by the same hash already
     first = F.row_number().over(Window.partitionBy(row, key).orderBy(row))
     return found.withColumn(at, first).where(F.col(at) == 1).drop(row, at)

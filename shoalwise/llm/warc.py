@@ -164,8 +164,8 @@ def write_archive(
 ) -> Archive:
     """Write a record per page and the index over all records.
 
-    NULL html is an empty payload; NULL or repeated page ids and URLs are
-    written like others.  Of equal payloads of ``least_bytes`` or more, rows
+    NULL html is an empty payload, a NULL URL an empty one; NULL or repeated
+    page ids and URLs are written like others.  Of equal payloads of ``least_bytes`` or more, rows
     with the smallest page id that is not NULL are responses and the rest
     revisit it; where all ids are NULL all are responses.  Other columns are
     ignored; no pages give an empty archive.  Files get a new name in each
@@ -382,7 +382,7 @@ def look_up(archive: Archive, urls: DataFrame, url: str = "url", payloads: bool
         F.col("url_key").alias("at"), F.lit(1).alias("kind"), "asked", *[F.lit(None).cast(t).alias(c) for c, t in _PLACE]
     )
     blocks = archive.directory.select(
-        F.col("first_key").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("asked"), *[c for c, _ in _PLACE]
+        F.col("part").alias("range"), F.col("first_key").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("asked"), *[c for c, _ in _PLACE]
     )
     parts = archive.directory.groupBy("part").agg(F.min("first_key").alias("from_key"), F.max("last_key").alias("to_key"))
     # each range of the directory meets the keys that fall into it: a bounded list of range borders finds the ranges
@@ -401,7 +401,6 @@ def look_up(archive: Archive, urls: DataFrame, url: str = "url", payloads: bool
 
     kinds = ", ".join(f"{c} {t}" for c, t in _PLACE)
     sent = keys.mapInPandas(routed, f"range int, at string, kind int, asked string, {kinds}")
-    here = blocks.withColumn("range", F.col("part")).select(*sent.columns)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first: list[str] = []
@@ -432,7 +431,7 @@ def look_up(archive: Archive, urls: DataFrame, url: str = "url", payloads: bool
                     said = [f.pop("asked") for f in found]
                     yield _as_records(list(_records(iter(found), payloads))).assign(asked=said)
 
-    ordered = sent.unionByName(here).repartition("range").sortWithinPartitions("range", "kind", "at", "offset")
+    ordered = sent.unionByName(blocks).repartition("range").sortWithinPartitions("range", "kind", "at", "offset")
     return ordered.mapInPandas(search, f"{RECORDS}, asked string")
 
 
