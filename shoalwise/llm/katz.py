@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from shoalwise.llm.common import crc_remainder, spaced_words, staged, text_bytes
 
 #: Tokens in one pack, and keys of one level in one bucket on average.
-PACK_TOKENS, BUCKET_KEYS = 1 << 21, 1 << 21
+PACK_TOKENS, BUCKET_KEYS = 1 << 20, 1 << 21
 #: Counts up to this are Good-Turing discounted; larger ones lose LEFT of one occurrence.
 LARGEST, LEFT = 5, 0.05
 SEED = 9
