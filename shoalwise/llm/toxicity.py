@@ -52,14 +52,21 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _runs(rows: list[np.ndarray], size: int = 500) -> Iterator[np.ndarray]:
+    """Rows put together some hundred at a time, so that no copy of all is made."""
+    for at in range(0, len(rows), size):
+        yield np.concatenate(rows[at : at + size])
+
+
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], lift: float = 2.0, errors: float = 6.0) -> np.ndarray:
     """Features that are ``lift`` times as frequent among the positives, by at least ``errors`` standard errors.
 
     Unlabelled documents contain toxic ones, so a feature of toxic texts alone
     has a lift of one over the prior.
     """
-    with_p = np.bincount(np.concatenate(positive), minlength=WIDTH) / len(positive)
-    with_u = (np.bincount(np.concatenate(unlabelled), minlength=WIDTH) + 1) / (len(unlabelled) + 1)
+    count = lambda rows: sum((np.bincount(r, minlength=WIDTH) for r in _runs(rows)), np.zeros(WIDTH))
+    with_p = count(positive) / len(positive)
+    with_u = (count(unlabelled) + 1) / (len(unlabelled) + 1)
     error = np.sqrt(with_u * np.maximum(1 - with_u, 1e-3) / len(positive))
     return np.flatnonzero((with_p > lift * with_u) & (with_p - with_u > errors * error))
 
@@ -77,11 +84,11 @@ def fit(
     if not positive or not unlabelled:
         return model
     kept = telling(positive, unlabelled)
-    number = np.full(WIDTH, -1)
+    number = np.full(WIDTH, -1, dtype=np.int32)
     number[kept] = np.arange(len(kept))
-    rows = [number[r] for r in positive + unlabelled]
-    size = np.log1p([len(r) for r in rows])
-    rows = [r[r >= 0] for r in rows]
+    examples = positive + unlabelled
+    size = np.log1p([len(r) for r in examples])
+    rows = [x[x >= 0] for x in (number[r] for r in examples)]
     at = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n, m = len(positive), len(unlabelled)
