@@ -31,7 +31,7 @@ BLOCK_WORDS = 512
 #: Step of the golden-ratio sequence (a fixed value).
 GOLDEN = 0.6180339887498949
 #: Slots, and stream entries on average, that are ranked together.
-CHUNK = 1 << 14
+CHUNK, STREAM_CHUNK = 1 << 14, 1 << 10
 
 
 def source_targets(
@@ -158,8 +158,8 @@ class Mix:
         quotas = self.sources.select("number", F.ceil(F.col("words") / block_words).cast("long").alias("blocks"))
         self.schedule = staged(schedule(quotas), "schedule")
 
-        # the shuffled order: blocks of the hash hold some CHUNK rows each, whatever the source
-        parts = rows.count() // CHUNK + 1
+        # the shuffled order: blocks of the hash hold some STREAM_CHUNK rows each, whatever the source
+        parts = rows.count() // STREAM_CHUNK + 1
         place = F.shiftrightunsigned("row", 1)
         hashed = rows.withColumn("part", F.floor(place / F.lit(2.0**63) * parts)).withColumn(
             "place", F.struct(place.alias("hash"), "row", "key", "size")
