@@ -77,7 +77,3 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="shoalwise-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def all_present(*names: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names], F.lit(True))

@@ -88,7 +88,7 @@ def mid_point(lower: str | Column, upper: str | Column) -> Column:
 def harmonic_terms(month: str | Column, period: float = 10.0, prefix: str = "") -> dict[str, Column]:
     """Cosine and sine of the month.  The period defaults to 10, not 12."""
     angle = 2 * math.pi * col(month) / F.lit(float(period))
-    return {f"{prefix}costerm": F.cos(angle), f"{prefix}sinterm": F.sin(angle)}
+    return {f"{prefix}cosine": F.cos(angle), f"{prefix}sine": F.sin(angle)}
 
 
 def first_match_prefix(c: str | Column) -> Column:

@@ -29,6 +29,7 @@ from shoalwise.operators.ranktrend import mann_kendall
 from shoalwise.operators.regression import (
     ols,
     ols_line,
+    ols_summary,
     percent_change,
     polynomial_values,
     reference_line,
@@ -43,6 +44,7 @@ from shoalwise.operators.reshape import (
     join_covariates,
     lengthen,
     nan_to_null,
+    order_labels,
     repeat_rows,
     split_id,
     widen,
@@ -51,7 +53,6 @@ from shoalwise.operators.reshape import (
 from shoalwise.operators.smooth import bandwidths, density, local_smooth
 from shoalwise.operators.timeline import complete_calendar
 from shoalwise.operators.traits import (
-    METRIC_GROUPS,
     error_bars,
     latitude_trend,
     length_distribution,
@@ -66,7 +67,6 @@ from shoalwise.operators.traits import (
 __all__ = [
     "Factor",
     "Harmonic",
-    "METRIC_GROUPS",
     "PoissonFits",
     "Smooth",
     "accumulation",
@@ -94,9 +94,11 @@ __all__ = [
     "metric_panel",
     "model_selection",
     "nan_to_null",
+    "order_labels",
     "occurrence",
     "ols",
     "ols_line",
+    "ols_summary",
     "one_by_one",
     "percent_change",
     "poisson_gam",

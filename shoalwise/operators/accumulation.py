@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -9,13 +10,9 @@ from pyspark.sql import functions as F
 
 from shoalwise.frames import as_list, attach, durable, null_safe_join
 from shoalwise.functions.columns import log_factorial, sum_or_zero
+from shoalwise.operators import ordered
 from shoalwise.operators.ordered import number_line, running_in_blocks
 
-# Keys with more samples than this are ranked in hash blocks.
-SPLIT_ABOVE = 100_000
-# exp(-CUTOFF) is below double precision of any curve value.
-CUTOFF = 45.0
-
 
 def _tows(obs: DataFrame, keys: list[str], sample: str, taxon: str, value: str) -> DataFrame:
     """One row per key, sample and taxon with its summed catch; incomplete rows dropped.
@@ -34,19 +31,17 @@ def _sample_ranks(
 
     The order of a permutation is the order of md5(sample-perm-seed), so it is
     repeatable and independent of partitioning.  The digest is uniform: its
-    leading digits cut large keys into ordered blocks of even size.
+    leading digits cut every key into ordered blocks of some ``BLOCK`` samples.
     """
     perms = F.explode(F.sequence(F.lit(1), F.lit(permutations)))
     shuffled = attach(samples, sizes, keys).withColumn("__perm", perms)
     digest = F.md5(F.concat_ws("-", F.col(sample).cast("string"), "__perm", F.lit(seed)).cast("binary"))
     one = [*keys, "__perm"]
-    large = F.col("__samples") > SPLIT_ABOVE
-    whole = shuffled.where(~large).withColumn(
-        "__rank", F.row_number().over(Window.partitionBy(*one).orderBy(digest))
-    )
-    cut = shuffled.where(large).withColumn("__h", digest).withColumn("__block", F.substring("__h", 1, 3))
-    pieces = running_in_blocks(cut, one, "__block", "__h", F.lit(1), "__rank")
-    ranked = whole.select(*one, sample, "__rank").unionByName(pieces.select(*one, sample, "__rank"))
+    cut = shuffled.withColumn("__h", digest)
+    share = F.conv(F.substring("__h", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+    blocks = F.ceil(F.col("__samples") / ordered.BLOCK)
+    cut = cut.withColumn("__block", F.floor(share * blocks))
+    ranked = running_in_blocks(cut, one, "__block", "__h", F.lit(1), "__rank").select(*one, sample, "__rank")
     entry = F.struct("__perm", F.col("__rank").cast("long").alias("__rank"))
     return ranked.groupBy(*keys, sample).agg(
         F.array_sort(F.collect_list(entry))["__rank"].alias("__ranks")
@@ -72,7 +67,7 @@ def accumulation(
     """
     keys = as_list(keys)
     tows = _tows(obs, keys, sample, taxon, value)
-    samples = durable(tows.select(*keys, sample).distinct())
+    samples = tows.select(*keys, sample).distinct()
     sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("__samples"))
     ranks = _sample_ranks(samples, sizes, keys, sample, permutations, seed)
     present = tows.where(F.col("__n") > 0).select(*keys, sample, taxon)
@@ -98,13 +93,15 @@ def rarefaction(
     sample: str = "sample_id",
     taxon: str = "taxon",
     value: str = "cpue",
+    tolerance: float = 0.0,
 ) -> DataFrame:
     """Expected number of taxa in k random samples, without any randomness.
 
     With m of N samples holding a taxon, the chance to miss it in k samples is
-    C(N-m, k) / C(N, k) <= exp(-k m / N).  Taxa are grouped by m, and only k
-    where that chance is not lost to rounding is generated, so the work is of
-    order N log N per key rather than N times the number of taxa.
+    C(N-m, k) / C(N, k) <= exp(-k m / N).  Taxa are grouped by m.  By default
+    every term is summed: N terms for each distinct m.  With a ``tolerance``
+    terms below it are left out, so a value is too high by at most tolerance
+    times the number of taxa, and the work is of order N log N per key.
     """
     keys = as_list(keys)
     tows = _tows(obs, keys, sample, taxon, value)
@@ -113,9 +110,10 @@ def rarefaction(
     same = found.groupBy(*keys, "__m").agg(F.count(F.lit(1)).alias("__taxa"))
     taxa = same.groupBy(*keys).agg(F.sum("__taxa").alias("__all"))
     n, m, k = F.col("__samples"), F.col("__m"), F.col("k")
-    reach = attach(same, sizes, keys).withColumn(
-        "__reach", F.least(n - m, F.ceil(F.try_divide(CUTOFF * n, m)))
-    )
+    end = n - m
+    if tolerance > 0:
+        end = F.least(end, F.ceil(F.try_divide(-math.log(tolerance) * n, m)))
+    reach = attach(same, sizes, keys).withColumn("__reach", end)
     spread = number_line(reach, [*keys, "__m"], "__reach", "k")
     log_miss = log_factorial(n - m) - log_factorial(n - m - k) - log_factorial(n) + log_factorial(n - k)
     missed = spread.groupBy(*keys, "k").agg(F.sum(F.col("__taxa") * F.exp(log_miss)).alias("__missed"))

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalwise.frames import as_list, attach, lookup
 from shoalwise.functions.columns import sum_or_zero
-from shoalwise.operators.reshape import _filled
+from shoalwise.operators.reshape import zero_fill
 
 
 def species_totals(
@@ -144,26 +144,27 @@ def composition(
     keys: str | Sequence[str],
     category: str,
     value: str = "cpue",
-    fill: bool = True,
+    fill: bool = False,
     categories: Sequence | None = None,
 ) -> DataFrame:
     """Share of the summed catch per key that falls in each category.
 
-    Rows without a category are left out.  ``categories`` restricts and orders
-    the categories; with ``fill`` absent ones get share 0.  A key whose total
-    is 0 gets missing shares.
+    Shares are of the total over all categories; rows without a category are
+    left out.  ``categories`` names those to report, and with ``fill`` each key
+    gets all of them, absent ones with share 0.  A key whose total is 0 gets
+    missing shares.
     """
     keys = as_list(keys)
-    rows = obs.where(F.col(category).isNotNull())
-    if categories is not None:
-        rows = rows.where(F.col(category).isin(list(categories)))
-    sums = rows.groupBy(*keys, category).agg(sum_or_zero(value).alias("__n"))
+    if fill and categories is None:
+        raise ValueError("filling needs the list of categories")
+    sums = obs.where(F.col(category).isNotNull()).groupBy(*keys, category).agg(sum_or_zero(value).alias("__n"))
+    totals = sums.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     if fill:
-        sums = _filled(sums, keys, category, "__n", categories, 0.0)
-    else:
-        # a key has as many rows here as there are categories
-        sums = sums.withColumn("__total", F.sum("__n").over(Window.partitionBy(*keys)))
-    return sums.select(*keys, category, F.try_divide(F.col("__n"), F.col("__total")).alias("share"))
+        sums = zero_fill(sums, keys, category, "__n", categories)
+    elif categories is not None:
+        sums = sums.where(F.col(category).isin(list(categories)))
+    share = F.try_divide(F.col("__n"), F.col("__total"))
+    return attach(sums, totals, keys).select(*keys, category, share.alias("share"))
 
 
 def occurrence(

@@ -13,6 +13,7 @@ import itertools
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from types import MappingProxyType
 from typing import Any
 
 import numpy as np
@@ -29,15 +30,18 @@ from shoalwise.operators.ordered import exact_quantiles
 from shoalwise.operators.regression import factor_levels
 
 MODELS_PER_PASS = 64
-MAX_STEPS = 60
 DEVIANCE_TOLERANCE = 1e-9
+# Ends of the search for log smoothing parameters; a model at an end says so (at_bound).
+LOG_LAMBDA = (-25.0, 30.0)
+# A step that does not lower the penalised deviance is halved so often before the fit is given up.
+MOST_HALVINGS = 40
 # Neighbouring smoothing parameters are compared on slightly looser fits.
 TRIAL_TOLERANCE = 1e-7
 
 
 @dataclass(frozen=True)
 class Factor:
-    """A column used as categories."""
+    """A column used as categories: numbers, or texts."""
 
     column: str
 
@@ -174,6 +178,7 @@ class Block:
     centre: float = 0.0
     scale: float = 1.0
     levels: list = field(default_factory=list)
+    texts: list[str] | None = None
     spline: SplineBasis | None = None
     penalty: np.ndarray | None = None
 
@@ -193,12 +198,17 @@ def _sources(term: Term) -> list[str]:
     return [term] if isinstance(term, str) else [term.column]
 
 
+def _text_factors(df: DataFrame, terms: Sequence[Term]) -> list[str]:
+    return list(dict.fromkeys(t.column for t in terms if isinstance(t, Factor) and isinstance(df.schema[t.column].dataType, T.StringType)))
+
+
 def _merge(df: DataFrame, y: str, terms: Sequence[Term]) -> tuple[DataFrame, list[str]]:
     """One row per distinct covariate combination, with the sums the fit needs."""
     sources = list(dict.fromkeys(s for t in terms for s in _sources(t)))
+    texts = _text_factors(df, terms)
     count = missing_as_null(F.col(y).cast("double"))
     rows = df.select(
-        *[missing_as_null(F.col(s).cast("double")).alias(s) for s in sources], count.alias("__y")
+        *[F.col(s) if s in texts else missing_as_null(F.col(s).cast("double")).alias(s) for s in sources], count.alias("__y")
     ).where(F.col("__y").isNotNull())
     v = F.col("__y")
     merged = rows.groupBy(*sources).agg(
@@ -210,7 +220,17 @@ def _merge(df: DataFrame, y: str, terms: Sequence[Term]) -> tuple[DataFrame, lis
     return merged, sources
 
 
-def _blocks(table: DataFrame, terms: Sequence[Term]) -> list[Block]:
+def _numbered(table: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Text factors as the numbers of their sorted levels."""
+    levels = factor_levels(table, names)
+    for name, texts in levels.items():
+        pairs = [F.lit(v) for i, text in enumerate(texts) for v in (text, float(i))]
+        code = F.create_map(*pairs)[F.col(name)] if pairs else F.lit(None).cast("double")
+        table = table.withColumn(name, code)
+    return table, levels
+
+
+def _blocks(table: DataFrame, terms: Sequence[Term], texts: Mapping[str, list[str]] = MappingProxyType({})) -> list[Block]:
     out = []
     numeric = [s for t in terms if isinstance(t, str) for s in _sources(t)]
     stats: dict[str, Any] = {}
@@ -229,9 +249,14 @@ def _blocks(table: DataFrame, terms: Sequence[Term]) -> list[Block]:
         if isinstance(term, str):
             out.append(Block(term, label, [term], [term], "linear", stats[term], spread[term]))
         elif isinstance(term, Factor):
-            levels = factor_levels(table, [term.column])[term.column][1:]
-            names = [f"{term.column}{level:g}" for level in levels]
-            out.append(Block(term, label, names, [term.column], "factor", levels=levels))
+            known = texts.get(term.column)
+            if known is None:
+                levels = factor_levels(table, [term.column])[term.column][1:]
+                names = [f"{term.column}{level:g}" for level in levels]
+            else:
+                levels, known = [float(i) for i in range(1, len(known))], known[1:]
+                names = [f"{term.column}{text}" for text in known]
+            out.append(Block(term, label, names, [term.column], "factor", levels=levels, texts=known))
         elif isinstance(term, Harmonic):
             names = list(harmonic_terms(term.column))
             out.append(Block(term, label, names, [term.column], "harmonic", scale=float(term.period)))
@@ -292,6 +317,11 @@ class Model:
     kept: np.ndarray | None = None
     deviance: float = math.inf
     done: bool = False
+    steps: int = 0
+    #: Penalised deviance and estimates that the next step must not be worse than, and halvings since.
+    before: tuple[float, np.ndarray] | None = None
+    halvings: int = 0
+    tried: set = field(default_factory=set)
     result: dict = field(default_factory=dict)
 
 
@@ -424,36 +454,49 @@ def _tune(model: Model, sums: dict) -> np.ndarray:
     best = model.log_lambda.copy()
     score = _solve(model, sums, best)["ubre"]
     for step in (4.0, 2.0, 1.0, 0.5, 0.25, 0.1):
-        for _ in range(12):
+        moved = True
+        while moved:
             moved = False
             for j in range(len(best)):
                 for sign in (-1, 1):
                     trial = best.copy()
-                    trial[j] = np.clip(trial[j] + sign * step, -25, 30)
+                    trial[j] = np.clip(trial[j] + sign * step, *LOG_LAMBDA)
                     value = _solve(model, sums, trial)["ubre"]
                     if value < score - 1e-12:
                         best, score, moved = trial, value, True
-            if not moved:
-                break
     return best
 
 
 def _fit_all(
     table: DataFrame, blocks: list[Block], models: list[Model], tolerance: float = DEVIANCE_TOLERANCE
 ) -> None:
-    """Iterate all models together until each has converged."""
+    """Iterate all models together until each has converged.
+
+    A step that raises the penalised deviance is halved; one that cannot lower
+    it raises an error.  Smoothing parameters are tuned along the way until
+    they stay, or come back to values they had (the refinement follows).
+    """
     for start in range(0, len(models), MODELS_PER_PASS):
         group = models[start : start + MODELS_PER_PASS]
-        for step in range(MAX_STEPS):
-            active = [m for m in group if not m.done]
-            if not active:
-                break
+        while active := [m for m in group if not m.done]:
             sums = _pass(table, blocks, active)
             for i, model in enumerate(active):
                 if i not in sums:
                     model.done = True
                     continue
                 s = sums[i]
+                model.steps += 1
+                if model.beta is not None:
+                    worth = s["deviance"] + float(model.beta @ _penalty(model, model.log_lambda) @ model.beta)
+                    still = abs(model.deviance - s["deviance"]) <= tolerance * (abs(s["deviance"]) + 0.1)
+                    higher = model.before is not None and not worth <= model.before[0] + tolerance * (abs(model.before[0]) + 0.1)
+                    if higher and not still:
+                        model.halvings += 1
+                        if model.halvings > MOST_HALVINGS:
+                            raise ValueError(f"model {model.model_id}: no step lowers the deviance of {model.before[0]:g}")
+                        model.beta = (model.beta + model.before[1]) / 2
+                        continue
+                    model.before, model.halvings = (worth, model.beta), 0
                 if model.kept is None:
                     penalised = {int(c) for at, _ in model.penalties for c in at}
                     fixed = np.array([c not in penalised for c in range(len(model.columns))])
@@ -473,14 +516,14 @@ def _fit_all(
                     if settled:
                         model.done = True
                         continue
-                if model.tune and len(model.penalties) and step < 20:
+                if model.tune and len(model.penalties):
                     tuned = _tune(model, s)
-                    if model.beta is not None and np.max(np.abs(tuned - model.log_lambda)) < 0.05:
+                    spot = tuple(np.round(tuned, 2))
+                    if model.beta is not None and (np.max(np.abs(tuned - model.log_lambda)) < 0.05 or spot in model.tried):
                         model.tune = False
-                    model.log_lambda = tuned
+                    model.tried.add(spot)
+                    model.log_lambda, model.before = tuned, None
                 model.beta = _solve(model, s, model.log_lambda)["beta"]
-        for model in group:
-            model.done = True
 
 
 def _refine(table: DataFrame, blocks: list[Block], model: Model) -> Model:
@@ -488,20 +531,21 @@ def _refine(table: DataFrame, blocks: list[Block], model: Model) -> Model:
 
     All neighbours are fitted in the same passes, starting from the current fit.
     """
-    for _ in range(5):
+    while True:
         trials = []
         for j in range(len(model.log_lambda)):
             for step in (-2.0, -0.8, -0.3, 0.3, 0.8, 2.0):
                 moved = model.log_lambda.copy()
-                moved[j] = np.clip(moved[j] + step, -25, 30)
+                moved[j] = np.clip(moved[j] + step, *LOG_LAMBDA)
                 trials.append(replace(model, log_lambda=moved, beta=model.beta.copy(), tune=False,
-                                      deviance=math.inf, done=False, result={}))
+                                      deviance=math.inf, done=False, before=None, halvings=0, result={}))
         _fit_all(table, blocks, trials, TRIAL_TOLERANCE)
         best = min(trials, key=lambda t: t.result.get("ubre", math.inf))
-        if best.result.get("ubre", math.inf) > model.result["ubre"] - 1e-7:
+        gain = model.result["ubre"] - best.result.get("ubre", math.inf)
+        if not gain >= 1e-7:
             break
         model = best
-    final = replace(model, tune=False, deviance=math.inf, done=False, result={})
+    final = replace(model, tune=False, deviance=math.inf, done=False, before=None, halvings=0, result={})
     _fit_all(table, blocks, [final])
     return final
 
@@ -529,12 +573,13 @@ class PoissonFits:
             block = self.blocks[b]
             coefs = [float(v) for v in beta[at : at + len(block.names)]]
             at += len(block.names)
-            x = missing_as_null(F.col(block.sources[0]).cast("double"))
+            x = missing_as_null(F.col(block.sources[0]).try_cast("double"))
             if block.kind == "linear":
                 out = out + coefs[0] / block.scale * (x - block.centre)
             elif block.kind == "factor":
-                for level, c in zip(block.levels, coefs):
-                    out = out + F.lit(c) * (x == F.lit(level)).cast("double")
+                named = F.col(block.sources[0]) if block.texts is not None else x
+                for level, c in zip(block.levels if block.texts is None else block.texts, coefs):
+                    out = out + F.lit(c) * (named == F.lit(level)).cast("double")
             elif block.kind == "harmonic":
                 cos, sin = harmonic_terms(x, block.scale).values()
                 out = out + coefs[0] * cos + coefs[1] * sin
@@ -581,7 +626,7 @@ def _names(model: Model, blocks: list[Block]) -> list[str]:
 TERM_SCHEMA = "model_id string, term string, estimate double, std_error double, z double, p double, edf double"
 MODEL_SCHEMA = (
     "model_id string, n double, edf double, deviance double, null_deviance double, "
-    "deviance_explained double, loglik double, aic double, ubre double"
+    "deviance_explained double, loglik double, aic double, ubre double, converged boolean, iterations int, at_bound boolean"
 )
 
 
@@ -627,7 +672,8 @@ def _collect(df: DataFrame, y: str, blocks: list[Block], models: list[Model]) ->
         explained = 1 - r["deviance"] / null if null > 0 else math.nan
         model_rows.append(
             _clean((model.model_id, r["n"], float(r["edf"].sum()), r["deviance"], null, explained,
-                    r["loglik"], float(r["aic"]), float(r["ubre"])))
+                    r["loglik"], float(r["aic"]), float(r["ubre"]), model.done, model.steps,
+                    bool(len(model.log_lambda) and np.isin(model.log_lambda, LOG_LAMBDA).any())))
         )
     spark = df.sparkSession
     return PoissonFits(
@@ -639,36 +685,50 @@ def _collect(df: DataFrame, y: str, blocks: list[Block], models: list[Model]) ->
     )
 
 
+def blocks_free(model: Model, blocks: list[Block], fixed: Mapping[Smooth, float]) -> bool:
+    """Whether the model has a smooth whose smoothing is not given."""
+    return any(blocks[b].kind == "smooth" and blocks[b].term not in fixed for b in model.blocks)
+
+
 def fit_poisson(
-    df: DataFrame, y: str, models: Mapping[str, Sequence[Term]], refine: bool = True
+    df: DataFrame, y: str, models: Mapping[str, Sequence[Term]], refine: bool = True,
+    smoothing: Mapping[Smooth, float] | None = None,
 ) -> PoissonFits:
     """Fit several Poisson models to the same rows.
 
     Each model uses the rows where its own covariates are present.  With
     ``refine`` the smoothing parameters of every model with smooths end at a
-    minimum of UBRE = D/n + 2 edf/n - 1 over the full fits.
+    minimum of UBRE = D/n + 2 edf/n - 1 over the full fits.  ``smoothing``
+    fixes the multiplier of a smooth's penalty, the integral of the squared
+    second derivative; a model whose smooths are all fixed is not tuned.
     """
+    fixed = smoothing or {}
     terms = list(dict.fromkeys(t for m in models.values() for t in m))
     merged, _ = _merge(df, y, terms)
-    table = durable(merged)
-    blocks = _blocks(table, terms)
+    table, texts = _numbered(durable(merged), _text_factors(df, terms))
+    blocks = _blocks(table, terms, texts)
     index = {t: i for i, t in enumerate(terms)}
     fits = []
     for model_id, wanted in models.items():
         chosen = [index[t] for t in wanted]
-        penalties, at = [], 1
+        penalties, start, at = [], [], 1
         for b in chosen:
             width = len(blocks[b].names)
             if blocks[b].penalty is not None:
                 s = blocks[b].penalty
                 penalties.append((np.arange(at, at + width), s / np.abs(s).max()))
+                given = fixed.get(blocks[b].term)
+                start.append(None if given is None else math.log(given * np.abs(s).max()))
             at += width
         fits.append(
-            Model(model_id, chosen, np.arange(at), penalties, np.zeros(len(penalties)), bool(penalties))
+            Model(model_id, chosen, np.arange(at), penalties, np.array([v or 0.0 for v in start]), any(v is None for v in start))
         )
+        if fits[-1].tune and any(v is not None for v in start):
+            raise ValueError(f"model {model_id}: fix the smoothing of all its smooths or of none")
     _fit_all(table, blocks, fits)
     if refine:
-        fits = [_refine(table, blocks, m) if m.penalties and m.result else m for m in fits]
+        free = {m.model_id for m in fits if m.penalties and m.result and blocks_free(m, blocks, fixed)}
+        fits = [_refine(table, blocks, m) if m.model_id in free else m for m in fits]
     return _collect(df, y, blocks, fits)
 
 
@@ -682,10 +742,10 @@ def poisson_glm(
 
 def poisson_gam(
     df: DataFrame, y: str, linear: Sequence[Term] = (), smooths: Sequence[Smooth] = (), model_id: str = "model",
-    refine: bool = True,
+    refine: bool = True, smoothing: Mapping[Smooth, float] | None = None,
 ) -> PoissonFits:
     """Poisson additive model with penalised splines next to other terms."""
-    return fit_poisson(df, y, {model_id: [*linear, *smooths]}, refine)
+    return fit_poisson(df, y, {model_id: [*linear, *smooths]}, refine, smoothing)
 
 
 def one_by_one(df: DataFrame, y: str, candidates: Sequence[Term], fixed: Sequence[Term] = ()) -> PoissonFits:
@@ -695,14 +755,18 @@ def one_by_one(df: DataFrame, y: str, candidates: Sequence[Term], fixed: Sequenc
 
 def model_selection(
     df: DataFrame, y: str, terms: Sequence[Term], fixed: Sequence[Term] = (), confidence: float = 0.95,
-    refine: bool = False,
+    refine: bool = True,
 ) -> tuple[DataFrame, DataFrame, PoissonFits]:
     """All subsets of terms ranked by AIC, and coefficients averaged over the best.
 
     Returns the ranking (delta, Akaike weight, running weight, membership of the
-    confidence set), the averaged coefficients and the fits.  Rows with any
-    missing covariate are dropped, so all models see the same rows.  In the full
-    average a term absent from a model counts as 0 there.
+    confidence set), the averaged coefficients and the fits.  A model is in the
+    set while the weights before it sum to less than ``confidence``; the best
+    one always is, and the set is what is averaged.  Rows with any missing
+    covariate are dropped, so all models see the same rows.  In the full
+    average a term absent from a model counts as 0 there; its variance is the
+    weighted mean of each model's variance plus squared distance from the
+    average.
     """
     sources = list(dict.fromkeys(s for t in [*terms, *fixed] for s in _sources(t)))
     whole = df.na.drop("any", subset=[*sources, y])
@@ -718,13 +782,13 @@ def model_selection(
     weights = [w / sum(raw) for w in raw]
     rows, running, kept = [], 0.0, []
     for i, (m, w) in enumerate(zip(order, weights)):
+        inside = running < confidence
         running += w
-        inside = running <= confidence
         rows.append(
             _clean((i + 1, m.model_id, m.result["edf"].sum(), m.result["deviance"], m.result["aic"],
                     m.result["aic"] - best, w, running, inside))
         )
-        if inside or (i == 0):
+        if inside:
             kept.append((m, w))
     spark = df.sparkSession
     ranking = spark.createDataFrame(
@@ -733,15 +797,23 @@ def model_selection(
         "cumulative double, in_set boolean",
     )
     total = sum(w for _, w in kept)
-    sums: dict[str, list[float]] = {}
+    found: dict[str, list[tuple[float, float, float]]] = {}
     for m, w in kept:
-        beta = _raw_scale(m, fits.blocks) @ np.where(m.kept, m.beta, 0.0)
-        for name, b in zip(_names(m, fits.blocks), beta):
-            entry = sums.setdefault(name, [0.0, 0.0])
-            entry[0] += w * float(b)
-            entry[1] += w
+        to_raw = _raw_scale(m, fits.blocks)
+        beta = to_raw @ np.where(m.kept, m.beta, 0.0)
+        variance = np.diag(to_raw @ np.nan_to_num(m.result["cov"]) @ to_raw.T)
+        for name, b, v in zip(_names(m, fits.blocks), beta, variance):
+            found.setdefault(name, []).append((w / total, float(b), max(float(v), 0.0)))
+    rows = []
+    for name, parts in found.items():
+        share = sum(w for w, _, _ in parts)
+        mean = sum(w * b for w, b, _ in parts)
+        error = math.sqrt(sum(w * (v + (b - mean) ** 2) for w, b, v in parts) + (1 - share) * mean**2)
+        z = mean / error if error > 0 else math.nan
+        p = float(normal_sf2(np.array([z]))[0]) if math.isfinite(z) else math.nan
+        rows.append(_clean((name, mean, error, z, p, mean / share, share)))
     averaged = spark.createDataFrame(
-        [(name, s / total, s / w, w / total) for name, (s, w) in sums.items()],
-        "term string, full_average double, conditional_average double, importance double",
+        rows,
+        "term string, full_average double, std_error double, z double, p double, conditional_average double, importance double",
     )
     return ranking, averaged, fits

@@ -22,6 +22,11 @@ def _clock(df: DataFrame, time: str):
         return F.unix_date(time).cast("long")
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(time)
+    if isinstance(kind, T.TimestampNTZType):
+        # a wall clock without a zone: its own fields
+        at = F.col(time)
+        minutes = (F.unix_date(at.cast("date")).cast("long") * 24 + F.hour(at)) * 60 + F.minute(at)
+        return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return F.col(time).cast("long")
     raise TypeError(f"{time} must be a date, timestamp or whole number")

@@ -21,7 +21,6 @@ from shoalwise.functions.tails import student_quantile, student_sf2, student_two
 
 # A term is aliased when this share or less of its variance is left.
 TOLERANCE = 1e-11
-MAX_LEVELS = 500
 
 
 def trend(df: DataFrame, keys: str | Sequence[str], y: str, x: str) -> DataFrame:
@@ -120,13 +119,24 @@ def reference_line(df: DataFrame, keys: str | Sequence[str], value: str, out: st
 
 
 def factor_levels(df: DataFrame, factors: Sequence[str]) -> dict[str, list]:
-    """Sorted levels of each factor.  They become model terms, so they must be few."""
+    """Sorted levels of each factor, from one pass over ``df``.
+
+    They become model terms, so terms x terms sums must fit the driver; a
+    single factor of :func:`ols` does not come here.
+    """
+    if not factors:
+        return {}
+    found = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(f).cast("string").alias("level")) for i, f in enumerate(factors)
+    ]))).where(F.col("level").isNotNull()).distinct().collect()
     levels: dict[str, list] = {}
-    for name in factors:
-        found = df.where(F.col(name).isNotNull()).select(name).distinct().limit(MAX_LEVELS + 1).collect()
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"factor {name} has more than {MAX_LEVELS} levels")
-        levels[name] = sorted(r[0] for r in found)
+    for i, name in enumerate(factors):
+        kind = df.schema[name].dataType
+        texts = [r["level"] for r in found if r["i"] == i]
+        as_value = str if isinstance(kind, (T.StringType, T.DateType)) else float if isinstance(kind, (T.DoubleType, T.FloatType)) else int
+        if isinstance(kind, T.BooleanType):
+            as_value = lambda v: v == "true"
+        levels[name] = sorted(as_value(v) for v in texts)
     return levels
 
 
@@ -149,7 +159,7 @@ def each_group(
     """
     keys = list(keys)
     schema = T.StructType([*[df.schema[k] for k in keys], *fields])
-    kinds = {"double": pa.float64(), "string": pa.string(), "bigint": pa.int64()}
+    kinds = {"double": pa.float64(), "string": pa.string(), "bigint": pa.int64(), "array<double>": pa.list_(pa.float64())}
     arrow = [kinds[f.dataType.simpleString()] for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +248,7 @@ def _centred_sums(df: DataFrame, keys: list[str], columns: list[str], weight: st
             F.array(*[F.avg(c) for c in columns]).alias("means"),
             F.array(*[F.covar_pop(columns[i], columns[j]) * F.count(F.lit(1)) for i, j in pairs]).alias("sums"),
             F.sum(F.lit(1.0)).alias("weight"),
+            *_ranges(columns),
         )
     w = F.col(weight)
     df = durable(df)
@@ -253,14 +264,22 @@ def _centred_sums(df: DataFrame, keys: list[str], columns: list[str], weight: st
             F.array(*[F.any_value(f"__m{i}") for i in range(size)]).alias("means"),
             F.array(*[F.sum(w * d[i] * d[j]) for i, j in pairs]).alias("sums"),
             F.sum(w).alias("weight"),
+            *_ranges(columns),
         )
     )
 
 
+def _ranges(columns: list[str]) -> list[Column]:
+    return [F.array(*[f(c) for c in columns]).alias(name) for f, name in ((F.min, "lows"), (F.max, "highs"))]
+
+
 def _design(
     df: DataFrame, keys: list[str], y: str, xs: Sequence[str], factors: Sequence[str], weights: str | None
 ) -> tuple[DataFrame, list[str]]:
     columns = {x: missing_as_null(F.col(x).cast("double")) for x in xs}
+    if factors:
+        # written once: the levels and the sums read the same rows
+        df = durable(df.select(*dict.fromkeys([*keys, *xs, *factors, y, *([weights] if weights else [])])))
     columns |= factor_columns(factor_levels(df, factors))
     names = list(columns)
     extra = [F.col(weights).cast("double").alias("__w")] if weights else []
@@ -273,6 +292,9 @@ def _design(
     return rows, names
 
 
+OLS_FIELDS = [*TERM_FIELDS, T.StructField("x_min", T.DoubleType()), T.StructField("x_max", T.DoubleType())]
+
+
 def ols(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -281,12 +303,16 @@ def ols(
     factors: Sequence[str] = (),
     weights: str | None = None,
 ) -> DataFrame:
-    """Gaussian linear model per key: one row per term.
+    """Gaussian linear model per key: one row per term, with the range of each numeric term.
 
     ``factors`` are columns used as categories, the smallest level being the
-    reference.  Rows with a missing value are dropped.
+    reference.  A single factor without weights is fitted by deviations within
+    its levels, which stay a grouped aggregate however many they are.  Rows
+    with a missing value are dropped.
     """
     keys = as_list(keys)
+    if len(factors) == 1 and weights is None:
+        return _within_levels(df, keys, y, list(xs), factors[0])
     rows, names = _design(df, keys, y, xs, factors, weights)
     size = len(names) + 1
     columns = [*[f"__x{i}" for i in range(len(names))], "__y"]
@@ -303,17 +329,117 @@ def ols(
         var0 = s2 * (1.0 / row["weight"] + float(at @ v @ at))
         coef = [intercept, *slopes]
         var = [var0, *(s2 * np.diag(v))]
-        return _term_rows(["(Intercept)", *names], coef, var, [True, *kept], dof)
+        terms = _term_rows(["(Intercept)", *names], coef, var, [True, *kept], dof)
+        ends = [(None, None), *zip(row["lows"][:-1], row["highs"][:-1], strict=True)]
+        return [(*t, *e) for t, e in zip(terms, ends, strict=True)]
+
+    return each_group(sums, keys, OLS_FIELDS, solve)
+
+
+def _within_levels(df: DataFrame, keys: list[str], y: str, xs: list[str], factor: str) -> DataFrame:
+    """Model with one factor: slopes from deviations within levels, then each level against the key's smallest.
+
+    Terms that do not vary within levels are aliased.  No level is collected:
+    levels are rows of an aggregate, and only xs x xs systems are solved.
+    """
+    size = len(xs) + 1
+    columns = [*[f"__x{i}" for i in range(len(xs))], "__y"]
+    rows = df.select(
+        *keys,
+        F.col(factor).alias("__level"),
+        *[missing_as_null(F.col(c).cast("double")).alias(n) for c, n in zip([*xs, y], columns, strict=True)],
+    ).na.drop("any", subset=["__level", *columns])
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    levels = durable(_centred_sums(rows, [*keys, "__level"], columns, None))
+    inside = levels.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("levels"),
+        F.min_by(F.struct("__level", "n", "means"), "__level").alias("first"),
+        F.array(*[F.sum(F.col("sums")[i]) for i in range(len(pairs))]).alias("sums"),
+        F.array(*[F.min(F.col("lows")[i]) for i in range(size)]).alias("lows"),
+        F.array(*[F.max(F.col("highs")[i]) for i in range(size)]).alias("highs"),
+    )
+    numbers = inside.select(
+        *keys, "n", "levels", "sums", "lows", "highs",
+        F.col("first.n").alias("first_n"), F.col("first.means").alias("first_means"),
+    )
+    fields = [
+        *OLS_FIELDS, T.StructField("slopes", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType())),
+        T.StructField("s2", T.DoubleType()), T.StructField("dof", T.DoubleType()),
+    ]
+
+    def solve(row: dict) -> list[tuple]:
+        slopes, inverse, kept, rss, rank = solve_centred(_upper(row["sums"], size), row["n"])
+        dof = row["n"] - row["levels"] - rank
+        s2 = rss / dof if dof > 0 else math.nan
+        b, v = np.where(kept, slopes, 0.0), np.where(np.isnan(inverse), 0.0, inverse)
+        at = np.array(row["first_means"], float)
+        coef = [at[-1] - float(at[:-1] @ b), *slopes]
+        var = [s2 * (1.0 / row["first_n"] + float(at[:-1] @ v @ at[:-1])), *(s2 * np.diag(v))]
+        terms = _term_rows(["(Intercept)", *xs], coef, var, [True, *kept], dof)
+        ends = [(None, None), *zip(row["lows"][:-1], row["highs"][:-1], strict=True)]
+        # the intercept's row carries what the levels need
+        carried = [(b.tolist(), v.ravel().tolist(), s2, float(dof)), *[(None, None, None, None)] * len(xs)]
+        return [(*t, *e, *c) for t, e, c in zip(terms, ends, carried, strict=True)]
+
+    solved = durable(each_group(numbers, keys, fields, solve))
+    fit = solved.where("term = '(Intercept)'").select(*keys, "slopes", "inverse", "s2", "dof")
+    against = attach(levels.select(*keys, "__level", "n", "means"), inside.select(*keys, "first"), keys)
+    others = attach(against.where(F.col("__level") != F.col("first.__level")), fit, keys)
+    apart = [F.col("means")[i] - F.col("first.means")[i] for i in range(size)]
+    slope = lambda i: F.col("slopes")[i]
+    estimate = apart[-1]
+    spread = F.lit(0.0)
+    for i in range(len(xs)):
+        estimate = estimate - slope(i) * apart[i]
+        for j in range(len(xs)):
+            spread = spread + apart[i] * apart[j] * F.col("inverse")[i * len(xs) + j]
+    error = F.sqrt(F.col("s2") * (1.0 / F.col("n") + 1.0 / F.col("first.n") + spread))
+    effects = (
+        others.select(*keys, F.concat(F.lit(factor), F.col("__level").cast("string")).alias("term"), estimate.alias("estimate"), error.alias("std_error"), "dof")
+        .withColumn("t", F.try_divide("estimate", "std_error"))
+        .withColumn("p", student_two_sided("t", F.col("dof")))
+    )
+    nothing = F.lit(None).cast("double")
+    names = [*keys, *[f.name for f in OLS_FIELDS]]
+    effects = effects.withColumns({"x_min": nothing, "x_max": nothing})
+    return solved.select(*names).unionByName(effects.select(*names))
 
-    return each_group(sums, keys, TERM_FIELDS, solve)
+
+def ols_summary(df: DataFrame, keys: str | Sequence[str], y: str, xs: Sequence[str], factors: Sequence[str] = ()) -> DataFrame:
+    """Model-level row per key: n, r2, sigma, deviance, null_deviance and aic of the linear model."""
+    keys = as_list(keys)
+    rows, names = _design(df, keys, y, xs, factors, None)
+    size = len(names) + 1
+    sums = _centred_sums(rows, keys, [*[f"__x{i}" for i in range(len(names))], "__y"], None)
+
+    def solve(row: dict) -> list[tuple]:
+        n, total = row["n"], _upper(row["sums"], size)
+        _, _, _, rss, rank = solve_centred(total, n)
+        null, dof = float(total[-1, -1]), n - rank - 1
+        return [(
+            n,
+            1 - rss / null if null > 0 else math.nan,
+            math.sqrt(rss / dof) if dof > 0 else math.nan,
+            rss,
+            null,
+            n * (math.log(2 * math.pi * rss / n) + 1) + 2 * (rank + 2) if rss > 0 else math.nan,
+        )]
+
+    fields = [T.StructField("n", T.LongType())] + [
+        T.StructField(c, T.DoubleType()) for c in ("r2", "sigma", "deviance", "null_deviance", "aic")
+    ]
+    return each_group(sums, keys, fields, solve)
 
 
 def ols_line(fit: DataFrame, keys: str | Sequence[str], x: str) -> DataFrame:
-    """Intercept and slope of one term of a fitted model, ready for percent_change."""
-    def of(term):
-        return F.max(F.when(F.col("term") == term, F.col("estimate")))
+    """Intercept, slope and range of one term of a fitted model, ready for percent_change."""
+    def of(term, column="estimate"):
+        return F.max(F.when(F.col("term") == term, F.col(column)))
 
-    return fit.groupBy(*as_list(keys)).agg(of("(Intercept)").alias("intercept"), of(x).alias("slope"))
+    return fit.groupBy(*as_list(keys)).agg(
+        of("(Intercept)").alias("intercept"), of(x).alias("slope"), of(x, "x_min").alias("x_min"), of(x, "x_max").alias("x_max")
+    )
 
 
 def weighted_polynomial(

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoalwise.frames import as_list, null_safe_join
+from shoalwise.frames import as_list, durable, null_safe_join
 from shoalwise.functions.columns import missing_as_null, parsed
+from shoalwise.operators.ordered import running_in_blocks
 
 
 def widen(
@@ -38,34 +39,20 @@ def zero_fill(
     keys: str | Sequence[str],
     category: str,
     value: str,
-    categories: Sequence | None = None,
+    categories: Sequence,
     fill: float = 0.0,
 ) -> DataFrame:
-    """Every key gets every category; pairs that were absent get ``fill``.
+    """Every key gets every listed category; pairs that were absent get ``fill``.
 
-    Without a category list the distinct names found in ``df`` are used.  They
-    enter as one array value, no longer than the rows one key has in the output.
+    The list bounds the rows per key; rows of other categories are left out.
     """
-    return _filled(df, as_list(keys), category, value, categories, fill).drop("__total")
-
-
-def _filled(
-    df: DataFrame, keys: list[str], category: str, value: str, categories: Sequence | None, fill: float
-) -> DataFrame:
-    """The filled rows with the total of their key."""
-    # both branches also ask for the values, so that Spark reuses one shuffle
-    periods = df.groupBy(*keys).agg(F.sum(value).alias("__total"))
-    if categories is not None:
-        names = F.array(*[F.lit(c) for c in categories])
-    else:
-        found = df.groupBy(category).agg(F.max(value).alias("__top"))
-        listed = found.agg(
-            F.struct(F.array_sort(F.collect_list(category)).alias("names"), F.max("__top").alias("top")).alias("s")
-        )
-        names = listed.scalar()["names"]
-    grid = periods.select(*keys, "__total", F.explode(names).alias(category))
+    keys = as_list(keys)
+    # both branches ask for the values, so that Spark reuses one shuffle
+    periods = df.groupBy(*keys).agg(F.sum(value).alias("__sum"))
+    names = F.array(*[F.lit(c) for c in categories])
+    grid = periods.select(*keys, F.explode(names).alias(category))
     filled = null_safe_join(grid, df.select(*keys, category, value), [*keys, category], "left")
-    return filled.select(*keys, category, F.coalesce(F.col(value), F.lit(fill)).alias(value), "__total")
+    return filled.select(*keys, category, F.coalesce(F.col(value), F.lit(fill)).alias(value))
 
 
 def repeat_rows(df: DataFrame, freq: str) -> DataFrame:
@@ -126,6 +113,11 @@ def join_covariates(
     return index.join(data, date, "right").join(last, date, "right")
 
 
-def order_labels(df: DataFrame, label: str, value: str) -> DataFrame:
-    """Rows in the order of a value, ties by label."""
-    return df.orderBy(value, label)
+def order_labels(df: DataFrame, label: str, value: str, rank: str = "rank") -> DataFrame:
+    """Each label's position, from 1, in the order of a value; ties by label, missing values last.
+
+    Labels are cut into ordered ranges first, so that no task ranks them all.
+    """
+    place = F.struct(F.col(value).isNull().alias("missing"), F.col(value).alias("value"), F.col(label).alias("label"))
+    ranged = durable(df.withColumn("__place", place).repartitionByRange("__place").withColumn("__block", F.spark_partition_id()))
+    return running_in_blocks(ranged, [], "__block", "__place", F.lit(1), rank).drop("__place", "__block")

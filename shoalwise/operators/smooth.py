@@ -15,9 +15,6 @@ from shoalwise.functions.columns import missing_as_null
 from shoalwise.operators.ordered import BLOCK, cumulative_weights, exact_quantiles, running_in_blocks
 from shoalwise.operators.regression import each_group
 
-# exp(-KERNEL_REACH^2 / 2) is below double precision of any density value.
-KERNEL_REACH = 9.0
-
 
 def _is_whole(df: DataFrame, column: str) -> bool:
     whole = (T.DateType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -163,13 +160,15 @@ def density(
     points: int = 512,
     bandwidth: float | None = None,
     margin: float = 3.0,
+    reach: float | None = None,
 ) -> DataFrame:
     """Gaussian kernel density of x per key on one shared grid.
 
     The bandwidth is shared: the mean of the keys' rule-of-thumb bandwidths.
     The grid runs ``margin`` bandwidths beyond the data.  Equal values are
-    merged first, and a value only meets the grid points where its kernel is
-    not lost to rounding.
+    merged first.  By default each value meets every grid point; with ``reach``
+    only those within so many bandwidths, which lowers a density by at most
+    exp(-reach^2 / 2) / (bandwidth sqrt(2 pi)).
     """
     keys = as_list(keys)
     rows = (
@@ -191,11 +190,11 @@ def density(
     )
     placed = attach(rows, grid, [])
     b, step, start = F.col("__b"), F.col("__step"), F.col("__from")
-    low = F.ceil((F.col("__x") - KERNEL_REACH * b - start) / step)
-    high = F.floor((F.col("__x") + KERNEL_REACH * b - start) / step)
-    reached = placed.withColumn(
-        "__k", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(points - 1))))
-    )
+    low, high = F.lit(0).cast("long"), F.lit(points - 1).cast("long")
+    if reach is not None:
+        low = F.greatest(low, F.ceil((F.col("__x") - reach * b - start) / step))
+        high = F.least(high, F.floor((F.col("__x") + reach * b - start) / step))
+    reached = placed.where(low <= high).withColumn("__k", F.explode(F.sequence(low, high)))
     u = (start + step * F.col("__k") - F.col("__x")) / b
     sums = reached.groupBy(*keys, "__k").agg(F.sum(F.col("__n") * F.exp(-u * u / 2)).alias("__sum"))
     sizes = rows.groupBy(*keys).agg(F.sum("__n").alias("__size"))

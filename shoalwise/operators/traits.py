@@ -76,16 +76,18 @@ def length_distribution(
     length: str = "length",
     freq: str = "freq",
     sentinel: float = 999.0,
+    keep_freq: bool = False,
 ) -> DataFrame:
-    """Frequency-weighted mean length per key.
+    """Frequency-weighted mean length per key; with ``keep_freq`` also the summed frequency.
 
     Lengths at or above the sentinel are missing.  The frequency is a weight;
     rows are not repeated.
     """
     times = checked_frequency(freq).cast("double")
     valid = lengths.where(F.col(length) < sentinel).withColumn("__f", times).where(F.col("__f") > 0)
+    total = [F.sum("__f").cast("long").alias(freq)] if keep_freq else []
     return valid.groupBy(*as_list(keys)).agg(
-        F.try_divide(F.sum(F.col(length) * F.col("__f")), F.sum("__f")).alias("length")
+        F.try_divide(F.sum(F.col(length) * F.col("__f")), F.sum("__f")).alias("length"), *total
     )
 
 
@@ -139,24 +141,6 @@ def metric_panel(
     return long.select(*keys, label.alias("group"), "metric", "mean", "se")
 
 
-# Group labels of the metrics shown together.
-METRIC_GROUPS = {
-    "temp": "Temperature",
-    "maxtemp": "Temperature",
-    "mintemp": "Temperature",
-    "TL": "Trophic Level",
-    "lowerlat": "Latitude",
-    "midlat": "Latitude",
-    "upperlat": "Latitude",
-    "length": "Length",
-    "longevity": "Longevity",
-    "generation_time": "Generation",
-    "maturity": "Maturity",
-    "K": "K",
-    "r": "r",
-}
-
-
 def error_bars(df: DataFrame, mean: str = "mean", se: str = "se") -> DataFrame:
     """Mean minus and plus one SE."""
     return df.withColumns({"lower": F.col(mean) - F.col(se), "upper": F.col(mean) + F.col(se)})

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from shoalwise.plans.queries import PERMUTATIONS, SEED, SPLIT_YEAR
+import itertools
+
+import numpy as np
+
+from shoalwise.plans.queries import PERMUTATIONS, SEED, SMOOTHING, SPLIT_YEAR
 
 OBS = """obs AS (
   SELECT l_returnflag AS survey, l_orderkey AS sample_id,
@@ -21,14 +25,14 @@ FISH = "grp IN ('SMALL', 'STANDARD')"
 ORDERS = """ord AS (
   SELECT CAST(o_orderdate AS DATE) AS day, CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
          CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
-         o_totalprice / 97 AS price, o_orderstatus AS status FROM orders)"""
+         o_totalprice / 100 AS price, o_orderstatus AS status FROM orders)"""
 
 
 # Queries with a date column, which is compared as text.
 DATED = frozenset(
     """monthly_richness fish_richness present_richness monthly_shannon monthly_simpson regional_richness regional_taxa
-    regional_shannon composition_filled composition_wide monthly_environment daily_environment mean_line covariate_join
-    deviance_residuals""".split()
+    regional_shannon composition_filled composition_sparse composition_wide monthly_environment daily_environment mean_line covariate_join
+    deviance_residuals fixed_gam_residuals""".split()
 )
 
 
@@ -83,7 +87,7 @@ totals AS (
 curve AS (SELECT year, k, avg(richness) AS richness FROM totals GROUP BY year, k)"""
 SLOPES = f"""{CURVE},
 slopes AS (
-  SELECT year, regr_slope(richness, ln(k)) AS est,
+  SELECT year, regr_slope(richness, ln(k)) AS slope,
          sqrt((regr_syy(richness, ln(k)) - regr_slope(richness, ln(k)) * regr_sxy(richness, ln(k)))
               / (count(*) - 2) / regr_sxx(richness, ln(k))) AS se,
          regr_r2(richness, ln(k)) AS r2, count(*) AS n
@@ -96,7 +100,7 @@ yearly AS (SELECT DISTINCT year, taxon_name FROM named),
 matched AS (
   SELECT *, upper_lat - (upper_lat - lower_lat) / 2 AS mid_lat FROM yearly LEFT JOIN traits USING (taxon_name))"""
 LENGTHS = """lengths AS (
-  SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_partkey AS taxon, l_extendedprice / 97 AS length,
+  SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_partkey AS taxon, l_extendedprice / 100 AS length,
          l_linenumber AS freq, p_name AS taxon_name, p_type AS grp
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
@@ -121,7 +125,8 @@ ERF = "(SELECT 2 / sqrt(pi()) * sum((1 - 2 * (i % 2)) * exp((2 * i + 1) * ln({x}
 def normal_p(z: str) -> str:
     """Two-sided tail by the error function's series."""
     series = ERF.format(x=f"(abs({z}) / sqrt(2))")
-    return f"CASE WHEN {z} = 0 THEN 1.0 ELSE 1 - {series} END"
+    # beyond 6 the tail is under the digits kept, and the series loses its own
+    return f"CASE WHEN {z} = 0 THEN 1.0 WHEN abs({z}) > 6 THEN 0.0 ELSE 1 - {series} END"
 
 
 def student_p(t: str, v: str) -> str:
@@ -216,11 +221,154 @@ def poisson_terms(name: str, model: str, a: str, b: str, digits: int = 5) -> str
     rows = (("(Intercept)", 0), (a, 1), (b, 2))
     return " UNION ALL ".join(
         f"SELECT '{model}' AS model_id, '{label}' AS term, {r(f'b{i}', digits)} AS estimate, "
-        f"{r(f'e{i}', digits)} AS std_error FROM {name}"
+        f"{r(f'e{i}', digits)} AS std_error, {r(f'b{i} / e{i}', 3)} AS z, {r(normal_p(f'(b{i} / e{i})'))} AS p FROM {name}"
         for label, i in rows
     )
 
 
+def eliminated(source: str, keep: str, size: int, sides: int) -> str:
+    """Solve symmetric systems row by row: columns a{i}_{j} (i <= j) and right sides g{i}_{k} give s{i}_{k}."""
+    rest = lambda p: ", ".join(
+        [f"a{i}_{j}" for i in range(p + 1) for j in range(i, size)] + [f"g{i}_{k}" for i in range(p + 1) for k in range(sides)]
+    )
+    for p in range(size - 1):
+        rows = [
+            f"a{i}_{j} - a{p}_{i} * a{p}_{j} / a{p}_{p} AS a{i}_{j}" for i in range(p + 1, size) for j in range(i, size)
+        ] + [f"g{i}_{k} - a{p}_{i} * g{p}_{k} / a{p}_{p} AS g{i}_{k}" for i in range(p + 1, size) for k in range(sides)]
+        source = f"(SELECT {keep}, {rest(p)}, {', '.join(rows)} FROM {source})"
+    for i in reversed(range(size)):
+        found = [
+            f"(g{i}_{k}{''.join(f' - a{i}_{j} * s{j}_{k}' for j in range(i + 1, size))}) / a{i}_{i} AS s{i}_{k}" for k in range(sides)
+        ]
+        source = f"(SELECT *, {', '.join(found)} FROM {source})"
+    return source
+
+
+def all_subsets(terms: dict[str, list[str]], steps: int = 9) -> str:
+    """Poisson fits of every subset of terms: Newton steps of all models in one recursive query.
+
+    Columns outside a model get a unit row, so that all systems have one size.
+    Gives ``ranked`` (the models in order) and ``est`` (raw coefficients and variances).
+    """
+    columns = [c for cs in terms.values() for c in cs]
+    size = len(columns) + 1
+    models = []
+    for n in range(len(terms) + 1):
+        for chosen in itertools.combinations(terms, n):
+            flags = [str(int(any(c in terms[t] for t in chosen))) for c in columns]
+            models.append(f"('{' + '.join(chosen) or '1'}', {', '.join(flags)})")
+    k = ["1"] + [f"k{i}" for i in range(1, size)]
+    x = ["1"] + [f"x{i}" for i in range(1, size)]
+    b = [f"b{i}" for i in range(size)]
+    flags, eta = ", ".join(k[1:]), " + ".join(f"b{i} * {x[i]}" for i in range(size))
+    gram = [
+        f"{k[i]} * {k[j]} * sum(m * {x[i]} * {x[j]})" + (f" + 1 - {k[i]}" if i == j else "") + f" AS a{i}_{j}"
+        for i in range(size)
+        for j in range(i, size)
+    ]
+    slopes = [f"{k[i]} * sum((y - m) * {x[i]}) AS g{i}_0" for i in range(size)]
+    keep = f"name, {flags}, step, {', '.join(b)}"
+
+    def sums(sides: list[str], at: str) -> str:
+        return f"(SELECT {keep}, {', '.join([*gram, *sides])} FROM (SELECT *, exp({eta}) AS m FROM d, fit WHERE {at}) GROUP BY {keep})"
+
+    step = eliminated(sums(slopes, f"step < {steps}"), keep, size, 1)
+    # right sides of the variances: the raw intercept's weights, then each column alone
+    unit = [f"{k[i]} * {'1' if i == 0 else f'(0 - c{i})'} AS g{i}_0" for i in range(size)] + [
+        f"CAST({int(i == j)} AS DOUBLE) * {k[i]} AS g{i}_{j}" for i in range(size) for j in range(1, size)
+    ]
+    last = f"(SELECT * FROM fit WHERE step = {steps})"
+    gram_at_end = f"(SELECT {keep}, {', '.join(gram)} FROM (SELECT *, exp({eta}) AS m FROM d, {last}) GROUP BY {keep})"
+    inverse = eliminated(f"(SELECT {keep}, {', '.join(f'a{i}_{j}' for i in range(size) for j in range(i, size))}, {', '.join(unit)} FROM {gram_at_end}, c)", keep, size, size)
+    raw0 = "b0" + "".join(f" - b{i} * c{i}" for i in range(1, size))
+    var0 = "s0_0" + "".join(f" - k{i} * c{i} * s{i}_0" for i in range(1, size))
+    est = [f"SELECT name, '(Intercept)' AS term, {raw0} AS b, {var0} AS v, 0 AS place FROM inv, c"] + [
+        f"SELECT name, '{column}', b{i}, s{i}_{i}, {i} FROM inv WHERE k{i} = 1" for i, column in enumerate(columns, 1)
+    ]
+    waves = {"cosine": "cos(2 * pi() * month / 10)", "sine": "sin(2 * pi() * month / 10)"}
+    value = [waves.get(c, c) for c in columns]
+    edf = " + ".join(k)
+    return f"""c AS (SELECT {', '.join(f'avg({v}) AS c{i}' for i, v in enumerate(value, 1))} FROM series),
+d AS (SELECT CAST(richness AS DOUBLE) AS y, {', '.join(f'{v} - c{i} AS x{i}' for i, v in enumerate(value, 1))} FROM series, c),
+models(name, {flags}) AS (VALUES {', '.join(models)}),
+fit AS (
+  SELECT name, {flags}, 0 AS step, (SELECT ln(avg(y)) FROM d) AS b0, {', '.join(f'CAST(0 AS DOUBLE) AS b{i}' for i in range(1, size))} FROM models
+  UNION ALL
+  SELECT name, {flags}, step + 1, {', '.join(f'b{i} + s{i}_0' for i in range(size))} FROM {step}),
+inv AS (SELECT * FROM {inverse}),
+est AS ({' UNION ALL '.join(est)}),
+worth AS (SELECT name, {edf} AS edf,
+    sum(2 * (CASE WHEN y > 0 THEN y * ln(y / m) ELSE 0 END - (y - m))) AS deviance,
+    -2 * sum(y * ln(m) - m - lgamma(y + 1)) + 2 * ({edf}) AS aic
+  FROM (SELECT *, exp({eta}) AS m FROM d, {last}) GROUP BY name, {flags}),
+weighed AS (SELECT *, aic - min(aic) OVER () AS delta, exp(-(aic - min(aic) OVER ()) / 2) AS raw FROM worth),
+shares AS (SELECT *, raw / sum(raw) OVER () AS weight, row_number() OVER (ORDER BY aic, name) AS rank FROM weighed),
+ranked AS (SELECT *, sum(weight) OVER (ORDER BY rank) AS cumulative, sum(weight) OVER (ORDER BY rank) - weight < 0.95 AS in_set FROM shares)"""
+
+
+def month_splines(knots: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Values in months 1 to 12 of the periodic cubic splines that are 1 at one knot, and their penalty.
+
+    From the definition: piecewise cubic, twice continuously differentiable,
+    knots evenly from 1 to 12, which are one point.
+    """
+    n, h = knots - 1, 11 / (knots - 1)
+    turn = np.roll(np.eye(n), 1, axis=1)  # to the next knot
+    bend = np.linalg.solve((turn + turn.T) * h / 6 + np.eye(n) * 2 * h / 3, (turn + turn.T - 2 * np.eye(n)) / h)
+    values = []
+    for month in range(1, 13):
+        at = (month - 1) % 11 / h
+        i = int(at)
+        right = at - i
+        left = 1 - right
+        ends = left * np.eye(n)[i % n] + right * np.eye(n)[(i + 1) % n]
+        values.append(ends + h * h / 6 * ((left**3 - left) * bend[i % n] + (right**3 - right) * bend[(i + 1) % n]))
+    return np.array(values), (turn + turn.T - 2 * np.eye(n)) / h @ bend
+
+
+def penalised(smoothing: float, linear: tuple[str, ...], steps: int = 12) -> str:
+    """Penalised Poisson fit of linear terms and a cyclic smooth of the month; the smooth has the intercept in it."""
+    values, penalty = month_splines()
+    n, m = len(linear), values.shape[1]
+    size = n + m
+    x = [f"x{i}" for i in range(size)]
+    b = ", ".join(f"b{i}" for i in range(size))
+    eta = " + ".join(f"b{i} * x{i}" for i in range(size))
+    s = lambda i, j: float(smoothing * penalty[i - n, j - n]) if i >= n and j >= n else 0.0
+    gram = ", ".join(f"sum(m * {x[i]} * {x[j]}) + ({s(i, j)!r}) AS a{i}_{j}" for i in range(size) for j in range(i, size))
+    pull = lambda i: "".join(f" - ({s(i, j)!r}) * b{j}" for j in range(n, size)) if i >= n else ""
+    slopes = ", ".join(f"sum((y - m) * {x[i]}){pull(i)} AS g{i}_0" for i in range(size))
+    means = ", ".join(f"avg(x{i}) AS m{i}" for i in range(size))
+    rows = "(SELECT *, exp({eta}) AS m FROM d, {fit})"
+    step = eliminated(f"(SELECT step, {b}, {gram}, {slopes} FROM {rows.format(eta=eta, fit=f'(SELECT * FROM fit WHERE step < {steps})')} GROUP BY step, {b})", f"step, {b}", size, 1)
+    # right sides: the intercept's weights, the linear terms, the penalty's columns
+    start = [f"{'-c%d' % i if i < n else f'm{i}'} AS g{i}_0" for i in range(size)]
+    unit = [f"{float(i == j)!r} AS g{i}_{j + 1}" for i in range(size) for j in range(n)]
+    back = [f"({s(i, j)!r}) AS g{i}_{j + 1}" for i in range(size) for j in range(n, size)]
+    at_end = f"(SELECT {b}, {gram} FROM {rows.format(eta=eta, fit='last')} GROUP BY {b})"
+    whole = f"(SELECT * EXCLUDE ({b}), {', '.join(start + unit + back)} FROM {at_end}, mean, c)"
+    solved = eliminated(whole, ", ".join(f"c{i}" for i in range(n)) + ", " + ", ".join(f"m{i}" for i in range(size)), size, size + 1)
+    base = " + ".join(f"b{i} * m{i}" for i in range(n, size)) + "".join(f" - b{i} * c{i}" for i in range(n))
+    base_v = " + ".join(f"m{i} * s{i}_0" for i in range(n, size)) + "".join(f" - c{i} * s{i}_0" for i in range(n))
+    lost = " + ".join(f"s{i}_{i + 1}" for i in range(n, size))
+    terms = [f"SELECT '(Intercept)' AS term, {base} AS b, sqrt({base_v}) AS e, 1.0 AS edf FROM last, inv"] + [
+        f"SELECT '{t}', b{i}, sqrt(s{i}_{i + 1}), 1.0 FROM last, inv" for i, t in enumerate(linear)
+    ]
+    table = ", ".join(f"({k + 1}, {', '.join(repr(float(v)) for v in row)})" for k, row in enumerate(values))
+    return f"""basis(of_month, {', '.join(f'z{i}' for i in range(m))}) AS (VALUES {table}),
+c AS (SELECT {', '.join(f'avg({t}) AS c{i}' for i, t in enumerate(linear))} FROM series),
+d AS (SELECT date, CAST(richness AS DOUBLE) AS y, {', '.join(f'{t} - c{i} AS x{i}' for i, t in enumerate(linear))},
+  {', '.join(f'CAST(z{i} AS DOUBLE) AS x{n + i}' for i in range(m))} FROM series JOIN basis ON of_month = month, c),
+mean AS (SELECT {means} FROM d),
+fit AS (
+  SELECT 0 AS step, {', '.join(f'CAST(0 AS DOUBLE) AS b{i}' if i < n else f'ln(avg(y)) AS b{i}' for i in range(size))} FROM d
+  UNION ALL SELECT step + 1, {', '.join(f'b{i} + s{i}_0' for i in range(size))} FROM {step}),
+last AS (SELECT * FROM fit WHERE step = {steps}),
+inv AS (SELECT *, {size} - ({lost}) AS edf FROM {solved}),
+terms AS ({' UNION ALL '.join(terms)}),
+mu AS (SELECT date, y AS richness, exp({eta}) AS fit FROM d, last)"""
+
+
 DEVIANCE = "2 * (CASE WHEN richness > 0 THEN richness * ln(richness / fit) ELSE 0 END - (richness - fit))"
 
 
@@ -308,7 +456,11 @@ shares AS (SELECT {keys}, {category}, round(coalesce(n, 0) / sum(n) OVER (PARTIT
   FROM grid LEFT JOIN c USING ({keys}, {category}))"""
 
     q["composition_share"] = f"WITH {NAMED}, {share('survey, year', 'grp')} SELECT * FROM shares"
-    q["composition_filled"] = f"WITH {NAMED}, {share('station, date', 'taxon_name')} SELECT * FROM shares"
+    q["composition_filled"] = f"WITH {NAMED}, {share('station, date', 'grp')} SELECT * FROM shares"
+    q["composition_sparse"] = (
+        f"WITH {NAMED}, c AS (SELECT station, date, taxon_name, sum(cpue) AS n FROM named WHERE taxon_name IS NOT NULL GROUP BY ALL) "
+        f"SELECT station, date, taxon_name, {r('n / sum(n) OVER (PARTITION BY station, date)', 8)} AS share FROM c"
+    )
     wide = ", ".join(
         f"max(CASE WHEN grp = '{g}' THEN share END) AS {g}"
         for g in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -348,8 +500,9 @@ shift AS (SELECT {lead}taxon, pe AS prop_early, pl AS prop_late, pl - pe AS diff
 years AS (SELECT survey, CAST(unnest(generate_series(min(year), max(year))) AS INTEGER) AS year FROM counts GROUP BY survey)
 SELECT survey, year, coalesce(n, 0) AS n FROM years LEFT JOIN counts USING (survey, year)"""
     q["introduction_rate"] = (
-        f"WITH {OBS}, {counts} SELECT survey, {r('avg(n)')} AS mean, {r('stddev_samp(n)')} AS sd, "
-        "count(*) AS years FROM counts GROUP BY survey"
+        f"WITH {OBS}, counts AS (SELECT survey, year, count(*) AS n FROM ({first}) WHERE year > 1992 GROUP BY ALL) "
+        f"SELECT survey, {r('avg(n)')} AS mean, {r('stddev_samp(n)')} AS sd, "
+        "count(*) AS years FROM counts WHERE year > 1993 GROUP BY survey"
     )
 
     q["accumulation_curve"] = f"WITH {CURVE} SELECT year, k, {r('richness')} AS richness FROM curve"
@@ -361,15 +514,15 @@ line AS (SELECT year, n, unnest(generate_series(1, n)) AS k FROM sizes)
 SELECT year, k, {r('''sum(CASE WHEN k > n - m THEN 1 ELSE 1 - exp(lgamma(n - m + 1) - lgamma(n - m - k + 1)
   - lgamma(n + 1) + lgamma(n - k + 1)) END)''', 5)} AS richness FROM line JOIN found USING (year) GROUP BY year, k"""
     q["accumulation_slope"] = (
-        f"WITH {SLOPES} SELECT year, {r('est')} AS est, {r('se')} AS se, {r('r2')} AS r2, n FROM slopes"
+        f"WITH {SLOPES} SELECT year, {r('slope')} AS slope, {r('se')} AS se, {r('r2')} AS r2, n FROM slopes"
     )
-    q["slope_quadratic"] = f"""WITH {SLOPES}, c AS (SELECT year, est, 1 / se AS w, year - avg(year) OVER () AS d FROM slopes),
+    q["slope_quadratic"] = f"""WITH {SLOPES}, c AS (SELECT year, slope AS est, 1 / se AS w, year - avg(year) OVER () AS d FROM slopes),
 m AS (SELECT sum(w) AS s0, sum(w*d) AS s1, sum(w*d*d) AS s2, sum(w*d*d*d) AS s3, sum(w*d*d*d*d) AS s4,
   sum(w*est) AS t0, sum(w*est*d) AS t1, sum(w*est*d*d) AS t2 FROM c),
 b AS (SELECT *, s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2) AS det FROM m)
-SELECT year, {r('est', 5)} AS est, {r('''(t0*(s2*s4-s3*s3) + t1*(s2*s3-s1*s4) + t2*(s1*s3-s2*s2)
+SELECT year, {r('est', 5)} AS slope, {r('''(t0*(s2*s4-s3*s3) + t1*(s2*s3-s1*s4) + t2*(s1*s3-s2*s2)
   + d*(t0*(s2*s3-s1*s4) + t1*(s0*s4-s2*s2) + t2*(s1*s2-s0*s3))
-  + d*d*(t0*(s1*s3-s2*s2) + t1*(s1*s2-s0*s3) + t2*(s0*s2-s1*s1)))/det''', 5)} AS quadratic FROM c, b"""
+  + d*d*(t0*(s1*s3-s2*s2) + t1*(s1*s2-s0*s3) + t2*(s0*s2-s1*s1)))/det''', 5)} AS curve FROM c, b"""
 
     def panel(rows: list[str]) -> str:
         body = " UNION ALL ".join(rows)
@@ -382,7 +535,7 @@ SELECT year, {r('est', 5)} AS est, {r('''(t0*(s2*s4-s3*s3) + t1*(s2*s3-s1*s4) +
     q["latitude_trend"] = f"WITH {NAMED}, {TRAITS} " + panel(lat)
     q["length_trend"] = f"WITH {LENGTHS}, {lengths_by('taxon_name')} " + panel([mean_se("stage", "length")])
     q["length_distribution"] = (
-        f"WITH {LENGTHS}, {lengths_by('taxon')} SELECT year, taxon, {r('length')} AS length FROM stage"
+        f"WITH {LENGTHS}, {lengths_by('taxon')} SELECT year, taxon, {r('length', 10)} AS length FROM stage"
     )
     q["log_length"] = (
         f"WITH {LENGTHS}, {lengths_by('taxon_name')} SELECT year, {r('avg(ln(length))', 8)} AS mean_log_length "
@@ -437,7 +590,7 @@ SELECT year, month, {r('avg(t)')} AS bottom_temp, {r('avg(100 * o / sat)')} AS b
         f"{r('avg(shannon) OVER (PARTITION BY survey)')} AS reference FROM div"
     )
     q["covariate_join"] = f"""WITH {OBS}, {ORDERS}, {rich.format('obs')},
-idx AS (SELECT date, count(*) AS score FROM ord WHERE status = 'P' AND month % 3 = 0 GROUP BY date),
+idx AS (SELECT date, count(*) AS score FROM ord GROUP BY date),
 peaks AS (SELECT date, max(price) AS peak FROM ord GROUP BY date),
 cal AS ({calendar('peaks', [], 'peak')})
 SELECT cal.date AS date, idx.score AS score, rich.richness AS richness, cal.peak AS peak
@@ -496,11 +649,17 @@ b AS (SELECT *, xx * zz - xz * xz AS det, (xy * zz - zy * xz) / (xx * zz - xz *
 s AS (SELECT *, my - bx * mx - bz * mz AS b0, (yy - bx * xy - bz * zy) / (n - 3) AS s2 FROM b)"""
     q["two_term_ols"] = f"""WITH {SURVEY}, {two}, rows AS (
   SELECT survey, '(Intercept)' AS term, b0 AS estimate,
-    sqrt(s2 * (1.0 / n + (mx * mx * zz - 2 * mx * mz * xz + mz * mz * xx) / det)) AS std_error FROM s
-  UNION ALL SELECT survey, 'year', bx, sqrt(s2 * zz / det) FROM s
-  UNION ALL SELECT survey, 'month', bz, sqrt(s2 * xx / det) FROM s)
+    sqrt(s2 * (1.0 / n + (mx * mx * zz - 2 * mx * mz * xz + mz * mz * xx) / det)) AS std_error, n - 3 AS v FROM s
+  UNION ALL SELECT survey, 'year', bx, sqrt(s2 * zz / det), n - 3 FROM s
+  UNION ALL SELECT survey, 'month', bz, sqrt(s2 * xx / det), n - 3 FROM s)
 SELECT survey, term, {r('estimate', 4)} AS estimate, {r('std_error', 4)} AS std_error,
-  {r('estimate / std_error', 4)} AS t FROM rows"""
+  {r('t', 4)} AS t, {r(student_p('t', 'v'), 4)} AS p
+FROM (SELECT *, estimate / std_error AS t FROM rows)"""
+    q["ols_summary"] = f"""WITH {SURVEY}, {two}, f AS (SELECT survey, n, yy, yy - bx * xy - bz * zy AS rss FROM b)
+SELECT survey, n, {r('1 - rss / yy', 4)} AS r2, {r('sqrt(rss / (n - 3))', 4)} AS sigma, {r('rss', 4)} AS deviance,
+  {r('yy', 4)} AS null_deviance, {r('n * (ln(2 * pi() * rss / n) + 1) + 8', 4)} AS aic FROM f"""
+    q["label_order"] = f"""WITH {OBS}, t AS (SELECT taxon, sum(cpue) AS n FROM obs GROUP BY taxon)
+SELECT taxon, n, row_number() OVER (ORDER BY n, taxon) AS rank FROM t"""
     q["two_term_change"] = f"""WITH {SURVEY}, {two},
 c AS (SELECT survey, b0 + bx * 1990 AS start_value, bx * (last - first) AS change FROM s)
 SELECT survey, {r('start_value', 4)} AS start_value, {r('change', 4)} AS change,
@@ -522,7 +681,7 @@ UNION ALL SELECT 'month', {r('(1 - b * b) / det')} FROM d UNION ALL SELECT 'pric
     )
     q["survey_cross_correlation"] = f"""WITH {SURVEY},
 a AS (SELECT date, richness AS x FROM sr WHERE survey = 'A'),
-b AS (SELECT date, richness AS y FROM sr WHERE survey = 'R' AND month <> 7),
+b AS (SELECT date, richness AS y FROM sr WHERE survey = 'R'),
 both_ AS (SELECT date, x, y FROM a JOIN b USING (date)), """ + lagged(
         "both_", "", "x", "y", 50, "row_number() OVER (ORDER BY date)"
     )
@@ -533,10 +692,11 @@ both_ AS (SELECT date, x, y FROM a JOIN b USING (date)), """ + lagged(
     )
     q["poisson_factor_glm"] = f"""WITH {SERIES},
 g AS (SELECT month, avg(richness) AS m, sum(richness) AS s FROM series GROUP BY month),
-one AS (SELECT m AS m1, s AS s1 FROM g WHERE month = 1)
-SELECT 'model' AS model_id, CASE WHEN month = 1 THEN '(Intercept)' ELSE concat('month', month) END AS term,
-  {r('CASE WHEN month = 1 THEN ln(m1) ELSE ln(m) - ln(m1) END', 5)} AS estimate,
-  {r('CASE WHEN month = 1 THEN sqrt(1.0 / s1) ELSE sqrt(1.0 / s + 1.0 / s1) END', 5)} AS std_error FROM g, one"""
+one AS (SELECT m AS m1, s AS s1 FROM g WHERE month = 1),
+rows AS (SELECT CASE WHEN month = 1 THEN '(Intercept)' ELSE concat('month', month) END AS term,
+  CASE WHEN month = 1 THEN ln(m1) ELSE ln(m) - ln(m1) END AS b, CASE WHEN month = 1 THEN sqrt(1.0 / s1) ELSE sqrt(1.0 / s + 1.0 / s1) END AS e
+  FROM g, one)
+SELECT 'model' AS model_id, term, {r('b', 5)} AS estimate, {r('e', 5)} AS std_error, {r('b / e', 3)} AS z, {r(normal_p('(b / e)'))} AS p FROM rows"""
     mu = "mu AS (SELECT date, CAST(richness AS DOUBLE) AS richness, exp(b0 + b1 * price + b2 * month) AS fit FROM series, fit)"
     q["poisson_fit_summary"] = f"""WITH {SERIES}, {poisson_steps('series', 'price', 'month')}, {mu},
 d AS (SELECT count(*) AS n, sum({DEVIANCE}) AS dev, sum(richness * ln(fit) - fit - lgamma(richness + 1)) AS ll FROM mu),
@@ -551,26 +711,53 @@ SELECT CAST(n AS DOUBLE) AS n, {r('dev', 4)} AS deviance, {r('nul', 4)} AS null_
         + " UNION ALL ".join(poisson_terms(f"f_{c}", c, c, "month", 4) for c in candidates)
     )
     waves = (
-        "waves AS (SELECT date, richness, price, cos(2 * pi() * month / 10) AS costerm, "
-        "sin(2 * pi() * month / 10) AS sinterm FROM series)"
+        "waves AS (SELECT date, richness, price, cos(2 * pi() * month / 10) AS cosine, "
+        "sin(2 * pi() * month / 10) AS sine FROM series)"
     )
     q["harmonic_glm"] = (
-        f"WITH {SERIES}, {waves}, {poisson_steps('waves', 'costerm', 'sinterm')} "
-        + poisson_terms("fit", "model", "costerm", "sinterm")
-    )
+        f"WITH {SERIES}, {waves}, {poisson_steps('waves', 'cosine', 'sine')} "
+        + poisson_terms("fit", "model", "cosine", "sine")
+    )
+    every = {"price": ["price"], "year": ["year"], "shannon": ["shannon"], "harmonic(month)": ["cosine", "sine"]}
+    q["model_selection"] = f"""WITH RECURSIVE {SERIES}, {all_subsets(every)}
+SELECT CAST(rank AS INTEGER) AS rank, name AS model_id, {r('CAST(edf AS DOUBLE)')} AS edf, {r('deviance')} AS deviance, {r('aic')} AS aic,
+  {r('delta')} AS delta, {r('weight')} AS weight, {r('cumulative')} AS cumulative, in_set FROM ranked"""
+    del every["shannon"]
+    q["averaged_model"] = f"""WITH RECURSIVE {SERIES}, {all_subsets(every)},
+used AS (SELECT name, weight / sum(weight) OVER () AS w FROM ranked WHERE in_set),
+mean AS (SELECT term, sum(w * b) AS b, sum(w) AS share FROM est JOIN used USING (name) GROUP BY term),
+var AS (SELECT e.term, any_value(m.b) AS b, any_value(share) AS share,
+    sqrt(sum(w * (v + (e.b - m.b) * (e.b - m.b))) + (1 - any_value(share)) * any_value(m.b) * any_value(m.b)) AS e
+  FROM est e JOIN used USING (name) JOIN mean m ON m.term = e.term GROUP BY e.term)
+SELECT term, {r('b')} AS full_average, {r('e')} AS std_error, {r('b / e', 3)} AS z, {r(normal_p('(b / e)'))} AS p,
+  {r('b / share')} AS conditional_average, {r('share')} AS importance FROM var"""
     signed = f"sign(richness - fit) * sqrt(greatest({DEVIANCE}, 0))"
     q["deviance_residuals"] = (
         f"WITH {SERIES}, {poisson_steps('series', 'price', 'month')}, {mu} "
         f"SELECT date, CAST(richness AS BIGINT) AS richness, {r('fit', 4)} AS fit, {r(signed, 4)} AS residual FROM mu"
     )
     q["residual_cross_correlation"] = (
-        f"WITH {SERIES}, {waves}, {poisson_steps('waves', 'costerm', 'sinterm')}, "
+        f"WITH {SERIES}, {waves}, {poisson_steps('waves', 'cosine', 'sine')}, "
         "mu AS (SELECT date, price, CAST(richness AS DOUBLE) AS richness, "
-        "exp(b0 + b1 * costerm + b2 * sinterm) AS fit FROM waves, fit), "
+        "exp(b0 + b1 * cosine + b2 * sine) AS fit FROM waves, fit), "
         f"res AS (SELECT date, price, {signed} AS residual FROM mu), "
         + lagged("res", "", "price", "residual", 48, MONTHS)
     )
 
+    gam = f"WITH RECURSIVE {SERIES}, {penalised(SMOOTHING, ('price', 'year'))}"
+    q["fixed_gam_terms"] = f"""{gam}
+SELECT term, {r('b', 5)} AS estimate, {r('e', 5)} AS std_error, {r('b / e', 3)} AS z, {r(normal_p('(b / e)'), 5)} AS p, {r('edf', 5)} AS edf FROM terms
+UNION ALL SELECT 's(month)', NULL, NULL, NULL, NULL, {r('edf - 3', 5)} FROM inv"""
+    q["fixed_gam_summary"] = f"""{gam},
+v AS (SELECT count(*) AS n, sum({DEVIANCE}) AS dev, sum(richness * ln(fit) - fit - lgamma(richness + 1)) AS ll FROM mu),
+z AS (SELECT sum({DEVIANCE}) AS nul FROM (SELECT richness, avg(richness) OVER () AS fit FROM mu))
+SELECT CAST(n AS DOUBLE) AS n, {r('edf', 5)} AS edf, {r('dev', 5)} AS deviance, {r('nul', 5)} AS null_deviance,
+  {r('1 - dev / nul', 5)} AS deviance_explained, {r('ll', 5)} AS loglik, {r('2 * edf - 2 * ll', 5)} AS aic,
+  {r('(dev + 2 * edf) / n - 1', 5)} AS ubre, true AS converged, false AS at_bound FROM v, z, inv"""
+    q["fixed_gam_residuals"] = (
+        f"{gam} SELECT date, CAST(richness AS BIGINT) AS richness, {r('fit', 4)} AS fit, {r(signed, 4)} AS residual FROM mu"
+    )
+
     q["kernel_density"] = f"WITH {LENGTHS}, {lengths_by('taxon')}, " + kernel("stage", "length", 128, 8, 5)
     q["log_density"] = (
         f"WITH {LENGTHS}, {lengths_by('taxon')}, logs AS (SELECT year, ln(length) AS log_length FROM stage), "
@@ -586,8 +773,8 @@ SELECT CAST(n AS DOUBLE) AS n, {r('dev', 4)} AS deviance, {r('nul', 4)} AS null_
     )
     quart = ", ".join(f"{r(f'quantile_cont(length, {p})')} AS q{i}" for i, p in enumerate((0.25, 0.5, 0.75)))
     q["length_quartiles"] = f"WITH {LENGTHS} SELECT year, {quart} FROM lengths GROUP BY year"
-    q["harmonic_terms_by_month"] = f"""WITH {OBS} SELECT month, {r('max(cos(2 * pi() * month / 10))')} AS costerm,
-  {r('max(sin(2 * pi() * month / 10))')} AS sinterm, count(*) AS n FROM obs GROUP BY month"""
+    q["harmonic_terms_by_month"] = f"""WITH {OBS} SELECT month, {r('max(cos(2 * pi() * month / 10))')} AS cosine,
+  {r('max(sin(2 * pi() * month / 10))')} AS sine, count(*) AS n FROM obs GROUP BY month"""
     return {k: f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ({v})" if k in DATED else v for k, v in q.items()}
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalwise import operators as op
-from shoalwise.frames import durable
+from shoalwise.frames import durable, lookup
 from shoalwise.functions import harmonic_terms, season
 from shoalwise.session import ship
 from shoalwise.sources import star
@@ -138,20 +138,29 @@ def species_totals(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def composition_share(spark: SparkSession, folder: str) -> DataFrame:
     totals = star.named_totals(spark, folder, ["survey", "year"])
-    return rounded(op.composition(totals, ["survey", "year"], "grp"), 8)
+    return rounded(op.composition(totals, ["survey", "year"], "grp", fill=True, categories=star.part_types(spark, folder)), 8)
 
 
 @query
 def composition_filled(spark: SparkSession, folder: str) -> DataFrame:
-    """Shares per station and month, where most categories are absent."""
+    """Shares of every group per station and month, absent groups included."""
+    totals = star.named_totals(spark, folder, ["station", "date"])
+    types = star.part_types(spark, folder)
+    return rounded(op.composition(totals, ["station", "date"], "grp", fill=True, categories=types), 8)
+
+
+@query
+def composition_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of the taxa caught per station and month; absent ones have no row."""
     totals = star.named_totals(spark, folder, ["station", "date"])
     return rounded(op.composition(totals, ["station", "date"], "taxon_name"), 8)
 
 
 @query
 def composition_wide(spark: SparkSession, folder: str) -> DataFrame:
-    shares = op.composition(star.named_totals(spark, folder, ["date"]), "date", "grp", categories=star.PART_TYPES)
-    return rounded(op.widen(shares, "date", "grp", "share", star.PART_TYPES), 8)
+    types = star.part_types(spark, folder)
+    shares = op.composition(star.named_totals(spark, folder, ["date"]), "date", "grp", fill=True, categories=types)
+    return rounded(op.widen(shares, "date", "grp", "share", types), 8)
 
 
 @query
@@ -180,7 +189,7 @@ def departures(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def introduction_rate(spark: SparkSession, folder: str) -> DataFrame:
-    counts = op.turnover_years(star.observations(spark, folder), "taxon", beyond=1995, keys="survey")
+    counts = op.turnover_years(star.observations(spark, folder), "taxon", beyond=1992, trim=1993, keys="survey")
     return rounded(op.turnover_rate(counts, "survey"))
 
 
@@ -210,15 +219,15 @@ def _slopes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def accumulation_slope(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(_slopes(spark, folder).select("year", F.col("slope").alias("est"), "se", "r2", "n"))
+    return rounded(_slopes(spark, folder).select("year", "slope", "se", "r2", "n"))
 
 
 @query
 def slope_quadratic(spark: SparkSession, folder: str) -> DataFrame:
     # curves are costly and their slopes few: written once, then fitted
-    slopes = durable(_slopes(spark, folder).select("year", F.col("slope").alias("est"), (1 / F.col("se")).alias("w")))
-    fit = op.weighted_polynomial(slopes, [], "est", "year", weights="w")
-    return rounded(op.polynomial_values(slopes, fit, [], "year", "quadratic").select("year", "est", "quadratic"), 5)
+    slopes = durable(_slopes(spark, folder).select("year", "slope", (1 / F.col("se")).alias("w")))
+    fit = op.weighted_polynomial(slopes, [], "slope", "year", weights="w")
+    return rounded(op.polynomial_values(slopes, fit, [], "year", "curve").select("year", "slope", "curve"), 5)
 
 
 # ------------------------------------------------------------ traits and lengths
@@ -234,7 +243,7 @@ def _latitude(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lengths(spark: SparkSession, folder: str) -> DataFrame:
-    return op.length_trend(fish(star.lengths(spark, folder)))
+    return op.length_trend(fish(star.named_lengths(spark, folder)))
 
 
 @query
@@ -254,12 +263,13 @@ def length_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def length_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(op.length_distribution(fish(star.lengths(spark, folder)), ["year", "taxon"]))
+    # means of few lengths end within ten decimals: no value is cut at a tie
+    return rounded(op.length_distribution(fish(star.named_lengths(spark, folder)), ["year", "taxon"]), 10)
 
 
 @query
 def log_length(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(op.mean_log_length(op.length_distribution(fish(star.lengths(spark, folder)))), 8)
+    return rounded(op.mean_log_length(op.length_distribution(fish(star.named_lengths(spark, folder)))), 8)
 
 
 @query
@@ -288,8 +298,10 @@ def metric_bars(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def repeated_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """Rows repeated by frequency against the weighted form."""
-    rows = op.repeat_rows(star.lengths(spark, folder).select("year", "grp", "length", "freq"), "freq")
-    return rounded(rows.groupBy("year", "grp").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("length")))
+    rows = op.repeat_rows(star.lengths(spark, folder), "freq")
+    sums = rows.groupBy("year", "taxon").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"))
+    named = lookup(sums, star.species(spark, folder), "taxon", "inner")
+    return rounded(named.groupBy("year", "grp").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("length")))
 
 
 @query
@@ -341,12 +353,9 @@ def mean_line(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def covariate_join(spark: SparkSession, folder: str) -> DataFrame:
-    """An index known for some months, the model table, and a full calendar."""
+    """A monthly index, the model table, and a full calendar."""
     obs, orders = star.observations(spark, folder), star.orders(spark, folder)
-    index = (
-        orders.where(F.col("status") == "P").groupBy("date").agg(F.count(F.lit(1)).alias("score"))
-        .where(F.month("date") % 3 == 0)
-    )
+    index = orders.groupBy("date").agg(F.count(F.lit(1)).alias("score"))
     data = op.richness(obs, "date")
     climate = op.complete_calendar(orders.groupBy(F.col("date").alias("day")).agg(F.max("price").alias("peak")), "day")
     return op.join_covariates(index, data, climate, "date", "day")
@@ -381,13 +390,19 @@ def trend_band(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def month_factor_ols(spark: SparkSession, folder: str) -> DataFrame:
     fit = op.ols(monthly_series(spark, folder), [], "richness", ["year"], factors=["month"])
-    return rounded(fit, 4)
+    return rounded(fit.select("term", "estimate", "std_error", "t", "p"), 4)
 
 
 @query
 def two_term_ols(spark: SparkSession, folder: str) -> DataFrame:
     fit = op.ols(_survey_richness(spark, folder), "survey", "richness", ["year", "month"])
-    return rounded(fit.select("survey", "term", "estimate", "std_error", "t"), 4)
+    return rounded(fit.select("survey", "term", "estimate", "std_error", "t", "p"), 4)
+
+
+@query
+def ols_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The two-term model as a whole: fit, residual scale and information criterion."""
+    return rounded(op.ols_summary(_survey_richness(spark, folder), "survey", "richness", ["year", "month"]), 4)
 
 
 @query
@@ -395,9 +410,7 @@ def two_term_change(spark: SparkSession, folder: str) -> DataFrame:
     """Change over the record along one term of a two-term model, from a fixed start."""
     rows = _survey_richness(spark, folder)
     line = op.ols_line(op.ols(rows, "survey", "richness", ["year", "month"]), "survey", "year")
-    span = rows.groupBy("survey").agg(F.min("year").alias("first"), F.max("year").alias("last"))
-    fit = line.join(span, "survey")
-    changed = op.percent_change(fit, "first", "last", start_at=1990.0)
+    changed = op.percent_change(line, start_at=1990.0)
     return rounded(changed.select("survey", "start_value", "change", "percent"), 4)
 
 
@@ -442,7 +455,7 @@ def survey_cross_correlation(spark: SparkSession, folder: str) -> DataFrame:
     """Two surveys aligned by date, remaining months taken as consecutive."""
     rich = op.richness(star.observations(spark, folder), ["survey", "date"])
     first = rich.where(F.col("survey") == "A").select("date", F.col("richness").alias("x"))
-    second = rich.where((F.col("survey") == "R") & (F.month("date") != 7)).select("date", F.col("richness").alias("y"))
+    second = rich.where(F.col("survey") == "R").select("date", F.col("richness").alias("y"))
     both = op.align_series(first, op.complete_calendar(second))
     return rounded(op.cross_correlation(both, [], "date", "x", "y", 50, index="rows"))
 
@@ -451,7 +464,7 @@ def survey_cross_correlation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _terms(fits: op.PoissonFits, digits: int = 5) -> DataFrame:
-    return rounded(fits.terms.select("model_id", "term", "estimate", "std_error"), digits)
+    return rounded(fits.terms.select("model_id", "term", "estimate", "std_error", "z", "p"), digits, z=3, p=6)
 
 
 @query
@@ -483,7 +496,7 @@ def harmonic_glm(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def deviance_residuals(spark: SparkSession, folder: str) -> DataFrame:
-    series = monthly_series(spark, folder)
+    series = durable(monthly_series(spark, folder))
     fits = op.poisson_glm(series, "richness", ["price", "month"])
     return rounded(fits.residuals(series).select("date", "richness", "fit", "residual"), 4)
 
@@ -491,7 +504,7 @@ def deviance_residuals(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def residual_cross_correlation(spark: SparkSession, folder: str) -> DataFrame:
     """A covariate against the residuals of a seasonal model, by lag."""
-    series = monthly_series(spark, folder)
+    series = durable(monthly_series(spark, folder))
     fits = op.poisson_glm(series, "richness", [], harmonics=[op.Harmonic("month")])
     return rounded(op.cross_correlation(fits.residuals(series), [], "date", "price", "residual", 48))
 
@@ -509,7 +522,7 @@ def averaged_model(spark: SparkSession, folder: str) -> DataFrame:
     _, averaged, _ = op.model_selection(
         monthly_series(spark, folder), "richness", ["price", "year", op.Harmonic("month")]
     )
-    return rounded(averaged)
+    return rounded(averaged, z=3)
 
 
 @query
@@ -531,23 +544,51 @@ def gam_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def gam_residuals(spark: SparkSession, folder: str) -> DataFrame:
-    series = monthly_series(spark, folder)
+    series = durable(monthly_series(spark, folder))
     fits = op.poisson_gam(series, "richness", ["year"], [op.Smooth("month", "cc", 10)])
     return rounded(fits.residuals(series).select("date", "richness", "fit", "residual"), 4)
 
 
+# given, so that the penalised fit has one solution to compare with
+SMOOTHING = 2.0
+
+
+def _fixed_gam(series: DataFrame) -> op.PoissonFits:
+    by_month = op.Smooth("month", "cc", 10)
+    return op.poisson_gam(series, "richness", ["price", "year"], [by_month], smoothing={by_month: SMOOTHING})
+
+
+@query
+def fixed_gam_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Linear terms and the smooth's degrees of freedom at a given smoothing."""
+    terms = _fixed_gam(monthly_series(spark, folder)).terms
+    return rounded(terms.where(~F.col("term").startswith("s(month).")).drop("model_id"), 5, z=3)
+
+
+@query
+def fixed_gam_summary(spark: SparkSession, folder: str) -> DataFrame:
+    fits = _fixed_gam(monthly_series(spark, folder))
+    return rounded(fits.models.drop("model_id", "iterations"), 5)
+
+
+@query
+def fixed_gam_residuals(spark: SparkSession, folder: str) -> DataFrame:
+    series = durable(monthly_series(spark, folder))
+    return rounded(_fixed_gam(series).residuals(series).select("date", "richness", "fit", "residual"), 4)
+
+
 # ------------------------------------------------------------ smooth summaries
 
 
 @query
 def kernel_density(spark: SparkSession, folder: str) -> DataFrame:
-    stage = op.length_distribution(fish(star.lengths(spark, folder)), ["year", "taxon"])
+    stage = op.length_distribution(fish(star.named_lengths(spark, folder)), ["year", "taxon"])
     return rounded(op.density(stage, "year", "length", points=128), 8, x=5)
 
 
 @query
 def log_density(spark: SparkSession, folder: str) -> DataFrame:
-    stage = op.length_distribution(fish(star.lengths(spark, folder)), ["year", "taxon"])
+    stage = op.length_distribution(fish(star.named_lengths(spark, folder)), ["year", "taxon"])
     return rounded(op.density(stage.withColumn("log_length", F.ln("length")), "year", "log_length", points=128), 7)
 
 
@@ -567,6 +608,13 @@ def length_quartiles(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(op.exact_quantiles(star.lengths(spark, folder), ["year"], "length", [0.25, 0.5, 0.75]), 6)
 
 
+@query
+def label_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Taxa by their summed catch, with their rank."""
+    totals = op.species_totals(star.observations(spark, folder), [])
+    return op.order_labels(totals, "taxon", "n")
+
+
 @query
 def harmonic_terms_by_month(spark: SparkSession, folder: str) -> DataFrame:
     terms = harmonic_terms("month")

@@ -1,6 +1,5 @@
 """The supplied star-schema tables read as survey data.
 
-Lengths and prices are divided by 97 so that means do not fall on rounding ties.
 A line item is an observation: the order is the sample, the supplier the
 station, the part the taxon and the quantity the catch.
 """
@@ -11,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalwise.frames import lookup
+from shoalwise.functions.columns import month_start
 from shoalwise.operators.community import species_totals
+from shoalwise.operators.traits import length_distribution
 
-# Part types standing in for fish groups, and all part types.
+# Part types standing in for fish groups.
 FISH_TYPES = ("SMALL", "STANDARD")
-PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -79,25 +79,40 @@ def traits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def part_types(spark: SparkSession, folder: str) -> list[str]:
+    """The groups of the species list: a vocabulary, one column or one row per key each."""
+    found = table(spark, folder, "part").select("p_type").where("p_type IS NOT NULL").distinct().collect()
+    return sorted(r["p_type"] for r in found)
+
+
 def lengths(spark: SparkSession, folder: str) -> DataFrame:
     day = F.col("l_shipdate").cast("date")
-    rows = table(spark, folder, "lineitem").select(
+    return table(spark, folder, "lineitem").select(
         F.year(day).alias("year"),
         F.col("l_partkey").alias("taxon"),
-        (F.col("l_extendedprice") / 97).alias("length"),
+        (F.col("l_extendedprice") / 100).alias("length"),
         F.col("l_linenumber").alias("freq"),
     )
-    return rows.join(species(spark, folder), "taxon", "inner")
+
+
+def named_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean length and summed frequency per year and taxon, with the taxon's name and group.
+
+    Lengths are reduced before the lookup, so the join moves one row per year
+    and taxon; taxa outside the species list are dropped.
+    """
+    reduced = length_distribution(lengths(spark, folder), ["year", "taxon"], keep_freq=True)
+    return lookup(reduced, species(spark, folder), "taxon", "inner")
 
 
 def orders(spark: SparkSession, folder: str) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
     return table(spark, folder, "orders").select(
         day.alias("day"),
-        F.trunc(day, "month").alias("date"),
+        month_start(F.year(day), F.month(day)).alias("date"),
         F.year(day).alias("year"),
         F.month(day).alias("month"),
-        (F.col("o_totalprice") / 97).alias("price"),
+        (F.col("o_totalprice") / 100).alias("price"),
         F.col("o_orderstatus").alias("status"),
     )
 

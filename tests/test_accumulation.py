@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from shoalwise import operators as op
 
-accumulation_module = importlib.import_module("shoalwise.operators.accumulation")
 ordered = importlib.import_module("shoalwise.operators.ordered")
 
 SCHEMA = "year int, tow string, taxon string, cpue double"
@@ -70,10 +69,9 @@ def sets_of(df, year):
     return out
 
 
-@pytest.mark.parametrize("split", [100_000, 50, 5])
-def test_hash_blocks_do_not_change_the_curve(large, monkeypatch, split):
-    monkeypatch.setattr(accumulation_module, "SPLIT_ABOVE", split)
-    monkeypatch.setattr(ordered, "BLOCK", 16)
+@pytest.mark.parametrize("block", [4096, 50, 5])
+def test_hash_blocks_do_not_change_the_curve(large, monkeypatch, block):
+    monkeypatch.setattr(ordered, "BLOCK", block)
     curve = op.accumulation(large, "year", "tow", permutations=10, seed=2)
     for year in (2000, 2001):
         got = [r["richness"] for r in curve.where(F.col("year") == year).orderBy("k").collect()]

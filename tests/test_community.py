@@ -132,23 +132,30 @@ def test_duplicate_region_key_raises(regional, spark):
         op.regional_diversity(data, twice).collect()
 
 
-@pytest.mark.parametrize("categories", [None, ("p", "q", "r")])
-def test_composition_fills_absent_categories(spark, rows, categories):
+def test_composition_fills_absent_categories(spark, rows):
     data = spark.createDataFrame(
         [(2000, "p", 3.0), (2000, "q", 1.0), (2001, "p", 2.0), (2001, "r", 2.0), (2001, None, 9.0)],
         "year int, habitat string, cpue double",
     )
-    got = rows(op.composition(data, "year", "habitat", categories=categories), "year", "habitat", "share")
+    got = rows(op.composition(data, "year", "habitat", fill=True, categories=("p", "q", "r")), "year", "habitat", "share")
     assert got == [
         (2000, "p", 0.75), (2000, "q", 0.25), (2000, "r", 0.0), (2001, "p", 0.5), (2001, "q", 0.0), (2001, "r", 0.5)
     ]
-    bare = op.composition(data, "year", "habitat", fill=False)
-    assert bare.count() == 4
+    assert op.composition(data, "year", "habitat").count() == 4
+    with pytest.raises(ValueError, match="list of categories"):
+        op.composition(data, "year", "habitat", fill=True)
+
+
+def test_composition_keeps_unlisted_categories_in_the_total(spark, rows):
+    data = spark.createDataFrame([(2000, "p", 3.0), (2000, "new", 1.0)], "year int, habitat string, cpue double")
+    assert rows(op.composition(data, "year", "habitat", categories=("p", "q")), "habitat", "share") == [("p", 0.75)]
+    filled = op.composition(data, "year", "habitat", fill=True, categories=("p", "q"))
+    assert rows(filled, "habitat", "share") == [("p", 0.75), ("q", 0.0)]
 
 
 def test_composition_zero_total_is_missing(spark, rows):
     data = spark.createDataFrame([(2000, "p", 0.0), (2001, "q", 1.0)], "year int, habitat string, cpue double")
-    got = rows(op.composition(data, "year", "habitat"), "year", "habitat", "share")
+    got = rows(op.composition(data, "year", "habitat", fill=True, categories=("p", "q")), "year", "habitat", "share")
     assert got == [(2000, "p", None), (2000, "q", None), (2001, "p", 0.0), (2001, "q", 1.0)]
 
 

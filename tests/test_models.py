@@ -226,7 +226,7 @@ def test_factor_and_harmonic_terms(counts):
     a = 2 * np.pi * pdf["month"] / 10
     b, *_ = dense_poisson(np.column_stack([np.ones(len(pdf)), pdf["temp"], np.cos(a), np.sin(a)]), pdf["y"].to_numpy(float))
     got = {r["term"]: r["estimate"] for r in fits.terms.collect()}
-    assert [got["temp"], got["costerm"], got["sinterm"]] == pytest.approx(b[1:].tolist(), rel=1e-6)
+    assert [got["temp"], got["cosine"], got["sine"]] == pytest.approx(b[1:].tolist(), rel=1e-6)
 
 
 def test_models_use_their_own_complete_rows(counts):
@@ -330,3 +330,55 @@ def test_huge_penalty_is_the_linear_model(counts):
     module._fit_all(table, blocks, [model])
     linear = op.poisson_glm(df, "y", ["temp"]).models.first()
     assert model.result["deviance"] == pytest.approx(linear["deviance"], rel=1e-5)
+
+
+def test_ols_with_very_many_levels_and_keys(spark):
+    """601 levels: slopes within levels, each level against the smallest of its key."""
+    rng = np.random.default_rng(3)
+    rows = [(k, int(f), float(x), float(0.5 * x + (f % 7) + e))
+            for k in ("a", "b") for f, x, e in zip(np.arange(1803) % 601, rng.normal(size=1803), rng.normal(size=1803))]
+    df = spark.createDataFrame(rows, "k string, f int, x double, y double")
+    got = {(r["k"], r["term"]): r for r in op.ols(df, "k", "y", ["x"], factors=["f"]).collect()}
+    assert len(got) == 2 * 602
+    for k in ("a", "b"):
+        mine = [r for r in rows if r[0] == k]
+        X = np.zeros((1803, 602))
+        X[:, 0], X[:, 1] = 1, [r[2] for r in mine]
+        for i, r in enumerate(mine):
+            if r[1]:
+                X[i, r[1] + 1] = 1
+        y = np.array([r[3] for r in mine])
+        inverse = np.linalg.inv(X.T @ X)
+        b = inverse @ X.T @ y
+        s2 = ((y - X @ b) ** 2).sum() / (1803 - 602)
+        for j, name in ((0, "(Intercept)"), (1, "x"), (2, "f1"), (601, "f600")):
+            assert got[k, name]["estimate"] == pytest.approx(b[j], rel=1e-8)
+            assert got[k, name]["std_error"] == pytest.approx(np.sqrt(s2 * inverse[j, j]), rel=1e-8)
+    assert got["a", "x"]["x_min"] == min(r[2] for r in rows if r[0] == "a")
+
+
+def test_text_factor_is_its_numbered_twin(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 3), "xyz"[i % 3], float(rng.normal()), int(rng.poisson(4 + i % 3))) for i in range(300)]
+    df = spark.createDataFrame(rows, "n int, s string, x double, y int")
+    by_number = {r["term"]: r for r in op.poisson_glm(df, "y", ["x"], factors=["n"]).terms.collect()}
+    fits = op.poisson_glm(df, "y", ["x"], factors=["s"])
+    by_text = {r["term"]: r for r in fits.terms.collect()}
+    assert set(by_text) == {"(Intercept)", "x", "sy", "sz"}
+    for a, b in (("sy", "n1"), ("sz", "n2"), ("x", "x")):
+        assert by_text[a]["estimate"] == pytest.approx(by_number[b]["estimate"], rel=1e-9)
+    mean = fits.residuals(df).groupBy("s").agg(F.avg("fit").alias("f"), F.avg("y").alias("y")).collect()
+    assert all(r["f"] == pytest.approx(r["y"]) for r in mean)
+    model = fits.models.first()
+    assert model["converged"] and model["iterations"] > 1 and not model["at_bound"]
+
+
+def test_best_model_alone_is_in_the_set(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=400)
+    df = spark.createDataFrame([(float(a), int(c)) for a, c in zip(x, rng.poisson(np.exp(1 + 2 * x)))], "x double, y int")
+    ranking, averaged, _ = op.model_selection(df, "y", ["x"])
+    top = ranking.orderBy("rank").collect()
+    assert top[0]["weight"] > 0.95 and top[0]["in_set"] and not top[1]["in_set"]
+    row = {r["term"]: r for r in averaged.collect()}["x"]
+    assert row["importance"] == 1 and row["std_error"] > 0 and row["p"] < 1e-6

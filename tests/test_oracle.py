@@ -9,7 +9,10 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+
+from shoalwise.plans.checks import ORACLES  # noqa: E402
+from shoalwise.plans.queries import QUERIES  # noqa: E402
 from tools.compare import differences, sql_frame  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,8 +20,8 @@ ROWS_ONLY = {"model_selection", "averaged_model", "poisson_gam", "gam_summary",
 
 
 def test_every_query_has_sql_or_is_listed():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):
@@ -27,9 +30,9 @@ def test_entry(spark):
     assert out.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
-    got = queries()[name](spark, FOLDER).toPandas()
+    got = QUERIES[name](spark, FOLDER).toPandas()
     assert len(got) > 0
-    if name in oracle_sql():
-        assert differences(got, sql_frame(FOLDER, oracle_sql()[name])) == ""
+    if name in ORACLES:
+        assert differences(got, sql_frame(FOLDER, ORACLES[name])) == ""

@@ -84,7 +84,7 @@ def test_split_metric_names_drops_the_prefix_once(spark, rows):
 def test_metric_panel_and_bars(spark, rows):
     a = spark.createDataFrame([(2000, "temp", 5.0, 1.0, 3)], "year int, trait string, mean double, se double, n int")
     b = spark.createDataFrame([(2000, "odd", 7.0, None, 3)], a.schema)
-    panel = op.error_bars(op.metric_panel([a, b], op.METRIC_GROUPS))
+    panel = op.error_bars(op.metric_panel([a, b], {"temp": "Temperature", "TL": "Trophic Level", "length": "Length"}))
     got = rows(panel, "metric", "group", "mean", "lower", "upper")
     assert got == [("odd", None, 7.0, None, None), ("temp", "Temperature", 5.0, 4.0, 6.0)]
 
@@ -95,7 +95,7 @@ def test_reshape_round_trip(spark, rows):
     assert rows(wide, "id", "a", "b") == [(1, 1.0, None), (2, 3.0, None)]
     back = op.lengthen(wide, "id", ["a", "b"], "name", "v")
     assert back.count() == 4
-    assert rows(op.zero_fill(long.where("v is not null"), "id", "name", "v"), "id", "name", "v") == [(1, "a", 1.0), (2, "a", 3.0)]
+    assert rows(op.zero_fill(long.where("v is not null"), "id", "name", "v", ["a"]), "id", "name", "v") == [(1, "a", 1.0), (2, "a", 3.0)]
 
 
 def test_environment_ignores_nan(spark, rows):
@@ -121,7 +121,7 @@ def test_scalar_helpers(spark):
     one = spark.range(1).select(presence(F.lit(4.0)).alias("a"), presence(F.lit(0.0)).alias("b"),
                                 *[c.alias(n) for n, c in harmonic_terms(F.lit(5)).items()]).first()
     assert (one["a"], one["b"]) == (1.0, 0.0)
-    assert one["costerm"] == pytest.approx(-1.0)
+    assert one["cosine"] == pytest.approx(-1.0)
 
 
 # ------------------------------------------------------------ files
@@ -212,3 +212,8 @@ def test_covariate_and_aligned_joins(spark, rows):
     assert got == [(d[1], None, 2, 7.0), (d[2], None, None, 8.0)]
     other = spark.createDataFrame([(d[0], 3), (d[1], None)], "date date, y int")
     assert rows(op.align_series(data, other), "date", "richness", "y") == [(d[0], 1, 3)]
+
+
+def test_order_labels_ranks_ties_and_missing(spark, rows):
+    df = spark.createDataFrame([("b", 2.0), ("a", 2.0), ("c", None), ("d", 1.0)], "label string, v double").repartition(3)
+    assert rows(op.order_labels(df, "label", "v"), "rank", "label") == [(1, "d"), (2, "a"), (3, "b"), (4, "c")]
