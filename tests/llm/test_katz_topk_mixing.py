@@ -119,7 +119,7 @@ def test_search_prunes_without_losing(spark):
     words = [b"needle", b"thread", b"bada"]
     at = shard.weigh(words, topk.np.array([6.0, 7.0, 0.2]))
     scored = []
-    plain = shard._scores
+    plain = shard._scores  # what it is asked to score
     shard._scores = lambda chosen, *rest: (scored.append(int(chosen.sum())), plain(chosen, *rest))[1]
     hits, _ = shard.search(at, 3)
     assert set(shard.ids[hits]) == {0, 1000, 2000} and sum(scored) < shard.n_blocks / 2
