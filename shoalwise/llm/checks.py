@@ -10,6 +10,9 @@ WITH turns AS (
 
 _ESCAPED = r"length(regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g'))"
 
+#: Words of a text whose A-Z are lower-cased.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
     "op1_chats": f"""{_TURNS}
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
@@ -22,4 +25,31 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_b
 q AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to FROM q""",
+    "op6_decontamination": f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(13, len(w)) AS k, array_to_string(w[j:j + least(13, len(w)) - 1], ' ') AS g
+  FROM b, generate_series(1, len(w) - least(13, len(w)) + 1) t(j) WHERE len(w) > 0),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (
+  SELECT doc_id, j, k, array_to_string(w[j:j + k - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT k FROM windows), generate_series(1, len(w) - k + 1) t(j)),
+hits AS (SELECT doc_id, j, k, item FROM places JOIN windows USING (k, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(j, j + k - 1)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_topk": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sizes AS (SELECT doc_id, len(w) AS n FROM d),
+tf AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY ALL),
+total AS (SELECT count(*) AS docs, avg(n) AS mean FROM sizes),
+idf AS (SELECT w, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS i FROM tf, total GROUP BY w, docs),
+scored AS (
+  SELECT q.doc_id AS query_id, tf.doc_id, round(sum(i * tf.c * 2.2 / (tf.c + 1.2 * (0.25 + 0.75 * n / mean))), 9) AS score
+  FROM tf q JOIN tf USING (w) JOIN idf USING (w) JOIN sizes ON sizes.doc_id = tf.doc_id, total
+  WHERE q.doc_id % 20 = 0 GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalwise.frames import null_safe_join
-from shoalwise.llm.common import spaced_word_count, staged
+from shoalwise.llm.common import spaced_word_count, staged, unused
 from shoalwise.operators.ordered import running_in_blocks
 
 #: Weights of the sources in their order, repeating.
@@ -198,10 +198,10 @@ def row_hash(docs: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns])
 
 
-def share_of(copy: Column) -> Column:
+def share_of(copy: Column, copies: str = "copies") -> Column:
     """Words that the ``copy``-th (from 1) of equal rows has of its entry's ``taken``."""
-    even = F.floor(F.col("taken") / F.col("copies"))
-    return (even + F.when(copy <= F.col("taken") % F.col("copies"), 1).otherwise(0)).cast("long")
+    even = F.floor(F.col("taken") / F.col(copies))
+    return (even + F.when(copy <= F.col("taken") % F.col(copies), 1).otherwise(0)).cast("long")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -210,11 +210,16 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     return every.select(F.col("key").alias("doc_id"), "size", "source_size", "target", share_of(F.col("copy")).alias("taken"))
 
 
-def with_taken(rows: DataFrame, amounts: DataFrame, row: str, copy: str) -> DataFrame:
-    """``rows`` with what the mix takes of each; ``row`` is the hash of its other columns, ``amounts`` has one row per hash.
+def with_taken(rows: DataFrame, mix: Mix) -> DataFrame:
+    """``rows``, which the mix was made of, with size, source_size, target and what the mix takes of each.
 
     The join deals the rows by the hash; equal rows are then numbered where they are.
     """
-    found = rows.join(amounts, row)
+    row, copy, copies = unused(rows, "row", "copy", "copies")
+    amounts = mix.taken().select(
+        F.col("row").alias(row), "size", "source_size", "target", "taken", F.col("copies").alias(copies)
+    )
+    found = rows.withColumn(row, row_hash(rows, mix.seed)).join(amounts, row)
     number = F.row_number().over(Window.partitionBy(row).orderBy(row))
-    return found.withColumn(copy, number).withColumn("taken", share_of(F.col(copy)))
+    taken = found.withColumn(copy, number).withColumn("taken", share_of(F.col(copy), copies))
+    return taken.drop(row, copy, copies)
