@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalwise.llm import decontam, mixing, private, simhash, toxicity
-from shoalwise.llm.common import staged, unused
+from shoalwise.llm.common import staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     added = ("size", "source_size", "target", "taken")
     rows = docs.drop(*added)
-    mix = mixing.Mix(rows)
-    row, copy = unused(rows, "row", "copy")
-    amounts = mix.taken().select(F.col("row").alias(row), "size", "source_size", "target", "taken", "copies")
-    hashed = rows.withColumn(row, mixing.row_hash(rows, mix.seed))
-    return mixing.with_taken(hashed, amounts, row, copy).select(*rows.columns, *added)
+    return mixing.with_taken(rows, mixing.Mix(rows)).select(*rows.columns, *added)
 
 
 STAGES = [
