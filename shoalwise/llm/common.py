@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoalwise.session import ship
+
 _roots: dict[str, str] = {}
 
 
@@ -32,6 +36,16 @@ def shared_root(spark: SparkSession) -> str:
     return _roots[context.applicationId]
 
 
+def shipped(f: Callable) -> Callable:
+    """``f(spark, ...)`` that first makes the package importable in Python workers."""
+
+    @wraps(f)
+    def run(spark: SparkSession, *args, **options):
+        return f(ship(spark), *args, **options)
+
+    return run
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared root."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalwise.llm import chats, decontam, katz, licenses, mixing, private, simhash, topk, toxicity, warc
-from shoalwise.llm.common import crc_remainder
+from shoalwise.llm.common import crc_remainder, shipped
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -127,7 +127,7 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: shipped(f)
     for f in (
         op1_chats,
         op2_private,
