@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalwise.llm import decontam, mixing, private, simhash, toxicity
-from shoalwise.llm.common import staged
+from shoalwise.llm.common import shipped, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +51,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("private_data", mask_private),
-    ("mixing", mix_sources),
+    ("toxicity", shipped(drop_toxic)),
+    ("near_duplicates", shipped(drop_near_duplicates)),
+    ("decontamination", shipped(drop_contaminated)),
+    ("private_data", shipped(mask_private)),
+    ("mixing", shipped(mix_sources)),
 ]
 
 #: SQL can express neither the learnt stages nor the fingerprints; tests hold the stages against plain Python.
