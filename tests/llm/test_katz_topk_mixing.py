@@ -121,7 +121,7 @@ def test_search_prunes_without_losing(spark):
     scored = []
     plain = shard._scores  # what it is asked to score
     shard._scores = lambda chosen, *rest: (scored.append(int(chosen.sum())), plain(chosen, *rest))[1]
-    hits, _ = shard.search(at, 3)
+    hits, _ = shard.search(at, shard.frequent([at])[0], 3)
     assert set(shard.ids[hits]) == {0, 1000, 2000} and sum(scored) < shard.n_blocks / 2
 
 
