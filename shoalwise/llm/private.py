@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -203,34 +205,61 @@ def look_alikes(kind: str, text: str) -> list[str]:
     return []
 
 
-def examples(texts: list[str], most: int) -> list[tuple[str, int, int, list[Span]]]:
-    """(text, zone start, zone end, true spans) from documents, then from spellings of what they hold."""
-    out: list[tuple[str, int, int, list[Span]]] = []
-    extra: list[tuple[str, list[Span]]] = []
-    alone: list[tuple[str, str]] = []
+def drawn(texts: list[str], most: int) -> list[tuple[str, int, int, list[Span]]]:
+    """At most ``most`` different zones of all documents, as (text around, zone start, zone end, true spans).
+
+    Zones are ordered by a hash, each document's first ones before any second
+    ones, so that no document fills the draw while others have zones left.
+    Each kind, and zones without any, has an equal share by that order; what
+    the shares leave over goes to the other zones by the same order.
+    """
+    pool: list[tuple[int, bytes, tuple[str, int, int, list[Span]]]] = []
+    seen: set[str] = set()
     for text in texts:
-        known = base_spans(text)
+        known = sorted(base_spans(text), key=lambda s: (s[1], s[1] - s[2]))
+        here, first = [], 0
         for a, b in zones(text):
-            true: list[Span] = []
+            while first < len(known) and known[first][1] < a:
+                first += 1
             # where an exact pattern ran on over several entities, it tells nothing
-            if any(len(re.sub("[^0-9]", "", m[0])) > 19 and " " in m[0] for p in (_CARD, _PHONE) for m in p.finditer(text, a, b)):
+            if text[a:b] in seen or any(len(re.sub("[^0-9]", "", m[0])) > 19 and " " in m[0] for p in (_CARD, _PHONE) for m in p.finditer(text, a, b)):
                 continue
-            for span in sorted(known, key=lambda s: (s[1], s[1] - s[2])):
-                if a <= span[1] and span[2] <= b and (not true or span[1] >= true[-1][2]):
+            seen.add(text[a:b])
+            true: list[Span] = []
+            for span in takewhile(lambda s: s[1] < b, known[first:]):  # noqa: B023
+                if span[2] <= b and (not true or span[1] >= true[-1][2]):
                     true.append(span)
-            out.append((text[max(0, a - 20) : b + 20], min(a, 20), min(a, 20) + b - a, [(k, s - max(0, a - 20), e - max(0, a - 20)) for k, s, e in true]))
-            if true:
-                kind, s, e = true[0]
-                alone.append((kind, text[s:e]))
-            for kind, s, e in true:
-                extra += [(x, [(kind, 0, len(x))]) for x in other_spellings(kind, text[s:e])]
-                extra += [(x, []) for x in look_alikes(kind, text[s:e])]
-        if len(out) >= most:
-            break
+            c = max(0, a - 20)
+            here.append((blake2b(text[a:b].encode(errors="replace")).digest(), (text[c : b + 20], a - c, b - c, [(k, s - c, e - c) for k, s, e in true])))
+        here.sort(key=lambda z: z[0])
+        pool += [(turn, *z) for turn, z in enumerate(here)]
+    pool.sort(key=lambda z: z[:2])
+    share, chosen = max(1, most // (len(KINDS) + 1)), set()
+    for kind in (*KINDS, None):
+        of_kind = [i for i, (*_, z) in enumerate(pool) if (any(k == kind for k, *_ in z[3]) if kind else not z[3])]
+        chosen.update(of_kind[:share])
+    others = [i for i in range(len(pool)) if i not in chosen]
+    chosen = sorted([*chosen, *others[: max(0, most - len(chosen))]])
+    return [pool[i][2] for i in chosen[:most]]
+
+
+def examples(texts: list[str], most: int) -> list[tuple[str, int, int, list[Span]]]:
+    """(text, zone start, zone end, true spans) drawn from all documents, then from spellings of what those hold."""
+    out = drawn(texts, most)
+    extra: list[tuple[str, list[Span]]] = []
+    alone: list[tuple[str, str]] = []
+    for text, _, _, true in out:
+        if true:
+            kind, s, e = true[0]
+            alone.append((kind, text[s:e]))
+        for kind, s, e in true:
+            extra += [(x, [(kind, 0, len(x))]) for x in other_spellings(kind, text[s:e])]
+            extra += [(x, []) for x in look_alikes(kind, text[s:e])]
     for (one, a), (two, b) in zip(alone, alone[1:], strict=False):
         extra.append((f"{a} {b}", [(one, 0, len(a)), (two, len(a) + 1, len(a) + 1 + len(b))]))
     shown = [(x, 0, len(x), true) for x, true in extra if len(x) >= 4]
-    return out[:most] + shown[:: max(1, len(shown) // most)][:most]
+    n = min(most, len(shown))
+    return out + [shown[i * len(shown) // n] for i in range(n)]
 
 
 def fit(texts: list[str], most: int = SAMPLE_ZONES, longest: int = LONGEST, epochs: int = 40, rate: float = 0.15) -> Field:
@@ -285,11 +314,15 @@ def fit(texts: list[str], most: int = SAMPLE_ZONES, longest: int = LONGEST, epoc
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", most_docs: int = SAMPLE_DOCS, **options) -> Field:
-    """Fit on at most ``most_docs`` documents with an ``@`` or a long number, chosen by a hash of the text."""
+    """Fit on at most ``most_docs`` different documents with an ``@`` or a long number, chosen by a hash of the text."""
     likely = docs.where(F.col(text).rlike("@|[0-9][0-9 ().-]{6}")).select(F.col(text).cast("string").alias("t"))
+    hashed = likely.select(F.xxhash64("t").alias("h"), "t")
+    # copies become one hash within each task, before anything is dealt or counted
+    lowest = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(most_docs).collect()]
     around = F.array_join(F.regexp_extract_all("t", F.lit(r"\S*\s?\S*(?:@|[0-9][0-9 ().-]{6})\S*\s?\S*"), 0), "\n")
-    rows = likely.select(F.xxhash64("t").alias("h"), around.alias("t")).orderBy("h").limit(most_docs).collect()
-    return fit([r["t"] for r in rows], **options)
+    chosen = hashed.where(F.col("h") <= (lowest[-1] if lowest else None)).dropDuplicates(["h"])
+    rows = chosen.select("h", around.alias("t")).collect()
+    return fit([r["t"] for r in sorted(rows, key=lambda r: r["h"])], **options)
 
 
 _LIKELY = re.compile(rb"[0-9@]")

@@ -6,6 +6,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shoalwise.llm import private, toxicity
 from tests.llm.conftest import prose
@@ -69,6 +70,29 @@ def test_field_learns_spans_and_leaves_numbers_alone():
         assert find(clean) == [], clean
 
 
+def test_copies_of_a_text_do_not_fill_the_sample(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(private_texts(60))], "doc_id long, text string")
+    lowest = docs.orderBy(F.xxhash64("text")).limit(1)
+    copies = lowest.crossJoin(spark.range(100).select(F.col("id").alias("copy"))).select("doc_id", "text")
+    field = private.train(docs, most_docs=40, epochs=5)
+    hot = private.train(docs.union(copies).repartition(3), most_docs=40, epochs=5)
+    assert field.weights.any() and np.array_equal(field.weights, hot.weights)
+
+
+def test_a_long_text_does_not_fill_the_zones():
+    long = " ".join(f"name{i}@mail{i}.example.org" for i in range(900))
+    texts = [long, *private_texts(200)]
+    got = private.examples(texts, 300)
+    own = [x for x in got[:300] if "example.org" in x[0]]
+    assert len(own) <= 20
+    for part in (got[:300], got[300:]):
+        assert {k for *_, true in part for k, _, _ in true} >= {"card", "phone"}
+    assert {k for *_, true in got for k, _, _ in true} == set(private.KINDS)
+    # a kind that is rare still has all it can give, and a single document may fill what others leave
+    rare = private.examples([f"{long} 10.20.30.40", "no zone"], 300)
+    assert len(rare) >= 300 and any(true and true[0][0] == "ip" for *_, true in rare[:300])
+
+
 def test_best_segmentation_is_the_best_of_all():
     rng = np.random.default_rng(1)
     field = private.Field(rng.normal(0, 1.5, (4, private.N_FEATURES)), 5)
