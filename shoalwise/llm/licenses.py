@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -68,26 +70,41 @@ def fuzzy_matches(text: bytes, compiled: list) -> list[tuple[int, int, str, int,
 
     A notice within e edits holds one of its e + 1 pieces unchanged, at most e
     bytes from that piece's place, so the windows around all pieces hold all
-    matches.  Windows that meet are searched as one.
+    matches.  Of matches of one notice that meet, the one with fewer edits
+    counts, then the first; what is left of a window is searched again, so
+    that a better match hides none beside it.
     """
     found = []
     for label, plain, edits, seeds, fuzzy in compiled:
-        windows = []
+        windows = set()
         for offset, seed in seeds:
             at = text.find(seed)
             while at >= 0:
-                windows.append((max(0, at - offset - edits - 1), at - offset + len(plain) + edits + 1))
+                a, b = max(0, at - offset - edits - 1), at - offset + len(plain) + edits + 1
+                windows.add((a, len(text) if b >= len(text) else text.rfind(b" ", a, b)))
                 at = text.find(seed, at + 1)
-        merged: list[list[int]] = []
-        for a, b in sorted(windows):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            for m in fuzzy.finditer(text, a, min(b, len(text))):
-                wrong = sum(m.fuzzy_counts)
-                found.append((m.start(), m.end(), label, wrong, 1 - wrong / len(plain)))
+        best: list[tuple[int, int, int, int, int]] = []
+        taken: list[tuple[int, int]] = []
+
+        def look(a: int, b: int) -> None:
+            """The best match of a stretch that ends with a word waits for its turn."""
+            if b - a >= len(plain) - edits and (m := fuzzy.search(text, a, b)):  # noqa: B023
+                heapq.heappush(best, (sum(m.fuzzy_counts), *m.span(), a, b))  # noqa: B023
+
+        for a, b in windows:
+            look(a, b)
+        while best:
+            wrong, start, end, a, b = heapq.heappop(best)
+            i = bisect.bisect_right(taken, (start, end))
+            met = [t for t in taken[max(0, i - 1) : i + 1] if t[0] < end and t[1] > start]
+            if not met:
+                taken.insert(i, (start, end))
+                found.append((start, end, label, wrong, 1 - wrong / len(plain)))
+                met = [(start, end)]
+            for s, e in met:
+                look(a, s - 1)
+                a = max(a, e + 1)
+            look(a, b)
     return sorted(found)
 
 

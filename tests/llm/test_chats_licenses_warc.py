@@ -108,6 +108,24 @@ def test_seeds_lose_no_fuzzy_match(seed):
     assert bool(licenses.fuzzy_matches(plain, compiled)) == bool(whole)
 
 
+def test_repeated_notices_with_different_edits_are_all_found():
+    notice = "released under the mit license"
+    compiled = licenses.patterns(((notice, "mit"),), licenses.EDIT_RATE)
+    got = licenses.fuzzy_matches(b"released under the mit licanse released under the mit license", compiled)
+    assert [m[:4] for m in got] == [(0, 30, "mit", 1), (31, 61, "mit", 0)]
+    rng = random.Random(4)
+    for _ in range(60):
+        want, text = [], ""
+        for _ in range(rng.randint(1, 12)):
+            text += rng.choice(("", "", "so ", "the code is "))
+            line, wrong = list(notice), rng.sample([i for i, c in enumerate(notice) if c != " "], rng.randint(0, 2))
+            for i in wrong:
+                line[i] = "q"
+            want.append((len(text), len(text) + len(notice), "mit", len(wrong)))
+            text += "".join(line) + " "
+        assert [m[:4] for m in licenses.fuzzy_matches(text.strip().encode(), compiled)] == want
+
+
 @pytest.mark.parametrize(
     ("url", "key"),
     [
