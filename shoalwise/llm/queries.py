@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalwise.llm import chats, decontam, katz, licenses, mixing, private, simhash, topk, toxicity, warc
+from shoalwise.llm import chats, decontam, katz, licenses, mixing, negatives, private, repair, simhash, tokencount, topk, toxicity, warc
 from shoalwise.llm.common import crc_remainder, shipped
 
 
@@ -126,6 +126,30 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(docs, docs.where(F.col("doc_id") % 20 == 0), k=10)
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every anchor, a row whose id is divisible by 100; labels of ids divisible by 7 are moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.prepared(_table(spark, folder, "embeddings"), "vec_id", moved, "embedding")
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op12_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    docs = _table(spark, folder, "documents")
+    counted = docs.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        tokencount.token_count(docs).alias("n_tokens"),
+    )
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage is planted."""
+    turns = _table(spark, folder, "conversations")
+    return repair.repair_digests(turns.select("conv_id").distinct(), repair.repair_conversations(repair.damaged(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f)
     for f in (
@@ -139,5 +163,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_katz,
         op10_topk,
+        op11_negatives,
+        op12_tokens,
+        op13_repair,
     )
 }
