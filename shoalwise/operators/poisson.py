@@ -14,7 +14,7 @@ import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from types import MappingProxyType
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,9 @@ from shoalwise.functions.tails import normal_sf2
 from shoalwise.operators.ordered import exact_quantiles
 from shoalwise.operators.regression import factor_levels
 
+if TYPE_CHECKING:
+    from shoalwise.operators.absorbed import AbsorbedFit
+
 MODELS_PER_PASS = 64
 DEVIANCE_TOLERANCE = 1e-9
 # Ends of the search for log smoothing parameters; a model at an end says so (at_bound).
@@ -734,9 +737,20 @@ def fit_poisson(
 
 def poisson_glm(
     df: DataFrame, y: str, xs: Sequence[str], factors: Sequence[str] = (), harmonics: Sequence[Harmonic] = (),
-    model_id: str = "model",
-) -> PoissonFits:
-    """Log-link Poisson model with numeric, factor and harmonic terms."""
+    model_id: str = "model", dense_levels: int = 256,
+) -> PoissonFits | AbsorbedFit:
+    """Log-link Poisson model with numeric, factor and harmonic terms.
+
+    Factors with more than ``dense_levels`` levels together are not made
+    columns: the two largest are absorbed, their effects stay tables, and
+    their levels have estimates without errors; the other terms are the same.
+    """
+    if factors:
+        from shoalwise.operators.absorbed import fit_absorbed
+        from shoalwise.operators.factors import level_counts
+
+        if sum(level_counts(df, factors).values()) > dense_levels:
+            return fit_absorbed(df, y, xs, factors, harmonics, model_id, dense_levels)
     return fit_poisson(df, y, {model_id: [*xs, *[Factor(f) for f in factors], *harmonics]})
 
 

@@ -7,7 +7,7 @@ near 2000 ruin plain sums of squares.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -121,8 +121,8 @@ def reference_line(df: DataFrame, keys: str | Sequence[str], value: str, out: st
 def factor_levels(df: DataFrame, factors: Sequence[str]) -> dict[str, list]:
     """Sorted levels of each factor, from one pass over ``df``.
 
-    They become model terms, so terms x terms sums must fit the driver; a
-    single factor of :func:`ols` does not come here.
+    They become terms of a Poisson model, so terms x terms sums must fit the
+    driver; factors of :func:`ols` do not come here.
     """
     if not factors:
         return {}
@@ -140,15 +140,6 @@ def factor_levels(df: DataFrame, factors: Sequence[str]) -> dict[str, list]:
     return levels
 
 
-def factor_columns(levels: Mapping[str, Sequence]) -> dict[str, Column]:
-    """Dummy columns of each factor; the smallest level is the reference."""
-    return {
-        f"{name}{level}": (F.col(name) == F.lit(level)).cast("double")
-        for name, values in levels.items()
-        for level in values[1:]
-    }
-
-
 def each_group(
     df: DataFrame, keys: Sequence[str], fields: Sequence[T.StructField], solve: Callable[[dict], list[tuple]]
 ) -> DataFrame:
@@ -273,14 +264,8 @@ def _ranges(columns: list[str]) -> list[Column]:
     return [F.array(*[f(c) for c in columns]).alias(name) for f, name in ((F.min, "lows"), (F.max, "highs"))]
 
 
-def _design(
-    df: DataFrame, keys: list[str], y: str, xs: Sequence[str], factors: Sequence[str], weights: str | None
-) -> tuple[DataFrame, list[str]]:
+def _design(df: DataFrame, keys: list[str], y: str, xs: Sequence[str], weights: str | None) -> tuple[DataFrame, list[str]]:
     columns = {x: missing_as_null(F.col(x).cast("double")) for x in xs}
-    if factors:
-        # written once: the levels and the sums read the same rows
-        df = durable(df.select(*dict.fromkeys([*keys, *xs, *factors, y, *([weights] if weights else [])])))
-    columns |= factor_columns(factor_levels(df, factors))
     names = list(columns)
     extra = [F.col(weights).cast("double").alias("__w")] if weights else []
     rows = df.select(
@@ -302,18 +287,26 @@ def ols(
     xs: Sequence[str],
     factors: Sequence[str] = (),
     weights: str | None = None,
+    dense_levels: int | None = None,
 ) -> DataFrame:
     """Gaussian linear model per key: one row per term, with the range of each numeric term.
 
-    ``factors`` are columns used as categories, the smallest level being the
-    reference.  A single factor without weights is fitted by deviations within
-    its levels, which stay a grouped aggregate however many they are.  Rows
-    with a missing value are dropped.
+    ``factors`` are columns used as categories; a key's smallest level is the
+    reference.  They may have any number of levels, which stay rows of tables.
+    While all factors but the largest have at most ``dense_levels`` levels
+    together (default :data:`factors.DENSE_LEVELS`), every term has its
+    standard error.  Beyond that two factors are solved by conjugate gradients
+    and further ones must stay within that number; numeric terms then have
+    exact errors, levels have estimates only, since each error would be a
+    solve of its own.  A level that no cells connect with the reference has a
+    NULL estimate there.  Rows with a missing value are dropped.
     """
     keys = as_list(keys)
-    if len(factors) == 1 and weights is None:
-        return _within_levels(df, keys, y, list(xs), factors[0])
-    rows, names = _design(df, keys, y, xs, factors, weights)
+    if factors:
+        from shoalwise.operators.factors import DENSE_LEVELS, fit_factors
+
+        return fit_factors(df, keys, y, list(xs), list(factors), weights, DENSE_LEVELS if dense_levels is None else dense_levels).terms
+    rows, names = _design(df, keys, y, xs, weights)
     size = len(names) + 1
     columns = [*[f"__x{i}" for i in range(len(names))], "__y"]
     sums = _centred_sums(rows, keys, columns, "__w" if weights else None)
@@ -336,80 +329,17 @@ def ols(
     return each_group(sums, keys, OLS_FIELDS, solve)
 
 
-def _within_levels(df: DataFrame, keys: list[str], y: str, xs: list[str], factor: str) -> DataFrame:
-    """Model with one factor: slopes from deviations within levels, then each level against the key's smallest.
+def ols_summary(
+    df: DataFrame, keys: str | Sequence[str], y: str, xs: Sequence[str], factors: Sequence[str] = (), dense_levels: int | None = None
+) -> DataFrame:
+    """Model-level row per key: n, r2, sigma, deviance, null_deviance and aic of the linear model.
 
-    Terms that do not vary within levels are aliased.  No level is collected:
-    levels are rows of an aggregate, and only xs x xs systems are solved.
+    ``factors`` and ``dense_levels`` are those of :func:`ols`.
     """
-    size = len(xs) + 1
-    columns = [*[f"__x{i}" for i in range(len(xs))], "__y"]
-    rows = df.select(
-        *keys,
-        F.col(factor).alias("__level"),
-        *[missing_as_null(F.col(c).cast("double")).alias(n) for c, n in zip([*xs, y], columns, strict=True)],
-    ).na.drop("any", subset=["__level", *columns])
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    levels = durable(_centred_sums(rows, [*keys, "__level"], columns, None))
-    inside = levels.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        F.count(F.lit(1)).alias("levels"),
-        F.min_by(F.struct("__level", "n", "means"), "__level").alias("first"),
-        F.array(*[F.sum(F.col("sums")[i]) for i in range(len(pairs))]).alias("sums"),
-        F.array(*[F.min(F.col("lows")[i]) for i in range(size)]).alias("lows"),
-        F.array(*[F.max(F.col("highs")[i]) for i in range(size)]).alias("highs"),
-    )
-    numbers = inside.select(
-        *keys, "n", "levels", "sums", "lows", "highs",
-        F.col("first.n").alias("first_n"), F.col("first.means").alias("first_means"),
-    )
-    fields = [
-        *OLS_FIELDS, T.StructField("slopes", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType())),
-        T.StructField("s2", T.DoubleType()), T.StructField("dof", T.DoubleType()),
-    ]
-
-    def solve(row: dict) -> list[tuple]:
-        slopes, inverse, kept, rss, rank = solve_centred(_upper(row["sums"], size), row["n"])
-        dof = row["n"] - row["levels"] - rank
-        s2 = rss / dof if dof > 0 else math.nan
-        b, v = np.where(kept, slopes, 0.0), np.where(np.isnan(inverse), 0.0, inverse)
-        at = np.array(row["first_means"], float)
-        coef = [at[-1] - float(at[:-1] @ b), *slopes]
-        var = [s2 * (1.0 / row["first_n"] + float(at[:-1] @ v @ at[:-1])), *(s2 * np.diag(v))]
-        terms = _term_rows(["(Intercept)", *xs], coef, var, [True, *kept], dof)
-        ends = [(None, None), *zip(row["lows"][:-1], row["highs"][:-1], strict=True)]
-        # the intercept's row carries what the levels need
-        carried = [(b.tolist(), v.ravel().tolist(), s2, float(dof)), *[(None, None, None, None)] * len(xs)]
-        return [(*t, *e, *c) for t, e, c in zip(terms, ends, carried, strict=True)]
-
-    solved = durable(each_group(numbers, keys, fields, solve))
-    fit = solved.where("term = '(Intercept)'").select(*keys, "slopes", "inverse", "s2", "dof")
-    against = attach(levels.select(*keys, "__level", "n", "means"), inside.select(*keys, "first"), keys)
-    others = attach(against.where(F.col("__level") != F.col("first.__level")), fit, keys)
-    apart = [F.col("means")[i] - F.col("first.means")[i] for i in range(size)]
-    slope = lambda i: F.col("slopes")[i]
-    estimate = apart[-1]
-    spread = F.lit(0.0)
-    for i in range(len(xs)):
-        estimate = estimate - slope(i) * apart[i]
-        for j in range(len(xs)):
-            spread = spread + apart[i] * apart[j] * F.col("inverse")[i * len(xs) + j]
-    error = F.sqrt(F.col("s2") * (1.0 / F.col("n") + 1.0 / F.col("first.n") + spread))
-    effects = (
-        others.select(*keys, F.concat(F.lit(factor), F.col("__level").cast("string")).alias("term"), estimate.alias("estimate"), error.alias("std_error"), "dof")
-        .withColumn("t", F.try_divide("estimate", "std_error"))
-        .withColumn("p", student_two_sided("t", F.col("dof")))
-    )
-    nothing = F.lit(None).cast("double")
-    names = [*keys, *[f.name for f in OLS_FIELDS]]
-    effects = effects.withColumns({"x_min": nothing, "x_max": nothing})
-    return solved.select(*names).unionByName(effects.select(*names))
-
-
-def ols_summary(df: DataFrame, keys: str | Sequence[str], y: str, xs: Sequence[str], factors: Sequence[str] = ()) -> DataFrame:
-    """Model-level row per key: n, r2, sigma, deviance, null_deviance and aic of the linear model."""
     keys = as_list(keys)
-    rows, names = _design(df, keys, y, xs, factors, None)
+    if factors:
+        return _factor_summary(df, keys, y, list(xs), list(factors), dense_levels)
+    rows, names = _design(df, keys, y, xs, None)
     size = len(names) + 1
     sums = _centred_sums(rows, keys, [*[f"__x{i}" for i in range(len(names))], "__y"], None)
 
@@ -432,6 +362,28 @@ def ols_summary(df: DataFrame, keys: str | Sequence[str], y: str, xs: Sequence[s
     return each_group(sums, keys, fields, solve)
 
 
+def _factor_summary(df: DataFrame, keys: list[str], y: str, xs: list[str], factors: list[str], dense_levels: int | None) -> DataFrame:
+    from shoalwise.operators.factors import DENSE_LEVELS, fit_factors
+
+    fit = fit_factors(df, keys, y, xs, factors, None, DENSE_LEVELS if dense_levels is None else dense_levels).numbers
+    value = missing_as_null(F.col(y).cast("double"))
+    whole = df.where(value.isNotNull()).na.drop("any", subset=factors)
+    for x in xs:
+        whole = whole.where(missing_as_null(F.col(x).cast("double")).isNotNull())
+    total = whole.groupBy(*keys).agg((F.var_pop(value) * F.count(F.lit(1))).alias("__null"))
+    n, rss, null, rank = F.col("n"), F.col("rss"), F.col("__null"), F.col("rank")
+    dof = n - rank - 1
+    return attach(fit, total, keys).select(
+        *keys,
+        n.cast("long").alias("n"),
+        F.when(null > 0, 1 - rss / null).alias("r2"),
+        F.when(dof > 0, F.sqrt(rss / dof)).alias("sigma"),
+        rss.alias("deviance"),
+        null.alias("null_deviance"),
+        F.when(rss > 0, n * (F.log(2 * math.pi * rss / n) + 1) + 2 * (rank + 2)).alias("aic"),
+    )
+
+
 def ols_line(fit: DataFrame, keys: str | Sequence[str], x: str) -> DataFrame:
     """Intercept, slope and range of one term of a fitted model, ready for percent_change."""
     def of(term, column="estimate"):

@@ -16,7 +16,7 @@ from shoalwise.plans.queries import QUERIES  # noqa: E402
 from tools.compare import differences, sql_frame  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-ROWS_ONLY = {"model_selection", "averaged_model", "poisson_gam", "gam_summary", "gam_residuals"}
+ROWS_ONLY = {"poisson_gam", "gam_summary", "gam_residuals"}
 
 
 def test_every_query_has_sql_or_is_listed():
