@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -61,6 +62,22 @@ def lookup(df: DataFrame, dimension: DataFrame, on: str | dict[str, str], how: s
     return df.join(renamed, cond, how).drop(*[f"__dim_{d}" for d in dim_keys])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like :func:`durable`, as Parquet files in the same folder, for tables that a fit makes again and again.
+
+    A checkpoint hands Spark's optimiser the constraints of the plan behind
+    it, which multiply from one iteration to the next; files have none.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        durable(spark.range(1))  # names the folder
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the checkpoint folder the session names.
 

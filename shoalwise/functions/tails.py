@@ -89,6 +89,62 @@ def student_ppf2(level: float, df: np.ndarray) -> np.ndarray:
     return np.where(ok, (lo + hi) / 2.0, np.nan)
 
 
+def gamma_upper(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma function Q(a, x)."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > abs(total) * 1e-17:
+            n += 1
+            term *= x / n
+            total += term
+        return 1 - front * total
+    tiny = 1e-300
+    b = x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    h = d
+    for i in range(1, 10_000):
+        step = -i * (i - a)
+        b += 2
+        d = step * d + b
+        d = 1 / (d if abs(d) > tiny else tiny)
+        c = b + step / c
+        c = c if abs(c) > tiny else tiny
+        h *= d * c
+        if abs(d * c - 1) < 1e-16:
+            break
+    return front * h
+
+
+def chi_square_sf(q: float, df: float) -> float:
+    """P(X > q) of a chi-square variable."""
+    return gamma_upper(df / 2, q / 2)
+
+
+def chi_mixture_sf(q: float, whole: int, first: float, second: float) -> float:
+    """P(A + first * B + second * C > q) for a chi-square A with ``whole`` degrees of freedom, B and C with one.
+
+    B and C are a circle of directions with a common exponential length, so
+    the tail is a mean over directions of a one-dimensional integral.
+    """
+    if q <= 0:
+        return 1.0
+    angles = (np.arange(256) + 0.5) * (math.pi / 256)
+    w = np.maximum(first * np.cos(angles) ** 2 + second * np.sin(angles) ** 2, 1e-12)
+    if whole == 0:
+        return float(np.exp(-q / (2 * w)).mean())
+    # a = q s^2 takes the density's pole at 0 away
+    nodes, weights = np.polynomial.legendre.leggauss(200)
+    s = (nodes + 1) / 2
+    a = q * s * s
+    log_density = (whole / 2 - 1) * np.log(a) - a / 2 - whole / 2 * math.log(2) - math.lgamma(whole / 2)
+    inner = np.exp(log_density[None, :] - (q - a)[None, :] / (2 * w[:, None])) @ (weights / 2 * 2 * q * s)
+    return chi_square_sf(q, whole) + float(inner.mean())
+
+
 def _nullable(values: np.ndarray) -> pd.Series:
     return pd.Series(values, dtype="float64").astype(object).where(np.isfinite(values), None)
 

@@ -14,6 +14,7 @@ from shoalwise.operators.community import (
 from shoalwise.operators.crosscorr import cross_correlation
 from shoalwise.operators.environment import environment_means, with_oxygen_percent
 from shoalwise.operators.ordered import exact_quantiles
+from shoalwise.operators.gaussian import GaussianSmooth, gaussian_smooth
 from shoalwise.operators.poisson import (
     Factor,
     Harmonic,
@@ -82,6 +83,8 @@ __all__ = [
     "error_bars",
     "exact_quantiles",
     "fit_poisson",
+    "gaussian_smooth",
+    "GaussianSmooth",
     "join_covariates",
     "latitude_trend",
     "length_distribution",

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoalwise.frames import durable
+from shoalwise.frames import written
 from shoalwise.functions.columns import harmonic_terms, log_factorial, missing_as_null
 from shoalwise.functions.tails import normal_sf2
 from shoalwise.operators import factors as fa
@@ -23,7 +23,7 @@ from shoalwise.operators import poisson as po
 from shoalwise.operators import regression as reg
 
 #: Residuals of the projections while the fit still moves, and once it has nearly settled.
-ROUGH, FINE = 1e-4, 1e-10
+ROUGH, FINE = 1e-8, 1e-10
 
 
 @dataclass
@@ -77,7 +77,7 @@ def fit_absorbed(
         *[c.alias(n) for c, n in zip(named.values(), columns, strict=True)], value.alias("__v"),
     ).na.drop("any")
     v = F.col("__v")
-    table = durable(
+    table = written(
         rows.groupBy("__f0", "__f1", *columns).agg(
             F.count(F.lit(1)).cast("double").alias("__n"), F.sum(v).alias("__sum"),
             F.sum(F.when(v > 0, v * F.ln(v)).otherwise(0.0)).alias("__ylogy"), F.sum(log_factorial(v)).alias("__logfact"),
@@ -100,7 +100,7 @@ def fit_absorbed(
     def step(at: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame, np.ndarray, dict]:
         mu, mean = F.exp("__eta"), F.col("__sum") / F.col("__n")
         working = at.select("__f0", "__f1", *columns, (F.col("__eta") + (mean - mu) / mu).alias("__z"), (F.col("__n") * mu).alias("__w"))
-        cells = durable(reg._centred_sums(working, ["__f0", "__f1"], [*columns, "__z"], "__w"))
+        cells = written(reg._centred_sums(working, ["__f0", "__f1"], [*columns, "__z"], "__w"))
         done = fa.two_way(cells, [], p + 1, tolerance)
         left = F.col("left")
         outside = done.left.agg(F.array(*[F.sum(F.col("weight") * left[i] * left[j]) for i, j in pairs])).first()[0]
@@ -109,7 +109,7 @@ def fit_absorbed(
         beta = np.where(kept, slopes, 0.0)
         own = F.col("effect")[p] - sum((F.lit(float(b)) * F.col("effect")[i] for i, b in enumerate(beta)), F.lit(0.0))
         return (
-            durable(done.first.select("__f0", own.alias("effect"))), durable(done.second.select("__f1", own.alias("effect"))),
+            written(done.first.select("__f0", own.alias("effect"))), written(done.second.select("__f1", own.alias("effect"))),
             beta, {"inverse": inverse, "kept": kept, "rank": rank},
         )
 
@@ -128,7 +128,7 @@ def fit_absorbed(
             halvings += 1
             if halvings > po.MOST_HALVINGS:
                 raise ValueError(f"model {model_id}: no step lowers the deviance of {deviance:g}")
-            half = lambda new, old, key: durable(
+            half = lambda new, old, key: written(
                 new.join(old.withColumnRenamed("effect", "__old"), key).select(key, ((F.col("effect") + F.col("__old")) / 2).alias("effect"))
             )
             first, second_level, beta = half(first, current[0], "__f0"), half(second_level, current[1], "__f1"), (beta + current[2]) / 2

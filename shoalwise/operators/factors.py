@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoalwise.frames import attach, durable, null_safe_join
+from shoalwise.frames import attach, null_safe_join, written
 from shoalwise.functions.columns import missing_as_null
 from shoalwise.operators import regression as reg
 
@@ -64,7 +64,7 @@ def fit_factors(
 ) -> LinearFit:
     """Least squares with at least one factor, by the way that its numbers of levels ask for."""
     names = [f"__f{i}" for i in range(len(factors))]
-    rows = durable(
+    rows = written(
         df.select(
             *keys,
             *[F.col(f).alias(n) for f, n in zip(factors, names, strict=True)],
@@ -103,7 +103,7 @@ def _dense(
     ]
     held = F.struct(F.array(*code).alias("at") if small else F.array().cast("array<int>").alias("at"), "weight", "n", "means", "sums", "lows", "highs")
     # a level meets at most as many cells as there are combinations of the few levels
-    blocks = durable(cells.select(*keys, F.col(large).alias("__level"), held.alias("cell")).groupBy(*keys, "__level").agg(F.collect_list("cell").alias("cells")))
+    blocks = written(cells.select(*keys, F.col(large).alias("__level"), held.alias("cell")).groupBy(*keys, "__level").agg(F.collect_list("cell").alias("cells")))
     upper = np.triu_indices(size)
     inner = np.triu_indices(p + 1)
     places = np.array([*range(p), size - 1])
@@ -150,7 +150,7 @@ def _dense(
             )
 
     numbers = T.ArrayType(T.DoubleType())
-    parts = durable(
+    parts = written(
         blocks.mapInArrow(partial, T.StructType([*[blocks.schema[k] for k in keys], *[T.StructField(c, numbers) for c in ("sums", "lows", "highs")]]))
     )
     added = (
@@ -169,7 +169,7 @@ def _dense(
         total = float(w.sum())
         return [((w @ design / total if total > 0 else np.zeros(size)).tolist(), total)]
 
-    levels = durable(reg.each_group(blocks, [*keys, "__level"], [T.StructField("mean", numbers), T.StructField("weight", T.DoubleType())], means))
+    levels = written(reg.each_group(blocks, [*keys, "__level"], [T.StructField("mean", numbers), T.StructField("weight", T.DoubleType())], means))
     smallest = levels.groupBy(*keys).agg(F.min_by(F.struct("__level", "mean", "weight"), "__level").alias("first"))
     joined = attach(attach(added, ends, keys), smallest.select(*keys, F.col("first.mean").alias("first_mean"), F.col("first.weight").alias("first_weight")), keys)
     fields = [
@@ -206,7 +206,7 @@ def _dense(
         carried += [(None,) * 7] * len(labels)
         return [(*t, *e, *c) for t, e, c in zip(terms, ranges, carried, strict=True)]
 
-    solved = durable(reg.each_group(joined, keys, fields, solve))
+    solved = written(reg.each_group(joined, keys, fields, solve))
     heads = solved.where("term = '(Intercept)'")
     against = attach(levels, smallest.select(*keys, "first"), keys).where(F.col("__level") != F.col("first.__level"))
     labelled = against.select(
@@ -254,9 +254,9 @@ def two_way(cells: DataFrame, keys: list[str], size: int, tolerance: float = CG_
     """
     w = F.col("weight")
     by0, by1 = [*keys, "__f0"], [*keys, "__f1"]
-    cells = durable(cells.where(w > 0).select(*keys, "__f0", "__f1", "weight", "means"))
+    cells = written(cells.where(w > 0).select(*keys, "__f0", "__f1", "weight", "means"))
     mean = lambda name: _each(size, lambda i: F.sum(w * F.col(name)[i]) / F.sum(w))
-    base = durable(cells.groupBy(*by0).agg(F.sum(w).alias("__total"), mean("means").alias("__mean")))
+    base = written(cells.groupBy(*by0).agg(F.sum(w).alias("__total"), mean("means").alias("__mean")))
     start = (
         null_safe_join(cells, base, by0)
         .groupBy(*by1)
@@ -269,13 +269,13 @@ def two_way(cells: DataFrame, keys: list[str], size: int, tolerance: float = CG_
     # a level that shares no level of the first factor has nothing to solve
     d = F.when(F.col("d") > 1e-12 * F.col("__sum"), F.col("d"))
     scaled = lambda i: F.coalesce(F.col("r")[i] / F.col("d"), F.lit(0.0))
-    state = durable(start.withColumn("d", d).select(*by1, "d", "r", _each(size, lambda i: F.lit(0.0)).alias("x"), _each(size, scaled).alias("p")))
+    state = written(start.withColumn("d", d).select(*by1, "d", "r", _each(size, lambda i: F.lit(0.0)).alias("x"), _each(size, scaled).alias("p")))
     product = lambda a, b: _each(size, lambda i: F.sum(a(i) * b(i)))
     item = lambda name: lambda i: F.col(name)[i]
     began = state.groupBy(*keys).agg(product(item("r"), scaled).alias("rz"))
     sizes = cells.groupBy(*keys).agg(_each(size, lambda i: F.sum(w * F.col("means")[i] * F.col("means")[i])).alias("__squares"))
     enough = F.zip_with("rz", "__squares", lambda a, b: F.greatest(a * tolerance**2, b * CG_ROUNDING**2))
-    scalars = durable(attach(began, sizes, keys).select(*keys, "rz", enough.alias("enough")))
+    scalars = written(attach(began, sizes, keys).select(*keys, "rz", enough.alias("enough")))
     iterations = 0
     # one row: by how much the worst column of all keys exceeds what is enough
     worst = F.max(F.array_max(F.zip_with("rz", "enough", lambda a, b: F.when(a > b, 1).otherwise(0))))
@@ -290,7 +290,7 @@ def two_way(cells: DataFrame, keys: list[str], size: int, tolerance: float = CG_
             .groupBy(*by1)
             .agg(_each(size, lambda i: F.sum(w * (F.col("p")[i] - F.col("__t")[i]))).alias("q"))
         )
-        both = durable(null_safe_join(state, q, by1))
+        both = written(null_safe_join(state, q, by1))
         along = attach(scalars, both.groupBy(*keys).agg(product(item("p"), item("q")).alias("pq")), keys)
         alpha = _each(size, lambda i: F.when(F.col("pq")[i] > 0, F.col("rz")[i] / F.col("pq")[i]).otherwise(0.0))
         moved = attach(both, along.select(*keys, alpha.alias("a")), keys).select(
@@ -298,17 +298,17 @@ def two_way(cells: DataFrame, keys: list[str], size: int, tolerance: float = CG_
             _each(size, lambda i: F.col("x")[i] + F.col("a")[i] * F.col("p")[i]).alias("x"),
             _each(size, lambda i: F.col("r")[i] - F.col("a")[i] * F.col("q")[i]).alias("r"),
         )
-        moved = durable(moved)
+        moved = written(moved)
         after = attach(scalars.withColumnRenamed("rz", "__old"), moved.groupBy(*keys).agg(product(item("r"), scaled).alias("rz")), keys)
-        scalars = durable(after.select(*keys, "__old", "rz", "enough"))
+        scalars = written(after.select(*keys, "__old", "rz", "enough"))
         beta = _each(size, lambda i: F.when(F.col("__old")[i] > 0, F.col("rz")[i] / F.col("__old")[i]).otherwise(0.0))
         state = attach(moved, scalars.select(*keys, beta.alias("b")), keys).select(
             *by1, "d", "x", "r", _each(size, lambda i: scaled(i) + F.col("b")[i] * F.col("p")[i]).alias("p")
         )
         scalars = scalars.drop("__old")
-    second = durable(state.select(*by1, F.col("x").alias("effect")))
+    second = written(state.select(*by1, F.col("x").alias("effect")))
     off = null_safe_join(cells, second, by1).withColumn("__off", F.zip_with("means", "effect", lambda m, e: m - e))
-    first = durable(off.groupBy(*by0).agg(mean("__off").alias("effect")))
+    first = written(off.groupBy(*by0).agg(mean("__off").alias("effect")))
     left = null_safe_join(off.drop("effect"), first, by0).select(
         *keys, "__f0", "__f1", "weight", F.zip_with("__off", "effect", lambda m, e: m - e).alias("left")
     )
@@ -318,16 +318,16 @@ def two_way(cells: DataFrame, keys: list[str], size: int, tolerance: float = CG_
 def connected_parts(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """The smallest level of the second factor that each level of either factor is connected with."""
     by0, by1 = [*keys, "__f0"], [*keys, "__f1"]
-    pairs = durable(cells.select(*by0, "__f1").distinct())
-    label = durable(pairs.select(*by1).distinct().withColumn("part", F.col("__f1").cast("string")))
+    pairs = written(cells.select(*by0, "__f1").distinct())
+    label = written(pairs.select(*by1).distinct().withColumn("part", F.col("__f1").cast("string")))
     while True:
         over = null_safe_join(pairs, label, by1).groupBy(*by0).agg(F.min("part").alias("part"))
         lower = null_safe_join(pairs, over, by0).groupBy(*by1).agg(F.min("part").alias("part"))
-        lower = durable(lower)
+        lower = written(lower)
         changed = null_safe_join(label.withColumnRenamed("part", "__old"), lower, by1).where("part <> __old").limit(1).count()
         label = lower
         if not changed:
-            return durable(null_safe_join(pairs, label, by1).groupBy(*by0).agg(F.min("part").alias("part"))), label
+            return written(null_safe_join(pairs, label, by1).groupBy(*by0).agg(F.min("part").alias("part"))), label
 
 
 def _gradients(
@@ -345,7 +345,7 @@ def _gradients(
         *keys, F.col(order[0]).alias("__f0"), F.col(order[1]).alias("__f1"), *[f"__x{i}" for i in range(len(xs))],
         *[c.alias(f"__x{len(xs) + i}") for i, c in enumerate(dummies.values())], "__y", *([weight] if weight else []),
     )
-    cells = durable(reg._centred_sums(whole, [*keys, "__f0", "__f1"], columns, weight))
+    cells = written(reg._centred_sums(whole, [*keys, "__f0", "__f1"], columns, weight))
     solved = two_way(cells, keys, p + 1)
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
     e = F.col("left")
@@ -380,7 +380,7 @@ def _gradients(
         head = ("__numbers", None, None, None, None, None, None, np.where(kept, slopes, 0.0).tolist(), rss, float(row["n"]), float(absorbed - 1 + rank))
         return [head, *[(*t, *x, None, None, None, None) for t, x in zip(terms, ends, strict=True)]]
 
-    found = durable(reg.each_group(numbers, keys, fields, solve))
+    found = written(reg.each_group(numbers, keys, fields, solve))
     heads = found.where("term = '__numbers'").select(*keys, "slopes", "rss", "n", "rank")
     own = F.aggregate(F.zip_with(F.slice("effect", 1, p), "slopes", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     value = F.col("effect")[p] - own

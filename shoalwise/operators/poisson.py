@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from shoalwise.frames import durable
 from shoalwise.functions.columns import harmonic_terms, log_factorial, missing_as_null
-from shoalwise.functions.tails import normal_sf2
+from shoalwise.functions.tails import chi_mixture_sf, chi_square_sf, normal_sf2
 from shoalwise.operators.ordered import exact_quantiles
 from shoalwise.operators.regression import factor_levels
 
@@ -511,6 +511,7 @@ def _fit_all(
                     model.result = {
                         **{key: float(s[key]) for key in ("n", "sum", "deviance", "loglik", "ylogy")},
                         "cov": fit["cov"],
+                        "gram": s["gram"],
                         "edf": fit["edf"],
                         "aic": -2 * s["loglik"] + 2 * edf,
                         "ubre": s["deviance"] / s["n"] + 2 * edf / s["n"] - 1,
@@ -565,6 +566,8 @@ class PoissonFits:
     y: str
     blocks: list[Block]
     fitted: dict[str, Model]
+    #: A row per smooth: model_id, term, edf, ref_df, statistic and p of the test that the smooth is zero.
+    smooths: DataFrame | None = None
 
     def linear_predictor(self, model_id: str) -> Column:
         """The linear predictor as a column; only smooths leave the JVM."""
@@ -626,6 +629,42 @@ def _names(model: Model, blocks: list[Block]) -> list[str]:
     return ["(Intercept)", *[n for b in model.blocks for n in blocks[b].names]]
 
 
+def smooth_test(beta: np.ndarray, cov: np.ndarray, gram: np.ndarray, at: np.ndarray) -> tuple[float, float, float]:
+    """Wald test that a smooth is zero: reference degrees of freedom, statistic and p.
+
+    The smooth's values have the covariance R V R' with R'R = X'WX.  Its
+    pseudo-inverse is truncated to the rank r = tr(2F - FF) of the smooth,
+    F = V X'WX, at least 1; between whole ranks k and k + 1 the last two
+    directions share a block that makes the statistic's mean r.  Under the
+    null it is a sum of k - 1 squared normals and two weighted ones.  The
+    block's sign depends on those of the eigenvectors, which are arbitrary:
+    statistic and p are the means over both.
+    """
+    hat = cov @ gram
+    reference = float(np.trace((2 * hat - hat @ hat)[np.ix_(at, at)]))
+    value, vector = np.linalg.eigh(gram[np.ix_(at, at)])
+    root = (vector * np.sqrt(np.maximum(value, 0))) @ vector.T
+    spread, direction = np.linalg.eigh(root @ cov[np.ix_(at, at)] @ root)
+    spread, direction = spread[::-1], direction[:, ::-1]
+    usable = int((spread > spread[0] * 1e-12).sum()) if len(spread) and spread[0] > 0 else 0
+    if usable == 0:
+        return reference, math.nan, math.nan
+    rank = min(max(reference, 1.0), float(usable))
+    k = int(math.floor(rank + 1e-9))
+    part = max(rank - k, 0.0) if k < usable else 0.0
+    score = (direction.T @ (root @ beta[at]))[:usable] / np.sqrt(spread[:usable])
+    if part < 1e-8:
+        statistic = float((score[:k] ** 2).sum())
+        return reference, statistic, chi_square_sf(statistic, k)
+    side = math.sqrt(part * (1 - part) / 2)
+    middle = float((score[: k - 1] ** 2).sum() + score[k - 1] ** 2 + part * score[k] ** 2)
+    turn = 2 * side * float(score[k - 1] * score[k])
+    wide = (part + 1 + math.sqrt(1 - part * part)) / 2
+    tails = [chi_mixture_sf(middle + sign * turn, k - 1, wide, part + 1 - wide) for sign in (-1, 1)]
+    return reference, middle, sum(tails) / 2
+
+
+SMOOTH_SCHEMA = "model_id string, term string, edf double, ref_df double, statistic double, p double"
 TERM_SCHEMA = "model_id string, term string, estimate double, std_error double, z double, p double, edf double"
 MODEL_SCHEMA = (
     "model_id string, n double, edf double, deviance double, null_deviance double, "
@@ -639,7 +678,7 @@ def _clean(row: Sequence) -> tuple:
 
 
 def _collect(df: DataFrame, y: str, blocks: list[Block], models: list[Model]) -> PoissonFits:
-    term_rows, model_rows = [], []
+    term_rows, model_rows, tests = [], [], []
     for model in models:
         r = model.result
         if not r:
@@ -656,6 +695,9 @@ def _collect(df: DataFrame, y: str, blocks: list[Block], models: list[Model]) ->
                 smooth_columns |= set(range(at, at + width))
                 total = float(r["edf"][at : at + width].sum())
                 smooth_rows.append(_clean((model.model_id, blocks[b].label, None, None, None, None, total)))
+                own = np.arange(at, at + width)[model.kept[at : at + width]]
+                tested = smooth_test(np.where(model.kept, model.beta, 0.0), np.nan_to_num(r["cov"]), r["gram"], own)
+                tests.append(_clean((model.model_id, blocks[b].label, total, *tested)))
             at += width
         for j, name in enumerate(_names(model, blocks)):
             if not model.kept[j]:
@@ -685,6 +727,7 @@ def _collect(df: DataFrame, y: str, blocks: list[Block], models: list[Model]) ->
         y,
         blocks,
         {m.model_id: m for m in models},
+        spark.createDataFrame(tests, SMOOTH_SCHEMA),
     )
 
 

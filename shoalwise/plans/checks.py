@@ -6,7 +6,7 @@ import itertools
 
 import numpy as np
 
-from shoalwise.plans.queries import PERMUTATIONS, SEED, SMOOTHING, SPLIT_YEAR
+from shoalwise.plans.queries import PERMUTATIONS, SEED, SMOOTH_KNOTS, SMOOTHING, SPLIT_YEAR
 
 OBS = """obs AS (
   SELECT l_returnflag AS survey, l_orderkey AS sample_id,
@@ -59,6 +59,9 @@ div AS (SELECT {keys}, sum(n) AS total, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE
                1 - sum(p * p) AS simpson FROM p GROUP BY {keys})"""
 
 
+#: Number of years of the supplied dates.
+YEARS = 7
+
 SERIES = (
     f"{OBS}, {ORDERS}, {diversity('obs', 'date')}, rich AS (SELECT date, count(DISTINCT taxon) AS richness FROM obs GROUP BY date), "
     "prices AS (SELECT date, avg(price) / 1000 AS price FROM ord GROUP BY date), "
@@ -369,6 +372,52 @@ terms AS ({' UNION ALL '.join(terms)}),
 mu AS (SELECT date, y AS richness, exp({eta}) AS fit FROM d, last)"""
 
 
+def natural_splines(knots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values in months 1 to 12 of the natural cubic splines that are 1 at one of the even knots from 1 to 12, and their penalty."""
+    h = 11 / (knots - 1)
+    ones = np.eye(knots)
+    # curvatures at the knots: none at the ends, and slopes meet at the others
+    meet = np.zeros((knots, knots))
+    right = np.zeros((knots, knots))
+    meet[0, 0] = meet[-1, -1] = 1
+    for i in range(1, knots - 1):
+        meet[i, i - 1 : i + 2] = h / 6, 2 * h / 3, h / 6
+        right[i] = (ones[i - 1] - 2 * ones[i] + ones[i + 1]) / h
+    bend = np.linalg.solve(meet, right)
+    values = []
+    for month in range(1, 13):
+        i = min(int((month - 1) / h), knots - 2)
+        b = (month - 1) / h - i
+        a = 1 - b
+        values.append(a * ones[i] + b * ones[i + 1] + h * h / 6 * ((a**3 - a) * bend[i] + (b**3 - b) * bend[i + 1]))
+    # the squared curvature is piecewise linear squared
+    mass = np.zeros((knots, knots))
+    for i in range(knots - 1):
+        mass[i : i + 2, i : i + 2] += h / 6 * np.array([[2, 1], [1, 2]])
+    return np.array(values), bend.T @ mass @ bend
+
+
+def month_smooth(smoothing: float) -> str:
+    """Penalised least squares of richness on the month; s{i}_0 are the coefficients, then those of the penalty's columns and of each month."""
+    values, penalty = natural_splines(SMOOTH_KNOTS)
+    m = values.shape[1]
+    table = ", ".join(f"({k + 1}, {', '.join(repr(float(v)) for v in row)})" for k, row in enumerate(values))
+    gram = ", ".join(f"sum(CAST(z{i} AS DOUBLE) * z{j}) + ({float(smoothing * penalty[i, j])!r}) AS a{i}_{j}" for i in range(m) for j in range(i, m))
+    sides = [f"sum(CAST(z{i} AS DOUBLE) * richness) AS g{i}_0" for i in range(m)]
+    sides += [f"({float(smoothing * penalty[i, j])!r}) AS g{i}_{j + 1}" for i in range(m) for j in range(m)]
+    sides += [f"({float(values[k, i])!r}) AS g{i}_{m + 1 + k}" for i in range(m) for k in range(12)]
+    source = f"(SELECT count(*) AS n, {gram}, {', '.join(sides)} FROM series JOIN basis ON of_month = month)"
+    solved = eliminated(source, "n", m, m + 13)
+    lost = " + ".join(f"s{i}_{i + 1}" for i in range(m))
+    at = lambda k, c: " + ".join(f"({float(values[k, i])!r}) * s{i}_{c(k)}" for i in range(m))
+    rows = " UNION ALL ".join(f"SELECT {k + 1} AS month, {at(k, lambda _: 0)} AS fit, {at(k, lambda k: m + 1 + k)} AS v FROM solved" for k in range(12))
+    return f"""basis(of_month, {', '.join(f'z{i}' for i in range(m))}) AS (VALUES {table}),
+solved AS (SELECT *, {m} - ({lost}) AS edf FROM {solved}),
+months AS ({rows}),
+sums AS (SELECT count(*) AS n, sum(pow(richness - fit, 2)) AS rss, var_pop(richness) * count(*) AS yy FROM series JOIN months USING (month)),
+scaled AS (SELECT sums.n, rss, yy, edf, rss / (sums.n - edf) AS scale FROM sums, solved)"""
+
+
 DEVIANCE = "2 * (CASE WHEN richness > 0 THEN richness * ln(richness / fit) ELSE 0 END - (richness - fit))"
 
 
@@ -744,6 +793,33 @@ SELECT term, {r('b')} AS full_average, {r('e')} AS std_error, {r('b / e', 3)} AS
         + lagged("res", "", "price", "residual", 48, MONTHS)
     )
 
+    smooth = f"WITH {SERIES}, {month_smooth(SMOOTHING)}"
+    q["month_smooth"] = f"{smooth} SELECT month, {r('fit', 4)} AS fit, {r('sqrt(scale * v)', 4)} AS se FROM months, scaled"
+    q["month_smooth_summary"] = f"""{smooth}
+SELECT CAST(n AS DOUBLE) AS n, {r('edf', 4)} AS edf, {r('n * rss / pow(n - edf, 2)', 4)} AS gcv, {r('scale', 4)} AS scale, {r('1 - rss / yy', 4)} AS r2 FROM scaled"""
+
+    # two factors as dummy columns of one system
+    years = [f"CAST(year = y0 + {i} AS INTEGER)" for i in range(1, YEARS)]
+    months = [f"CAST(month = {m} AS INTEGER)" for m in range(2, 13)]
+    design = ["1", "price - mp", *years, *months]
+    size = len(design)
+    names = ["'(Intercept)'", "'price'", *[f"'year' || (y0 + {i})" for i in range(1, YEARS)], *[f"'month{m}'" for m in range(2, 13)]]
+    gram = ", ".join(f"sum(CAST(x{i} AS DOUBLE) * x{j}) AS a{i}_{j}" for i in range(size) for j in range(i, size))
+    sides = [f"sum(CAST(x{i} AS DOUBLE) * y) AS g{i}_0" for i in range(size)]
+    sides += [f"{float(i == j)!r} AS g{i}_{j + 1}" for i in range(size) for j in range(size)]
+    solved = eliminated(f"(SELECT count(*) AS n, sum(y * y) AS yy, any_value(mp) AS mp, any_value(y0) AS y0, {', '.join(f'sum(CAST(x{i} AS DOUBLE) * y) AS h{i}' for i in range(size))}, {gram}, {', '.join(sides)} FROM d)",
+                        "n, yy, mp, y0, " + ", ".join(f"h{i}" for i in range(size)), size, size + 1)
+    explained = " + ".join(f"s{i}_0 * h{i}" for i in range(size))
+    head = "s0_0 - mp * s1_0", "s0_1 + mp * mp * s1_2 - 2 * mp * s0_2"
+    each = [head, *[(f"s{i}_0", f"s{i}_{i + 1}") for i in range(1, size)]]
+    parts = " UNION ALL ".join(f"SELECT {t} AS term, {b} AS b, s2 * ({v}) AS v FROM scaled" for t, (b, v) in zip(names, each, strict=True))
+    q["two_factor_ols"] = f"""WITH {SERIES}, m AS (SELECT avg(price) AS mp, min(year) AS y0 FROM series),
+d AS (SELECT mp, y0, CAST(richness AS DOUBLE) AS y, {', '.join(f'{c} AS x{i}' for i, c in enumerate(design))} FROM series, m),
+solved AS (SELECT * FROM {solved}),
+scaled AS (SELECT *, (yy - ({explained})) / (n - {size}) AS s2 FROM solved),
+terms AS ({parts})
+SELECT term, {r('b', 4)} AS estimate, {r('sqrt(v)', 4)} AS std_error FROM terms"""
+
     gam = f"WITH RECURSIVE {SERIES}, {penalised(SMOOTHING, ('price', 'year'))}"
     q["fixed_gam_terms"] = f"""{gam}
 SELECT term, {r('b', 5)} AS estimate, {r('e', 5)} AS std_error, {r('b / e', 3)} AS z, {r(normal_p('(b / e)'), 5)} AS p, {r('edf', 5)} AS edf FROM terms

@@ -551,6 +551,7 @@ def gam_residuals(spark: SparkSession, folder: str) -> DataFrame:
 
 # given, so that the penalised fit has one solution to compare with
 SMOOTHING = 2.0
+SMOOTH_KNOTS = 6
 
 
 def _fixed_gam(series: DataFrame) -> op.PoissonFits:
@@ -577,6 +578,48 @@ def fixed_gam_residuals(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_fixed_gam(series).residuals(series).select("date", "richness", "fit", "residual"), 4)
 
 
+@query
+def two_factor_ols(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly price and richness with factors of the year and of the month side by side."""
+    fit = op.ols(monthly_series(spark, folder), [], "richness", ["price"], factors=["year", "month"])
+    return rounded(fit.select("term", "estimate", "std_error"), 4)
+
+
+@query
+def station_month_ols(spark: SparkSession, folder: str) -> DataFrame:
+    """Catch on the number of taxa within station and month, both absorbed by conjugate gradients."""
+    rows = star.observations(spark, folder).groupBy("station", "date").agg(F.sum("cpue").alias("cpue"), F.countDistinct("taxon").alias("taxa"))
+    fit = op.ols(rows, [], "cpue", ["taxa"], factors=["station", "date"], dense_levels=0)
+    return rounded(fit.where("term = 'taxa'").select("term", "estimate", "std_error"), 4)
+
+
+@query
+def gam_smooth_tests(spark: SparkSession, folder: str) -> DataFrame:
+    """Test of the month's smooth at a given smoothing."""
+    return rounded(_fixed_gam(monthly_series(spark, folder)).smooths.drop("model_id"), 5)
+
+
+@query
+def month_smooth(spark: SparkSession, folder: str) -> DataFrame:
+    """Gaussian smooth of richness on the month at a given smoothing, at the twelve months."""
+    fit = op.gaussian_smooth(monthly_series(spark, folder), [], "month", "richness", k=SMOOTH_KNOTS, points=12, smoothing=SMOOTHING)
+    return rounded(fit.band.select(F.round("x").cast("int").alias("month"), "fit", "se"), 4)
+
+
+@query
+def month_smooth_summary(spark: SparkSession, folder: str) -> DataFrame:
+    fit = op.gaussian_smooth(monthly_series(spark, folder), [], "month", "richness", k=SMOOTH_KNOTS, points=12, smoothing=SMOOTHING)
+    return rounded(fit.models.select("n", "edf", "gcv", "scale", "r2"), 4)
+
+
+@query
+def smooth_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """Three indices over the record, each with its smooth of least GCV and the band."""
+    series = monthly_series(spark, folder)
+    long = op.lengthen(series.select("date", "richness", "shannon", "total"), "date", ["richness", "shannon", "total"], "index", "value")
+    return rounded(op.gaussian_smooth(long, "index", "date", "value").band, 2)
+
+
 # ------------------------------------------------------------ smooth summaries
 
 

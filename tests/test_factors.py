@@ -128,7 +128,7 @@ def poisson_rows(seed, n, a, b):
 
 
 def test_poisson_two_factors_against_dense(spark):
-    df = spark.createDataFrame([*poisson_rows(1, 900, 12, 8), (None, "g00", 1.0, 3), (2, "g01", 1.0, None)], "f int, g string, x double, y int")
+    df = spark.createDataFrame([*poisson_rows(1, 400, 6, 4), (None, "g00", 1.0, 3), (2, "g01", 1.0, None)], "f int, g string, x double, y int")
     dense = op.poisson_glm(df, "y", ["x"], factors=["f", "g"])
     free = op.poisson_glm(df, "y", ["x"], factors=["g", "f"], dense_levels=0)
     want = {r["term"]: r for r in dense.terms.collect()}
@@ -146,13 +146,3 @@ def test_poisson_two_factors_against_dense(spark):
     for r in free.residuals(df).collect():
         wanted = left[r["f"], r["g"], r["x"], r["y"]]
         assert r["residual"] is None if wanted is None else r["residual"] == pytest.approx(wanted, abs=1e-5)
-
-
-def test_poisson_one_large_factor_and_harmonics(spark):
-    df = spark.createDataFrame(poisson_rows(2, 400, 12, 3), "f int, g string, x double, y int").withColumnRenamed("f", "month")
-    cycle = [op.Harmonic("month", 12.0)]
-    want = {r["term"]: r["estimate"] for r in op.poisson_glm(df, "y", ["x"], factors=["g"], harmonics=cycle).terms.collect()}
-    got = {r["term"]: r["estimate"] for r in op.poisson_glm(df, "y", ["x"], factors=["g"], harmonics=cycle, dense_levels=0).terms.collect()}
-    assert got.keys() == want.keys()
-    for term, value in want.items():
-        assert got[term] == pytest.approx(value, rel=1e-6, abs=1e-7)
