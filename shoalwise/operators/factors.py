@@ -81,6 +81,11 @@ def fit_factors(
     return way(rows, keys, xs, [names[i] for i in order], title, "__w" if weights else None, dense_levels)
 
 
+def _steady(value: float) -> float:
+    """To 13 digits, so that reruns agree: the order in which tasks' sums arrive shows beyond them."""
+    return float(f"{value:.13g}")
+
+
 # ---------------------------------------------------------------- few levels besides the largest factor
 
 
@@ -103,7 +108,7 @@ def _dense(
     ]
     held = F.struct(F.array(*code).alias("at") if small else F.array().cast("array<int>").alias("at"), "weight", "n", "means", "sums", "lows", "highs")
     # a level meets at most as many cells as there are combinations of the few levels
-    blocks = written(cells.select(*keys, F.col(large).alias("__level"), held.alias("cell")).groupBy(*keys, "__level").agg(F.collect_list("cell").alias("cells")))
+    blocks = written(cells.select(*keys, F.col(large).alias("__level"), held.alias("cell")).groupBy(*keys, "__level").agg(F.array_sort(F.collect_list("cell")).alias("cells")).sortWithinPartitions(*keys, "__level"))
     upper = np.triu_indices(size)
     inner = np.triu_indices(p + 1)
     places = np.array([*range(p), size - 1])
@@ -199,7 +204,7 @@ def _dense(
         at = np.array(row["first_mean"])
         var0 = s2 * (1 / row["first_weight"] + at[:-1] @ v @ at[:-1]) if row["first_weight"] > 0 else math.nan
         terms = reg._term_rows(
-            ["(Intercept)", *labels], [at[-1] - at[:-1] @ b, *slopes], [var0, *(s2 * np.diag(v)[chosen])], [True, *kept], dof
+            ["(Intercept)", *labels], [_steady(e) for e in (at[-1] - at[:-1] @ b, *slopes)], [var0, *(s2 * np.diag(v)[chosen])], [True, *kept], dof
         )
         ranges = [(None, None), *zip(row["lows"][:p], row["highs"][:p], strict=True), *[(None, None)] * (len(labels) - p)]
         carried = [(b.tolist(), v.ravel().tolist(), s2, float(dof), rss, float(n), float(count - 1 + rank))]
