@@ -7,6 +7,8 @@ fitted rows (one per model term), never to observations.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -145,6 +147,37 @@ def chi_mixture_sf(q: float, whole: int, first: float, second: float) -> float:
     return chi_square_sf(q, whole) + float(inner.mean())
 
 
+@lru_cache(maxsize=4096)
+def inversion_shares(ties: tuple[int, ...]) -> np.ndarray:
+    """Shares of the orders of n values by their number of inversions, from none to all untied pairs.
+
+    ``ties`` are the sizes of the groups of equal values, which add up to n.
+    Inserting value by value multiplies the counts by 1 + q + ... + q^(j-1) at
+    the j-th; the same product of every tied group is divided out.  As power
+    series these are factors 1 - q^j and 1 / (1 - q^i), exact in whole numbers.
+    """
+    n = sum(ties)
+    pairs = (n * (n - 1) - sum(t * (t - 1) for t in ties)) // 2
+    counts = [1] + [0] * pairs
+    for j in range(1, n + 1):
+        for k in range(pairs, j - 1, -1):
+            counts[k] -= counts[k - j]
+    for i in (i for t in ties for i in range(1, t + 1)):
+        for k in range(i, pairs + 1):
+            counts[k] += counts[k - i]
+    total = sum(counts)
+    return np.array([c / total for c in counts])
+
+
+def kendall_exact_p(series: Sequence[Sequence[int]], s: int) -> float:
+    """P(|S| >= |s|) over all orders within each of several series, from the sizes of their tied groups."""
+    shares = np.ones(1)
+    for ties in series:
+        shares = np.convolve(shares, inversion_shares(tuple(sorted(int(t) for t in ties))))
+    pairs = len(shares) - 1
+    return min(1.0, float(shares[np.abs(pairs - 2 * np.arange(pairs + 1)) >= abs(s)].sum()))
+
+
 def _nullable(values: np.ndarray) -> pd.Series:
     return pd.Series(values, dtype="float64").astype(object).where(np.isfinite(values), None)
 
@@ -168,3 +201,8 @@ def student_quantile(level: pd.Series, df: pd.Series) -> pd.Series:
         pick = lv == one
         out[pick] = student_ppf2(float(one), dof[pick])
     return _nullable(out)
+
+
+@F.pandas_udf(T.DoubleType())
+def kendall_exact(ties: pd.Series, s: pd.Series) -> pd.Series:
+    return pd.Series([kendall_exact_p(t, int(v)) for t, v in zip(ties, s, strict=True)], dtype="float64")

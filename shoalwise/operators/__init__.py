@@ -51,7 +51,7 @@ from shoalwise.operators.reshape import (
     widen,
     zero_fill,
 )
-from shoalwise.operators.smooth import bandwidths, density, local_smooth
+from shoalwise.operators.smooth import bandwidths, density, local_smooth, local_smooth_band
 from shoalwise.operators.timeline import complete_calendar
 from shoalwise.operators.traits import (
     error_bars,
@@ -91,6 +91,7 @@ __all__ = [
     "length_trend",
     "lengthen",
     "local_smooth",
+    "local_smooth_band",
     "mann_kendall",
     "mean_and_error",
     "mean_log_length",

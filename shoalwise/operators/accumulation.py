@@ -13,6 +13,9 @@ from shoalwise.functions.columns import log_factorial, sum_or_zero
 from shoalwise.operators import ordered
 from shoalwise.operators.ordered import number_line, running_in_blocks
 
+#: exp(-x) is 0 as a double from here on.
+ZERO_EXP = 746.0
+
 
 def _tows(obs: DataFrame, keys: list[str], sample: str, taxon: str, value: str) -> DataFrame:
     """One row per key, sample and taxon with its summed catch; incomplete rows dropped.
@@ -98,10 +101,11 @@ def rarefaction(
     """Expected number of taxa in k random samples, without any randomness.
 
     With m of N samples holding a taxon, the chance to miss it in k samples is
-    C(N-m, k) / C(N, k) <= exp(-k m / N).  Taxa are grouped by m.  By default
-    every term is summed: N terms for each distinct m.  With a ``tolerance``
-    terms below it are left out, so a value is too high by at most tolerance
-    times the number of taxa, and the work is of order N log N per key.
+    C(N-m, k) / C(N, k) <= exp(-k m / N).  Taxa are grouped by m.  Terms that
+    are 0 as a double (k m > 746 N) are left out, which changes nothing: for
+    all m together some 746 N log N terms are left.  With a ``tolerance`` terms
+    below it are left out too, so a value is too high by at most tolerance
+    times the number of taxa.
     """
     keys = as_list(keys)
     tows = _tows(obs, keys, sample, taxon, value)
@@ -110,9 +114,8 @@ def rarefaction(
     same = found.groupBy(*keys, "__m").agg(F.count(F.lit(1)).alias("__taxa"))
     taxa = same.groupBy(*keys).agg(F.sum("__taxa").alias("__all"))
     n, m, k = F.col("__samples"), F.col("__m"), F.col("k")
-    end = n - m
-    if tolerance > 0:
-        end = F.least(end, F.ceil(F.try_divide(-math.log(tolerance) * n, m)))
+    farthest = -math.log(tolerance) if tolerance > 0 else ZERO_EXP
+    end = F.least(n - m, F.ceil(F.try_divide(F.lit(farthest) * n, m)))
     reach = attach(same, sizes, keys).withColumn("__reach", end)
     spread = number_line(reach, [*keys, "__m"], "__reach", "k")
     log_miss = log_factorial(n - m) - log_factorial(n - m - k) - log_factorial(n) + log_factorial(n - k)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoalwise.frames import as_list, durable, null_safe_join
+from shoalwise.frames import as_list, attach, durable, null_safe_join
 from shoalwise.functions.columns import missing_as_null
-from shoalwise.functions.tails import normal_two_sided
+from shoalwise.functions.tails import kendall_exact, normal_two_sided
 
 BITS = 4
 RADIX = 1 << BITS
@@ -88,6 +88,24 @@ def _score(rows: DataFrame, groups: list[str]) -> DataFrame:
     return across.groupBy(*groups).agg(F.expr(f"sum(__own + {_signed('c', 'b')}) AS s"))
 
 
+def _tied_groups(rows: DataFrame, tied: DataFrame, by: list[str], keys: list[str], most: int) -> DataFrame:
+    """Per key its number of series, and the sizes of tied groups of those of at most ``most`` values at different times.
+
+    Long series are left out before anything is collected.
+    """
+    short = tied.groupBy(*by).agg(F.sum("__c").alias("__size")).where(F.col("__size") <= most).select(*by)
+    sizes = null_safe_join(tied, short, by).groupBy(*by).agg(F.sort_array(F.collect_list("__c")).alias("__sizes"))
+    times = rows.groupBy(*by, "__t").agg(F.count(F.lit(1)).alias("__c")).groupBy(*by).agg(F.max("__c").alias("__same"))
+    return (
+        null_safe_join(times, sizes, by, "left")
+        .groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("__series"),
+            F.collect_list(F.when(F.col("__same") == 1, F.col("__sizes"))).alias("__ties"),
+        )
+    )
+
+
 def mann_kendall(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -95,11 +113,17 @@ def mann_kendall(
     value: str,
     season: str | None = None,
     continuity: bool = True,
+    exact_up_to: int | None = None,
 ) -> DataFrame:
     """S, its variance, tau, Z and two-sided p per key; missing values are dropped.
 
     With ``season`` the test runs within each season and S, the variances and
     the tau denominators are summed.  Ties enter the variance and tau.
+
+    ``exact_up_to`` adds ``exact_p``: the share of all orders of the values
+    (of each season's, with ``season``) whose S is as far from 0, tied values
+    included.  It is NULL where a series has more values than that, or values
+    that share a time.
     """
     keys = as_list(keys)
     groups = [*keys, season] if season else keys
@@ -112,10 +136,9 @@ def mann_kendall(
     # the series is read for its time range, its ties and its score
     rows = durable(rows)
     c = F.col("__c").cast("double")
+    tied = rows.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__c"))
     ties = (
-        rows.groupBy(*by, "__x")
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .groupBy(*by)
+        tied.groupBy(*by)
         .agg(
             F.sum("__c").alias("n"),
             F.sum(c * (c - 1) / 2).alias("__tied"),
@@ -143,4 +166,10 @@ def mann_kendall(
             "z": F.try_divide(shifted, F.sqrt("var_s")),
         }
     )
-    return tested.select(*keys, "n", "s", "var_s", "tau", "z", normal_two_sided("z").alias("p"))
+    out = [*keys, "n", "s", "var_s", "tau", "z", normal_two_sided("z").alias("p")]
+    if exact_up_to is not None:
+        whole = keys if season else by
+        tested = attach(tested, _tied_groups(rows, tied, by, whole, exact_up_to), whole)
+        known = F.size("__ties") == F.col("__series")
+        out.append(F.when(known, kendall_exact("__ties", "s")).alias("exact_p"))
+    return tested.select(*out)

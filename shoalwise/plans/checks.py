@@ -455,6 +455,64 @@ fitted AS (
          / (s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2)) AS v FROM m)"""
 
 
+def loess_errors(points: int) -> str:
+    """Errors of the lines between local fits, from the whole matrix of the smoother."""
+    return f"""ls AS (SELECT row_number() OVER (ORDER BY date) AS i, CAST(price AS DOUBLE) AS x, CAST(richness AS DOUBLE) AS y FROM series),
+ends AS (SELECT min(x) AS lo, max(x) AS hi, greatest(floor(count(*) * 0.75 + 0.00001), 1) AS q FROM ls),
+placed AS (SELECT i, k, lo + (hi - lo) * (k / {points - 1}.0) AS g, x, y, q FROM ls, ends, generate_series(0, {points - 1}) t(k)),
+near AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY abs(x - g)) AS rn FROM placed),
+widths AS (SELECT k, max(CASE WHEN rn = q THEN abs(x - g) END) AS h FROM near GROUP BY k),
+u AS (
+  SELECT i, k, g, y, (x - g) / h AS u, pow(1 - pow(abs((x - g) / h), 3), 3) AS w
+  FROM placed JOIN widths USING (k) WHERE abs((x - g) / h) < 1),
+m AS (
+  SELECT k, sum(w) AS s0, sum(w*u) AS s1, sum(w*u*u) AS s2, sum(w*u*u*u) AS s3, sum(w*u*u*u*u) AS s4 FROM u GROUP BY k),
+v AS (
+  SELECT k, g, i, y, w * ((s2*s4-s3*s3) - (s1*s4-s2*s3) * u + (s1*s3-s2*s2) * u * u)
+         / (s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2)) AS v FROM u JOIN m USING (k)),
+fits AS (SELECT k, any_value(g) AS x, sum(v * y) AS fit, sum(v * v) AS vv FROM v GROUP BY k),
+spot AS (SELECT i, (x - lo) / (hi - lo) * {points - 1} AS spot_at, least(floor((x - lo) / (hi - lo) * {points - 1}), {points - 2}) AS k FROM ls, ends),
+phi AS (SELECT i, k, 1 - (spot_at - k) AS p FROM spot UNION ALL SELECT i, k + 1, spot_at - k FROM spot),
+l AS (SELECT phi.i, v.i AS j, sum(p * v) AS l FROM phi JOIN v USING (k) GROUP BY ALL),
+rest AS (
+  SELECT a.i, b.i AS j, b.y, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END - coalesce(l, 0) AS e
+  FROM ls a CROSS JOIN ls b LEFT JOIN l ON l.i = a.i AND l.j = b.i),
+products AS (SELECT a.i, b.i AS j, sum(a.e * b.e) AS a FROM rest a JOIN rest b USING (j) GROUP BY ALL),
+deltas AS (SELECT sum(CASE WHEN i = j THEN a END) AS one, sum(a * a) AS two FROM products),
+residual AS (SELECT sum(e * e) AS rr FROM (SELECT i, sum(e * y) AS e FROM rest GROUP BY i))"""
+
+
+def kendall_orders(source: str, key: str, season: str, value: str, date: str) -> str:
+    """S of every order of every season's values, and their sums over twelve seasons."""
+    sums = ",\n".join(
+        f"c{m} AS (SELECT {key}, a.s + b.s AS s, sum(a.p * b.p) AS p FROM c{m - 1} a JOIN "
+        f"(SELECT * FROM padded WHERE {season} = {m}) b USING ({key}) GROUP BY ALL)"
+        for m in range(2, 13)
+    )
+    return f"""vs AS (SELECT {key}, {season}, list({value} ORDER BY {date}) AS v, count(*) AS n FROM {source} GROUP BY ALL),
+perm AS (
+  SELECT n, CAST([] AS BIGINT[]) AS p FROM (SELECT DISTINCT n FROM vs)
+  UNION ALL SELECT n, list_append(p, i) FROM perm, generate_series(1, {YEARS}) t(i)
+  WHERE i <= n AND len(p) < n AND NOT list_contains(p, i)),
+pairs AS (SELECT i, j FROM generate_series(1, {YEARS}) a(i), generate_series(1, {YEARS}) b(j) WHERE i < j),
+orders AS (
+  SELECT {key}, {season}, p, coalesce(sum(sign(v[p[j]] - v[p[i]])), 0) AS s
+  FROM vs JOIN perm ON vs.n = perm.n AND len(p) = vs.n LEFT JOIN pairs ON j <= vs.n GROUP BY ALL),
+dist AS (
+  SELECT {key}, {season}, s, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY {key}, {season}) AS p
+  FROM orders GROUP BY {key}, {season}, s),
+padded AS (
+  SELECT * FROM dist
+  UNION ALL SELECT {key}, m, 0, 1.0 FROM (SELECT DISTINCT {key} FROM vs) k, generate_series(1, 12) t(m)
+  WHERE NOT EXISTS (SELECT 1 FROM vs WHERE vs.{key} = k.{key} AND vs.{season} = m)),
+c1 AS (SELECT {key}, s, p FROM padded WHERE {season} = 1),
+{sums},
+seen AS (
+  SELECT {key}, sum(CASE WHEN j IS NULL THEN 0 ELSE sign(v[j] - v[i]) END) AS s
+  FROM vs LEFT JOIN pairs ON j <= vs.n GROUP BY {key}),
+sizes AS (SELECT {key}, count(*) AS n FROM {source} GROUP BY {key})"""
+
+
 def _oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     rich = "rich AS (SELECT date, count(DISTINCT taxon) AS richness FROM {} GROUP BY date)"
@@ -721,6 +779,9 @@ UNION ALL SELECT 'month', {r('(1 - b * b) / det')} FROM d UNION ALL SELECT 'pric
 
     q["mann_kendall"] = f"WITH {SURVEY}, " + kendall("sr", "survey", "survey", "date", "richness", True)
     q["seasonal_mann_kendall"] = f"WITH {SURVEY}, " + kendall("sr", "survey, month", "survey", "date", "richness", False)
+    q["exact_mann_kendall"] = f"""WITH RECURSIVE {SURVEY}, {kendall_orders('sr', 'survey', 'month', 'richness', 'date')}
+SELECT survey, n, CAST(seen.s AS BIGINT) AS s, {r('least(sum(p), 1)')} AS exact_p
+FROM seen JOIN sizes USING (survey) JOIN c12 USING (survey) WHERE abs(c12.s) >= abs(seen.s) GROUP BY survey, n, seen.s"""
     q["station_mann_kendall"] = (
         "WITH daily AS (SELECT l_suppkey AS station, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS cpue "
         "FROM lineitem GROUP BY ALL), " + kendall("daily", "station", "station", "day", "cpue", True)
@@ -847,6 +908,9 @@ SELECT CAST(n AS DOUBLE) AS n, {r('edf', 5)} AS edf, {r('dev', 5)} AS deviance,
         f"WITH {SERIES}, {loess('series', '0', 'price', 40, 3)} "
         f"SELECT {r('g', 3)} AS x, {r('v', 3)} AS value FROM fitted"
     )
+    q["price_smooth_band"] = f"""WITH {SERIES}, {loess_errors(20)}
+SELECT {r('x', 3)} AS x, {r('fit', 3)} AS fit, {r('sqrt(rr / one * vv)', 3)} AS std_error, {r('one * one / two', 3)} AS residual_df,
+  {r('sqrt(rr / one)', 3)} AS scale FROM fits, deltas, residual"""
     quart = ", ".join(f"{r(f'quantile_cont(length, {p})')} AS q{i}" for i, p in enumerate((0.25, 0.5, 0.75)))
     q["length_quartiles"] = f"WITH {LENGTHS} SELECT year, {quart} FROM lengths GROUP BY year"
     q["harmonic_terms_by_month"] = f"""WITH {OBS} SELECT month, {r('max(cos(2 * pi() * month / 10))')} AS cosine,

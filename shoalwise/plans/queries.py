@@ -30,6 +30,10 @@ def dates_as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) if kind == "date" else F.col(c) for c, kind in df.dtypes])
 
 
+#: Values a month up to which a rank test is exact: its p is then a sum over all orders.
+YEARS_AT_MOST = 10
+
+
 def query(f: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return dates_as_text(f(ship(spark), folder))
@@ -433,6 +437,14 @@ def seasonal_mann_kendall(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(op.mann_kendall(rows, "survey", "date", "richness", season="month", continuity=False))
 
 
+@query
+def exact_mann_kendall(spark: SparkSession, folder: str) -> DataFrame:
+    """Few years a month: the share of all orders of each month's values whose scores add up to one as far from 0."""
+    rows = _survey_richness(spark, folder)
+    tests = op.mann_kendall(rows, "survey", "date", "richness", season="month", exact_up_to=YEARS_AT_MOST)
+    return rounded(tests.select("survey", "n", "s", "exact_p"))
+
+
 @query
 def station_mann_kendall(spark: SparkSession, folder: str) -> DataFrame:
     """The test on every station's catch per day: many long series with ties."""
@@ -646,6 +658,13 @@ def price_smooth(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(op.local_smooth(monthly_series(spark, folder), [], "price", "richness", points=40), 3)
 
 
+@query
+def price_smooth_band(spark: SparkSession, folder: str) -> DataFrame:
+    """The line again, with the errors behind its band."""
+    band = op.local_smooth_band(monthly_series(spark, folder), [], "price", "richness", points=20)
+    return rounded(band.select("x", "fit", "std_error", "residual_df", "scale"), 3)
+
+
 @query
 def length_quartiles(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(op.exact_quantiles(star.lengths(spark, folder), ["year"], "length", [0.25, 0.5, 0.75]), 6)

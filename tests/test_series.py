@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import importlib
+import itertools
 import math
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoalwise import operators as op
+from shoalwise.functions.tails import inversion_shares, student_sf2
 
 ordered = importlib.import_module("shoalwise.operators.ordered")
 
@@ -113,6 +115,42 @@ def test_cross_correlation_repeated_times(spark):
         assert r["r"] == pytest.approx(want / (120 * x.std() * y.std()))
 
 
+@pytest.mark.parametrize("ties", [(1,), (3,), (1, 1, 1, 1), (2, 1, 3), (1, 2, 2, 1, 1), (3, 3, 1), (1,) * 8, (2, 3, 3)])
+def test_exact_shares_by_enumeration(ties):
+    values = [i for i, t in enumerate(ties) for _ in range(t)]
+    orders = np.array(sorted(set(itertools.permutations(values))))
+    n = len(values)
+    inversions = sum((orders[:, i] > orders[:, j]).astype(int) for i in range(n) for j in range(i + 1, n)) + np.zeros(len(orders), int)
+    shares = inversion_shares(ties)
+    assert shares == pytest.approx(np.bincount(inversions, minlength=len(shares)) / len(orders))
+
+
+def test_exact_mann_kendall(spark):
+    """Two short seasons of one key by enumeration; long series and shared times have no exact p."""
+    first, second = [3.0, 1.0, 2.0, 2.0, 5.0], [1.0, 4.0, 4.0, 6.0]
+    data = [("a", 1, i, v) for i, v in enumerate(first)] + [("a", 2, i, v) for i, v in enumerate(second)]
+    data += [("long", 1, i, float(i)) for i in range(9)] + [("same", 1, i // 2, float(i)) for i in range(4)]
+    data += [(None, 1, i, float(i % 3)) for i in range(6)] + [("a", 1, 99, None), ("single", 1, 0, 1.0)]
+    df = spark.createDataFrame(data, "key string, m int, t int, x double")
+
+    def score(v):
+        return sum(np.sign(v[j] - v[i]) for i in range(len(v)) for j in range(i + 1, len(v)))
+
+    def share(*series):
+        sums = [sum(score(o) for o in orders) for orders in itertools.product(*[list(itertools.permutations(v)) for v in series])]
+        return np.mean([abs(s) >= abs(sum(score(v) for v in series)) for s in sums])
+
+    got = {r["key"]: r for r in op.mann_kendall(df, "key", "t", "x", season="m", exact_up_to=8).collect()}
+    assert got["a"]["exact_p"] == pytest.approx(share(first, second))
+    assert got[None]["exact_p"] == pytest.approx(share([0.0, 1.0, 2.0, 0.0, 1.0, 2.0]))
+    assert got["long"]["exact_p"] is None and got["same"]["exact_p"] is None
+    assert got["single"]["exact_p"] == 1
+    one = df.where("key = 'a' and m = 1")
+    assert op.mann_kendall(one, [], "t", "x", exact_up_to=8).collect()[0]["exact_p"] == pytest.approx(share(first))
+    assert op.mann_kendall(one, [], "t", "x", season="m", exact_up_to=8).collect()[0]["exact_p"] == pytest.approx(share(first))
+    assert "exact_p" not in op.mann_kendall(one, "key", "t", "x").columns
+
+
 def loess(x, y, g, span):
     q = max(int(math.floor(len(x) * min(span, 1) + 1e-5)), 1)
     h = np.sort(np.abs(x - g))[q - 1] * max(span, 1)
@@ -141,6 +179,45 @@ def test_local_smooth(spark, monkeypatch, whole, span):
         assert r["value"] == pytest.approx(loess(x, y, r["x"], span), rel=1e-6, abs=1e-8)
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_local_smooth_band(spark, monkeypatch, whole):
+    """Against the whole smoother of all rows: L, and both deltas from (I - L)(I - L)'."""
+    monkeypatch.setattr(ordered, "BLOCK", 32)
+    rng = np.random.default_rng(17)
+    frames, data = {}, [("a", None, 1.0), ("a", 3, None), ("a", 3, float("nan")), ("one", 5, 1.0), ("one", 5, 2.0)]
+    for key, n in (("a", 300), (None, 40)):
+        x = rng.integers(0, 90, n) if whole else np.exp(rng.normal(size=n))
+        y = np.sin(x / 20.0) + rng.normal(size=n)
+        frames[key] = (np.asarray(x, float), y)
+        data += [(key, int(a) if whole else float(a), float(b)) for a, b in zip(x, y)]
+    data = [(k, a if a is None or whole else float(a), b) for k, a, b in data]
+    df = spark.createDataFrame(data, f"key string, x {'int' if whole else 'double'}, y double")
+    got = op.local_smooth_band(df, "key", "x", "y", points=20, level=0.9).collect()
+    assert all(r["std_error"] is None or r["std_error"] > 0 for r in got)
+    assert [r["fit"] for r in got if r["key"] == "one"] == pytest.approx([1.5])
+    for key, (x, y) in frames.items():
+        rows = sorted((r for r in got if r["key"] == key), key=lambda r: r["x"])
+        grid = np.array([r["x"] for r in rows])
+        assert len(rows) == 20
+        V = np.array([[loess(x, e, g, 0.75) for e in np.eye(len(x))] for g in grid])
+        PHI = np.array([np.interp(x, grid, e) for e in np.eye(20)]).T
+        rest = np.eye(len(x)) - PHI @ V
+        A = rest @ rest.T
+        one, two = np.trace(A), (A * A).sum()
+        scale = math.sqrt(((rest @ y) ** 2).sum() / one)
+        for i, r in enumerate(rows):
+            se = scale * math.sqrt((V[i] ** 2).sum())
+            assert r["fit"] == pytest.approx(V[i] @ y, rel=1e-6, abs=1e-8)
+            assert (r["std_error"], r["residual_df"], r["scale"]) == pytest.approx((se, one * one / two, scale), rel=1e-6)
+            half = r["upper"] - r["fit"]
+            assert half == pytest.approx(r["fit"] - r["lower"])
+            assert float(student_sf2(half / se, r["residual_df"])[0]) == pytest.approx(0.1, abs=1e-6)
+    assert op.local_smooth_band(df.limit(0), "key", "x", "y").count() == 0
+    plain = {r["x"]: r["value"] for r in op.local_smooth(df.where("key = 'a'"), [], "x", "y", points=20).collect()}
+    alone = {r["x"]: r["fit"] for r in op.local_smooth_band(df.where("key = 'a'"), [], "x", "y", points=20).collect()}
+    assert plain == pytest.approx(alone)
+
+
 def nrd0(x):
     q = np.percentile(x, [25, 75])
     return 0.9 * min(x.std(ddof=1), (q[1] - q[0]) / 1.34) * len(x) ** -0.2
