@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,15 @@ def lookup(df: DataFrame, dimension: DataFrame, on: str | dict[str, str], how: s
     return df.join(renamed, cond, how).drop(*[f"__dim_{d}" for d in dim_keys])
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables that the session names."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        durable(spark.range(1))  # names the folder
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like :func:`durable`, as Parquet files in the same folder, for tables that a fit makes again and again.
 
@@ -69,11 +78,7 @@ def written(df: DataFrame) -> DataFrame:
     it, which multiply from one iteration to the next; files have none.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        durable(spark.range(1))  # names the folder
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/written-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -623,6 +623,7 @@ SELECT year, k, {r('''sum(CASE WHEN k > n - m THEN 1 ELSE 1 - exp(lgamma(n - m +
     q["accumulation_slope"] = (
         f"WITH {SLOPES} SELECT year, {r('slope')} AS slope, {r('se')} AS se, {r('r2')} AS r2, n FROM slopes"
     )
+    q["staged_slope"] = f"WITH {SLOPES} SELECT year, {r('slope')} AS slope, n FROM slopes"
     q["slope_quadratic"] = f"""WITH {SLOPES}, c AS (SELECT year, slope AS est, 1 / se AS w, year - avg(year) OVER () AS d FROM slopes),
 m AS (SELECT sum(w) AS s0, sum(w*d) AS s1, sum(w*d*d) AS s2, sum(w*d*d*d) AS s3, sum(w*d*d*d*d) AS s4,
   sum(w*est) AS t0, sum(w*est*d) AS t1, sum(w*est*d*d) AS t2 FROM c),

@@ -15,7 +15,7 @@ from shoalwise import operators as op
 from shoalwise.frames import durable, lookup
 from shoalwise.functions import harmonic_terms, season
 from shoalwise.session import ship
-from shoalwise.sources import star
+from shoalwise.sources import star, write_stage
 
 SPLIT_YEAR = 1998
 PERMUTATIONS = 100
@@ -226,6 +226,15 @@ def accumulation_slope(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_slopes(spark, folder).select("year", "slope", "se", "r2", "n"))
 
 
+@query
+def staged_slope(spark: SparkSession, folder: str) -> DataFrame:
+    """The curve written as CSV, read back by its schema, and fitted; the stage goes once the slopes are kept."""
+    with write_stage(_accumulation(spark, folder), "accumulation", "csv") as stage:
+        curve = stage.read().withColumn("log_k", F.ln("k"))
+        slopes = durable(op.trend(curve, "year", "richness", "log_k").select("year", "slope", "n"))
+    return rounded(slopes)
+
+
 @query
 def slope_quadratic(spark: SparkSession, folder: str) -> DataFrame:
     # curves are costly and their slopes few: written once, then fitted
