@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,17 +119,19 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 def _scan(text: bytes, phrases: list[tuple[bytes, str]], compiled: list) -> dict:
     words = plain_words(text)
     spaced = b" " + b" ".join(words) + b" "
+    # the word at a place is told by the spaces before it, found once
+    spaces = np.flatnonzero(np.frombuffer(spaced, np.uint8) == 32)
     places, base, matches = [], set(), []
     for phrase, label in phrases:
         at = spaced.find(phrase)
         while at >= 0:
             base.add(label)
-            places.append(spaced.count(b" ", 0, at))
+            places.append(int(np.searchsorted(spaces, at)))
             matches.append((places[-1], places[-1] + phrase.count(b" ") - 1, label, 0))
             at = spaced.find(phrase, at + 1)
     fuzzy = fuzzy_matches(spaced[1:-1], compiled)
     for a, b, label, wrong, _ in fuzzy:
-        first = spaced.count(b" ", 0, a + 1) - 1
+        first = int(np.searchsorted(spaces, a + 1)) - 1
         matches.append((first, first + spaced[a + 1 : b + 1].strip().count(b" ") + 1, label, wrong))
     spans = []
     if matches:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -90,6 +91,15 @@ def test_license_scan_matches_brute_force_and_finds_edits(spark, awkward, empty)
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_many_notices_in_one_text_cost_no_more_than_their_number():
+    text = "some words then the mit license and " * 30_000
+    start = time.monotonic()
+    got = licenses._scan(text.encode(), [(b" mit license ", "mit")], [])
+    assert time.monotonic() - start < 20
+    assert (got["n_base"], got["first_word"], got["last_word"]) == (30_000, 4, 7 * 29_999 + 4)
+    assert got["matches"][-1][1:3] == (7 * 29_999 + 4, 7 * 29_999 + 6)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(0, 10_000))
 def test_seeds_lose_no_fuzzy_match(seed):
