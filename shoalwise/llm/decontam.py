@@ -73,20 +73,21 @@ class Suffixes:
             keys, _ = self._keys(flat)
             self.tables.append(np.unique(keys))
         self.longest = 0
-        #: Coded suffix, item, its word and length in words; coded first window and its words
-        self.suffixes: list[tuple[bytes, str, int, bytes, int]] = []
+        #: Each item with its codes, kept once: suffixes are places in them; number of suffixes, words of a window
+        self.coded: list[tuple[str, bytes, int, int]] = []
         self.windows: dict[bytes, tuple[int, set[str]]] = {}
         for item, n in numbered:
             codes = self.codes(n).astype(">u4")
             width = min(window, len(n))
             starts = len(n) - lead + 1
             self.longest = max(self.longest, starts)
-            for j in range(starts):
-                first = b""
-                if j + width <= len(n):
-                    first = codes[j : j + width - lead + 1].tobytes()
-                    self.windows.setdefault(first, (width, set()))[1].add(item)
-                self.suffixes.append((codes[j:starts].tobytes(), item, j, first, width))
+            coded = codes[:starts].tobytes()
+            self.coded.append((item, coded, starts, width))
+            for j in range(len(n) - width + 1):
+                self.windows.setdefault(self._window(coded, j, width), (width, set()))[1].add(item)
+
+    def _window(self, coded: bytes, word: int, width: int) -> bytes:
+        return coded[4 * word : 4 * (word + width - self.lead + 1)]
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.ids.get, words, repeat(0)), dtype=np.int64, count=len(words))
@@ -130,37 +131,70 @@ class Suffixes:
         present = set(codes[order].astype(">u4").tobytes()[i : i + 4] for i in range(0, 4 * len(order), 4))
         seen: set[bytes] = set()
         places, longest = [], []
-        for suffix, item, word, first, width in self.suffixes:
-            if suffix[:4] not in present:
-                continue
-            n = len(suffix)
-            low = bisect_left(array, suffix, key=lambda p: text[4 * p : 4 * p + n])  # noqa: B023
-            best, where = 0, -1
-            for near in (low - 1, low):
-                if 0 <= near < len(array):
-                    common = _common(suffix, text[4 * array[near] : 4 * array[near] + n])
-                    if common > best:
-                        best, where = common, array[near]
-            if best:
-                longest.append((item, word, best + self.lead - 1, where))
-            if first and first not in seen and best + self.lead - 1 >= width:
-                seen.add(first)
-                m = len(first)
-                start = bisect_left(array, first, key=lambda p: text[4 * p : 4 * p + m])  # noqa: B023
-                end = bisect_right(array, first, lo=start, key=lambda p: text[4 * p : 4 * p + m])  # noqa: B023
-                if end > start:
-                    places.append((first, order[start:end]))
+        for item, coded, starts, width in self.coded:
+            for word in range(starts):
+                if coded[4 * word : 4 * word + 4] not in present:
+                    continue
+                low = _place(array, text, coded, 4 * word)
+                best, where = 0, -1
+                for near in (low - 1, low):
+                    if 0 <= near < len(array):
+                        common = _common(coded, 4 * word, text, 4 * array[near])
+                        if common > best:
+                            best, where = common, array[near]
+                if best:
+                    longest.append((item, word, best + self.lead - 1, where))
+                if best + self.lead - 1 < width or word + width > starts + self.lead - 1:
+                    continue
+                first = self._window(coded, word, width)
+                if first not in seen:
+                    seen.add(first)
+                    m = len(first)
+                    start = bisect_left(array, first, key=lambda p: text[4 * p : 4 * p + m])  # noqa: B023
+                    end = bisect_right(array, first, lo=start, key=lambda p: text[4 * p : 4 * p + m])  # noqa: B023
+                    if end > start:
+                        places.append((first, order[start:end]))
         return places, longest
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Number of equal codes at the start."""
-    if a == b:
-        return len(a) // 4
-    x, y = np.frombuffer(a, ">u4"), np.frombuffer(b, ">u4")
+def _alike(a: bytes, i: int, b: bytes, j: int) -> int:
+    """Bytes up to the stretch in which a from i on and b from j on first differ, or to the end of one.
+
+    Stretches double, so that nothing much longer than what is equal is ever copied.
+    """
+    start, step, most = i, 64, min(len(a) - i, len(b) - j)
+    while i - start < most:
+        step = min(step, most - (i - start))
+        if a[i : i + step] != b[j : j + step]:
+            break
+        i, j, step = i + step, j + step, step * 2
+    return i - start
+
+
+def _place(array: list[int], text: bytes, coded: bytes, at: int) -> int:
+    """How many of the sorted places of the text stand before the suffix of an item that begins at byte ``at``."""
+    low, high, rest = 0, len(array), len(coded) - at
+    while low < high:
+        middle = (low + high) // 2
+        p = 4 * array[middle]
+        same = _alike(coded, at, text, p)
+        # the differing stretch is at most as long as what is equal before it, or 64 bytes
+        step = min(max(64, same + 64), rest - same)
+        if text[p + same : p + same + step] < coded[at + same : at + same + step]:
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
+def _common(coded: bytes, at: int, text: bytes, p: int) -> int:
+    """Number of equal codes from a place of an item and a place of the text on."""
+    same = _alike(coded, at, text, p)
+    step = max(64, same + 64)
+    x, y = np.frombuffer(coded[at + same : at + same + step], ">u4"), np.frombuffer(text[p + same : p + same + step], ">u4")
     n = min(len(x), len(y))
     different = np.flatnonzero(x[:n] != y[:n])
-    return int(different[0]) if len(different) else n
+    return same // 4 + (int(different[0]) if len(different) else n)
 
 
 @lru_cache(maxsize=1)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -111,6 +113,24 @@ def test_no_benchmark_and_no_documents(spark, awkward, empty):
     assert decontam.decontaminate(empty, none).count() == 0
 
 
+def test_a_long_item_is_kept_once():
+    """An item of 50,000 words: its suffixes are places, not copies, and all of them are found."""
+    words = [b"w%d" % (i * 7919 % 60_013) for i in range(50_000)]
+    tracemalloc.start()
+    searcher = decontam.Suffixes([("long", words)], 13, 4)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    shard = [words[1000:41_000], [b"other"] * 50, words[:300]]
+    ids = decontam._joined(searcher, shard, sum(map(len, shard)) + 3)
+    start = time.monotonic()
+    places, longest = searcher.search(ids)
+    assert time.monotonic() - start < 30
+    best = {word: n for _, word, n, _ in longest}
+    assert best[1000] == 40_000 and best[40_000] == 1000 and best[0] == 300
+    hit = {int(p) for _, at in places for p in at}
+    assert hit >= set(range(40_000 - 12))
+
+
 def plain_print(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", low(text))
     n = min(4, len(w))
