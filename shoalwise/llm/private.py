@@ -10,15 +10,17 @@ with the exact patterns' finds, and other spellings of them, as truth.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
-from itertools import takewhile
+from itertools import accumulate, takewhile
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from shoalwise.llm.common import text_bytes
@@ -28,6 +30,10 @@ KINDS = ("email", "ip", "card", "phone")
 LONGEST = 24
 #: Documents and zones that the field is fitted on at most.
 SAMPLE_DOCS, SAMPLE_ZONES = 2000, 300
+#: Characters of a document that the fit sees at most, and on each side of an ``@`` or number.
+SAMPLE_CHARS, SIDE = 1 << 14, 100
+#: Zones of more characters first drop segments without hope, for so many first tokens at a time.
+LONG_ZONE, HOPEFUL = 64, 1 << 14
 #: How much better than no entity a span must be (log odds).
 MARGIN = 2.0
 
@@ -153,9 +159,60 @@ class Field:
     weights: np.ndarray
     longest: int = LONGEST
 
+    def hopeful(self, text: str, start: int, end: int, margin: float) -> tuple[int, list[tuple[int, int, int, int]]]:
+        """Like :func:`candidates`, without the segments that cannot score over 0.
+
+        Counts of digits, letters and ``@`` give some features of a segment and
+        rule out others; the weights of the rest enter where they are positive.
+        Segments of long zones then cost array steps only, most of them.
+        """
+        cuts = np.array([start, *(m.end() for m in _TOKEN.finditer(text, start, end))])
+        n = len(cuts) - 1
+        codes = np.frombuffer(text[start:end].encode("utf-32-le", errors="replace"), np.uint32)
+        digit = (codes >= 48) & (codes <= 57)
+        letter = (codes | 32 >= 97) & (codes | 32 <= 122)
+        counts = [np.concatenate([[0], np.cumsum(c)])[cuts - start] for c in (digit, letter, codes == 64)]
+        first = codes[cuts[:-1] - start]
+        opens = np.isin(first, [ord(c) for c in " .)-/%@_"], invert=True)
+        plain_start = (digit | letter)[cuts[:-1] - start] | (first == 43) | (first == 40)
+        closes = (digit | letter)[cuts[1:] - start - 1]
+        w = self.weights.T
+        up = np.maximum(w, 0)
+        sure = w[0] + w[23] + up[[21, 22, 25, 26, 27]].sum(axis=0) - margin
+        out = []
+        for a in range(0, n, HOPEFUL):
+            i = np.arange(a, min(n, a + HOPEFUL))
+            i = i[opens[i]]
+            i, j = (x.ravel() for x in np.broadcast_arrays(i[:, None], i[:, None] + np.arange(1, self.longest + 1)))
+            keep = j <= n
+            i, j = i[keep], j[keep]
+            keep = closes[j - 1] & (cuts[j] - cuts[i] >= 6)
+            i, j = i[keep], j[keep]
+            digits, letters, ats = (c[j] - c[i] for c in counts)
+            bucket = 1 + np.minimum(6, sum((digits > k).astype(int) for k in (0, 3, 6, 8, 12, 19)))
+            most = sure + w[bucket]
+            for holds, on in (
+                (letters > 0, w[8]),
+                (ats == 1, w[9]),
+                (ats > 0, up[10] + up[11]),
+                (first[i] == 43, w[12]),
+                (plain_start[i], w[24]),
+                (digits >= 7, up[13] + up[14]),
+                ((digits >= 4) & (letters == 0), up[15]),
+                (digits >= 4, up[16]),
+                ((digits > 12) & (digits < 20), np.maximum(w[17], w[18])),
+                (letters == 0, up[19]),
+                (digits >= 4, up[20]),
+            ):
+                most = most + holds[:, None] * on
+            keep = (most > -1e-6).any(axis=1)
+            i, j = i[keep], j[keep]
+            out += zip(i.tolist(), j.tolist(), cuts[i].tolist(), cuts[j].tolist(), strict=True)
+        return n, out
+
     def spans(self, text: str, start: int, end: int, margin: float = MARGIN) -> list[Span]:
         """Best segmentation of one zone: Viterbi over its segments."""
-        n, segments = candidates(text, start, end, self.longest)
+        n, segments = self.hopeful(text, start, end, margin) if end - start > LONG_ZONE else candidates(text, start, end, self.longest)
         by_end: dict[int, list] = {}
         for i, j, a, b in segments:
             on = segment_features(text, a, b, a == start and b == end)
@@ -313,15 +370,54 @@ def fit(texts: list[str], most: int = SAMPLE_ZONES, longest: int = LONGEST, epoc
     return Field(weights, longest)
 
 
+_ANCHOR = re.compile("@|[0-9][0-9 ().-]{6}")
+
+
+def around(text: str, most: int = SAMPLE_CHARS, side: int = SIDE) -> str:
+    """A line for each stretch around an ``@`` or a long number: two words and at most ``side`` characters each way.
+
+    Stretches that meet are one, up to ``4 * side`` characters.  Of more than
+    ``most`` characters together those of the lowest hashes stay, in their order.
+    """
+    spans: list[list[int]] = []
+    for m in _ANCHOR.finditer(text):
+        left, right = text[max(0, m.start() - side) : m.start()], text[m.end() : m.end() + side]
+        a = m.start() - len(" ".join(re.split(r"\s", left)[-2:]))
+        b = m.end() + len(" ".join(re.split(r"\s", right)[:2]))
+        if spans and a <= spans[-1][1]:
+            a = spans[-1][1]
+            if b - spans[-1][0] <= 4 * side:
+                spans[-1][1] = b = max(a, b)
+                continue
+        if a < b:
+            spans.append([a, b])
+    held = [(blake2b(text[a:b].encode(errors="replace"), digest_size=8).digest(), a, b) for a, b in spans]
+    kept, size = [], 0
+    for _, a, b in sorted(held):
+        if (size := size + b - a) > most:
+            break
+        kept.append((a, b))
+    return "\n".join(text[a:b] for a, b in sorted(kept))
+
+
+@pandas_udf(T.StringType())
+def _around(texts: pd.Series) -> pd.Series:
+    return texts.map(around)
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", most_docs: int = SAMPLE_DOCS, **options) -> Field:
-    """Fit on at most ``most_docs`` different documents with an ``@`` or a long number, chosen by a hash of the text."""
+    """Fit on at most ``most_docs`` different documents with an ``@`` or a long number, chosen by a hash of the text.
+
+    Of each at most ``SAMPLE_CHARS`` characters around such places reach the
+    driver.  NULL and empty texts are no examples, repeated texts are one; with
+    no example at all the field's weights are 0 and it adds no spans.
+    """
     likely = docs.where(F.col(text).rlike("@|[0-9][0-9 ().-]{6}")).select(F.col(text).cast("string").alias("t"))
     hashed = likely.select(F.xxhash64("t").alias("h"), "t")
     # copies become one hash within each task, before anything is dealt or counted
     lowest = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(most_docs).collect()]
-    around = F.array_join(F.regexp_extract_all("t", F.lit(r"\S*\s?\S*(?:@|[0-9][0-9 ().-]{6})\S*\s?\S*"), 0), "\n")
-    chosen = hashed.where(F.col("h") <= (lowest[-1] if lowest else None)).dropDuplicates(["h"])
-    rows = chosen.select("h", around.alias("t")).collect()
+    chosen = hashed.where(F.col("h") <= (lowest[-1] if lowest else None))
+    rows = chosen.dropDuplicates(["h"]).select("h", _around("t").alias("t")).collect()
     return fit([r["t"] for r in sorted(rows, key=lambda r: r["h"])], **options)
 
 
@@ -337,9 +433,11 @@ def spans_of(text: bytes, field: Field, margin: float = MARGIN) -> list[tuple[st
     found = [(*s, True) for s in base]
     if field.weights.any():
         taken = sorted((a, b) for _, a, b in base)
+        ends = list(accumulate((e for _, e in taken), max))
         for a, b in zones(plain):
             at = a
-            for s, e in [x for x in taken if x[0] < b and x[1] > a] + [(b, b)]:
+            meets = taken[bisect_right(ends, a) : bisect_left(taken, (b,))]
+            for s, e in [x for x in meets if x[1] > a] + [(b, b)]:
                 if s - at >= 6:
                     found += [(*x, False) for x in field.spans(plain, at, s, margin)]
                 at = max(at, e)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -19,10 +20,10 @@ PLAIN = {
 }
 
 
-def plain_spans(text):
+def plain_spans(text, kinds=tuple(PLAIN)):
     out = []
-    for kind, pattern in PLAIN.items():
-        for m in re.finditer(pattern, text):
+    for kind in kinds:
+        for m in re.finditer(PLAIN[kind], text):
             digits = re.sub("[^0-9]", "", m[0])
             good = {
                 "email": True,
@@ -113,6 +114,49 @@ def test_best_segmentation_is_the_best_of_all():
         assert abs(total - best(0)) < 1e-9
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.text(st.sampled_from("1234567890.-+()@abZ/%_ "), min_size=30, max_size=200))
+def test_dropping_segments_without_hope_changes_no_segmentation(seed, text):
+    field = private.Field(np.random.default_rng(seed).normal(-0.4, 1.0, (4, private.N_FEATURES)), 24)
+    for a, b in private.zones(text):
+        plain = {s for s in private.candidates(text, a, b, 24)[1]}
+        n, kept = field.hopeful(text, a, b, private.MARGIN)
+        assert n == private.candidates(text, a, b, 24)[0] and plain >= set(kept)
+        for i, j, s, e in plain - set(kept):
+            on = private.segment_features(text, s, e, s == a and e == b)
+            assert (field.weights[:, on].sum(axis=1) - private.MARGIN <= 0).all(), (i, j)
+
+
+def test_extracts_for_the_fit_are_bounded():
+    run = "x" * 120_000
+    assert private.around(f"one two {run} a@b.cc three four five") == f"{'x' * 98} a@b.cc three"
+    assert private.around("no place") == "" == private.around("")
+    assert private.around("1 two me@here.org or +1 (578) 555-6437 and so on") == "two me@here.org or +1 (578) 555-6437 and"
+    many = " ".join(f"n{i}@m.example.org and more words here" for i in range(5000))
+    cut = private.around(many)
+    assert private.SAMPLE_CHARS - 500 < len(cut) <= private.SAMPLE_CHARS + len(cut.split("\n"))
+    assert all(line in many for line in cut.split("\n"))
+
+
+def test_long_runs_cost_no_more_than_their_length(spark):
+    """A run of 120,000 characters, one of base64 and a dump of addresses, each beside an address."""
+    rng = random.Random(8)
+    base64 = "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(300_000))
+    dump = " ".join(f"n{i}@m{i % 7}.example.org" for i in range(30_000))
+    texts = [f"{'x' * 120_000} a.b@c.example.org", f"{base64} a.b@c.example.org", dump, *private_texts(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.monotonic()
+    field = private.train(docs, epochs=5)
+    assert field.weights.any()
+    got = {r.doc_id: r.got for r in docs.select("doc_id", private.find_private("text", field).alias("got")).collect()}
+    assert time.monotonic() - start < 60
+    for i, text in enumerate(texts):
+        # the plain address pattern takes the square of a run, so its find is stated
+        mails = [("email", len(text) - 17, len(text))] if i < 2 else plain_spans(text)
+        others = plain_spans(text[:-18], [k for k in PLAIN if k != "email"]) if i == 1 else []
+        assert [(s.kind, s.start, s.end) for s in got[i] if s.base] == mails + others
+
+
 def test_redaction_of_awkward_documents(spark, awkward, empty):
     field = private.train(awkward.limit(0))
     assert not field.weights.any()
