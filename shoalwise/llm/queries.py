@@ -44,9 +44,10 @@ def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """A record per page, written and read back through the index."""
-    archive = warc.write_archive(_table(spark, folder, "pages").select("page_id", "url", "html"))
-    read = warc.read_archive(archive, payloads=False)
+    """A record per page, written, then looked up by its URL in the two-level index and read back."""
+    pages = _table(spark, folder, "pages").select("page_id", "url", "html")
+    archive = warc.write_archive(pages)
+    read = warc.look_up(archive, pages, payloads=False, exact=True)
     # a revisit's bytes are those of the response it names
     whole = (
         read.where("record_type = 'response' AND page_id IS NOT NULL")

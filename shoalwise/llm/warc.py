@@ -334,45 +334,68 @@ def _as_records(rows: list[dict]) -> pd.DataFrame:
     return frame.astype({"page_id": "Int64", "refers_to": "Int64", "http_bytes": "Int64"})
 
 
-def read_archive(archive: Archive, payloads: bool = True) -> DataFrame:
-    """Every record, read through the index: blocks, then ranges of the files.
+def _fetched(places: DataFrame, payloads: bool, kept: str | None = None) -> DataFrame:
+    """Records at their places, dealt and sorted by file and offset, so that each task reads files from front to back.
 
-    Captures of all blocks are sorted by file and offset first, so that a file
-    is read from front to back.  A digest that does not fit raises.
+    ``kept`` names a column of the places that goes along.
     """
+    carry = [kept] if kept else []
 
-    def captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, offset, length in zip(batch["file"], batch["offset"], batch["length"], strict=True):
-                yield _captures([_unline(x) for x in _block(file, offset, length)])
+    def framed(rows: list[dict], along: list) -> pd.DataFrame:
+        return _as_records(rows).assign(**{c: along for c in carry})
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            held, size = [], 0
-            for x in _records(batch[["file", "offset", "length", "url"]].to_dict("records"), payloads):
+            held, along, size = [], [], 0
+            said = batch[kept].tolist() if kept else [None] * len(batch)
+            for x, one in zip(_records(batch[["file", "offset", "length", "url"]].to_dict("records"), payloads), said, strict=True):
                 held.append(x)
+                along.append(one)
                 size += len(x["payload"] or b"")
                 if size > 1 << 24:
-                    yield _as_records(held)
-                    held, size = [], 0
+                    yield framed(held, along)
+                    held, along, size = [], [], 0
             if held:
-                yield _as_records(held)
+                yield framed(held, along)
+
+    nearby = places.select("file", "offset", "length", "url", *carry).repartitionByRange("file", "offset")
+    return nearby.sortWithinPartitions("file", "offset").mapInPandas(fetch, RECORDS + "".join(f", {c} string" for c in carry))
+
+
+def read_archive(archive: Archive, payloads: bool = True) -> DataFrame:
+    """Every record, read through the index: blocks, then ranges of the files.
+
+    Captures of all blocks are sorted by file and offset first, so that a file
+    is read from front to back.  A digest that does not fit raises.  NULL and
+    empty payloads come back empty, repeated pages as often as they were
+    written; an empty archive gives no rows.
+    """
+
+    def captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file, offset, length in zip(batch["file"], batch["offset"], batch["length"], strict=True):
+                yield _captures([_unline(x) for x in _block(file, offset, length)])
 
     listed = archive.directory.select("file", "offset", "length").repartition("file", "offset").mapInPandas(captures, CAPTURES)
-    nearby = listed.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return nearby.mapInPandas(fetch, RECORDS)
+    return _fetched(listed, payloads)
 
 
-def look_up(archive: Archive, urls: DataFrame, url: str = "url", payloads: bool = True) -> DataFrame:
+def look_up(archive: Archive, urls: DataFrame, url: str = "url", payloads: bool = True, exact: bool = False) -> DataFrame:
     """Records of the URLs asked for, each with ``asked``, the URL as it was asked.
 
+    A URL finds all captures of its key; with ``exact`` only those of the very
+    URL, NULL as the empty one, so that asking for the URLs of all pages gives
+    every record once.
+
     Level one: the directory's sorted first keys are searched for each URL's
     key.  The directory has one row per block, ``1 / block_lines`` of the
     captures; it is cut into ranges of its own order, so that tasks hold a
     range of it and never the whole.  Level two: the block is read and searched.
+    The places found are then dealt by file and offset and range-read.
     Repeated, NULL and unknown URLs are fine; unknown ones give no row.
     """
-    asked = urls.select(F.col(url).cast("string").alias("asked")).distinct()
+    said = F.col(url).cast("string")
+    asked = urls.select((F.coalesce(said, F.lit("")) if exact else said).alias("asked")).distinct()
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -418,21 +441,24 @@ def look_up(archive: Archive, urls: DataFrame, url: str = "url", payloads: bool
                 low = max(0, bisect.bisect_left(first, row.at) - 1)
                 for place in places[low : bisect.bisect_right(first, row.at)]:
                     if place.last_key >= row.at:
-                        wanted.setdefault((place.file, int(place.offset), int(place.length)), []).append((row.at, row.asked))
+                        here = wanted.setdefault((place.file, int(place.offset), int(place.length)), {})
+                        here.setdefault(row.at, set()).add(row.asked)
             for place, asked_here in wanted.items():
                 lines = _block(*place)
                 block_keys = [x.split("\t", 1)[0] for x in lines]
                 found = []
-                for key, said in asked_here:
+                for key, said in asked_here.items():
                     written = _line([key])
                     for line in lines[bisect.bisect_left(block_keys, written) : bisect.bisect_right(block_keys, written)]:
-                        found.append(_unline(line) | {"asked": said})
+                        row = _unline(line)
+                        same = ([row["url"]] if row["url"] in said else []) if exact else said
+                        found += [(row["file"], row["offset"], row["length"], row["url"], one) for one in same]
                 if found:
-                    said = [f.pop("asked") for f in found]
-                    yield _as_records(list(_records(iter(found), payloads))).assign(asked=said)
+                    yield pd.DataFrame(found, columns=["file", "offset", "length", "url", "asked"])
 
     ordered = sent.unionByName(blocks).repartition("range").sortWithinPartitions("range", "kind", "at", "offset")
-    return ordered.mapInPandas(search, f"{RECORDS}, asked string")
+    places = ordered.mapInPandas(search, "file string, offset long, length long, url string, asked string")
+    return _fetched(places, payloads, "asked")
 
 
 _PLACE = (

@@ -167,12 +167,28 @@ def test_archive_round_trip_and_look_up(spark):
     found = [(str(r.page_id), r.url, r.record_type, r.refers_to, r.payload_digest) for r in got]
     assert sorted(map(str, found)) == sorted(map(str, want))
     assert {bytes(r.payload) for r in got if r.record_type == "response"} == {(h or "").encode() for _, _, h in rows}
+    # asking for every page's own URL gives every record once
+    own = warc.look_up(archive, pages, exact=True).collect()
+    assert sorted(map(str, (tuple(r)[:7] for r in own))) == sorted(map(str, map(tuple, got)))
+    assert all(r.asked == r.url for r in own)
     asked = spark.createDataFrame([(rows[7][1],), (rows[3][1],), ("http://none.example.org/",), (None,), (rows[7][1],)], "url string")
     found = warc.look_up(archive, asked).collect()
     assert sorted(str((r.asked, r.page_id)) for r in found) == sorted(str((u, p)) for p, u, _ in rows if u in (rows[7][1], rows[3][1], None))
     assert bytes(next(r.payload for r in found if r.page_id == 3)) == html[3].encode()
 
 
+def test_look_up_of_one_key_over_many_blocks(spark):
+    """A URL with a third of all captures, and spellings of it that share its key."""
+    rows = [(i, f"http://www.a.org/x#{i % 5}" if i % 3 else "http://a.org/x", f"page {i}") for i in range(120)]
+    rows += [(i, f"http://b{i}.org/", "other") for i in range(120, 180)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    archive = warc.write_archive(pages, block_lines=7)
+    exact = warc.look_up(archive, pages, exact=True).collect()
+    assert sorted((r.page_id, r.asked) for r in exact) == [(p, u) for p, u, _ in rows]
+    wide = warc.look_up(archive, spark.createDataFrame([("https://a.org/x",), ("http://b130.org/#y",)], "url string")).collect()
+    assert sorted(r.page_id for r in wide) == [*range(120), 130]
+
+
 def test_empty_archive(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     archive = warc.write_archive(pages)
