@@ -206,3 +206,53 @@ def test_toxicity_of_awkward_documents(spark, awkward, empty):
     nothing = toxicity.train(empty, labels.limit(0))
     assert nothing.prior == 0 and toxicity.keep_clean(awkward, nothing).count() == awkward.count()
     assert toxicity.keep_clean(empty, model).count() == 0
+
+
+def plain_risk(w, rows, n, prior, decay):
+    """The risk that a step lowers and its slopes, from their definition over one example at a time.
+
+    Also whether the risk of the unlabelled as negatives, less the positives' part of it, is below 0.
+    """
+    *weights, bias, length = w
+    seen = []
+    for on, size in rows:
+        z = bias + length * np.log1p(size) + sum(weights[k] for k in on)
+        step = np.array([float(on.count(k)) for k in range(len(weights))] + [1.0, np.log1p(size)])
+        up = 1 / (1 + np.exp(-z))
+        seen.append((np.log1p(np.exp(-z)), (up - 1) * step, np.log1p(np.exp(z)), up * step))
+    mean = lambda part, i: sum(x[i] for x in part) / len(part)
+    rest, slope = (mean(seen[n:], i) - prior * mean(seen[:n], i) for i in (2, 3))
+    if rest >= 0:
+        risk, grad = prior * mean(seen[:n], 0) + rest, prior * mean(seen[:n], 1) + slope
+    else:
+        risk, grad = -rest, -slope
+    held = np.append(weights, [0, 0])
+    return risk + decay * (held @ held) / 2, grad + decay * held, rest < 0
+
+
+def test_fit_lowers_the_risk_as_defined():
+    """Adam on the plain risk's slopes, which small differences confirm, in both of its branches."""
+    rng = random.Random(6)
+    below = set()
+    for prior in (0.2, 0.95):
+        positive = [np.array(sorted({rng.randrange(3), rng.randrange(3), 10 + rng.randrange(40)})) for _ in range(30)]
+        unlabelled = [np.array(sorted(10 + rng.randrange(40) for _ in range(rng.randint(1, 4)))) for _ in range(90)]
+        unlabelled = [np.unique(np.append(u, 1)) if i % 9 == 0 else np.unique(u) for i, u in enumerate(unlabelled)]
+        kept = toxicity.telling(positive, unlabelled).tolist()
+        assert {0, 2} <= set(kept) <= {0, 1, 2}
+        rows = [([kept.index(k) for k in r.tolist() if k in kept], len(r)) for r in positive + unlabelled]
+        w = np.append(np.zeros(len(kept)), [np.log(prior / (1 - prior)), 0.0])
+        first, second = np.zeros_like(w), np.zeros_like(w)
+        steps = 40
+        for t in range(1, steps + 1):
+            _, grad, branch = plain_risk(w, rows, 30, prior, 1e-3)
+            below.add(branch)
+            if t % 10 == 1:
+                sides = [[plain_risk(w + h * e, rows, 30, prior, 1e-3)[0] for h in (1e-5, -1e-5)] for e in np.eye(len(w))]
+                assert np.allclose(grad, [(a - b) / 2e-5 for a, b in sides], atol=1e-7)
+            first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
+            w = w - 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        model = toxicity.fit(positive, unlabelled, prior, steps=steps)
+        assert np.allclose([*model.weights[kept], model.bias, model.length], w, atol=1e-6)
+        assert np.count_nonzero(model.weights) == len(kept)
+    assert below == {True, False}
