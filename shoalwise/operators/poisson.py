@@ -28,6 +28,7 @@ from shoalwise.functions.columns import harmonic_terms, log_factorial, missing_a
 from shoalwise.functions.tails import chi_mixture_sf, chi_square_sf, normal_sf2
 from shoalwise.operators.ordered import exact_quantiles
 from shoalwise.operators.regression import factor_levels
+from shoalwise.operators.thinplate import ThinPlateBasis
 
 if TYPE_CHECKING:
     from shoalwise.operators.absorbed import AbsorbedFit
@@ -38,8 +39,13 @@ DEVIANCE_TOLERANCE = 1e-9
 LOG_LAMBDA = (-25.0, 30.0)
 # A step that does not lower the penalised deviance is halved so often before the fit is given up.
 MOST_HALVINGS = 40
-# Neighbouring smoothing parameters are compared on slightly looser fits.
-TRIAL_TOLERANCE = 1e-7
+# The choice of smoothing ends where no slope of UBRE is steeper than this.
+GRADIENT_TOLERANCE = 1e-7
+MOST_NEWTON_STEPS = 100
+LONGEST_STEP = 5.0
+STEP_SHARES = (1.0, 0.4, 0.1, 0.01)
+# UBRE of a fit is known to about this, as its deviance is.
+UBRE_NOISE = 1e-10
 
 
 @dataclass(frozen=True)
@@ -59,11 +65,18 @@ class Harmonic:
 
 @dataclass(frozen=True)
 class Smooth:
-    """A penalised cubic spline: ``cr`` (knots at quantiles) or ``cc`` (cyclic)."""
+    """A penalised spline of dimension ``k``: ``tp`` (thin plate, the default), ``cr`` (cubic, knots at quantiles)
+    or ``cc`` (cyclic cubic, even knots).
+
+    The centres of ``tp`` are the distinct values of the column if there are
+    at most ``most_centres`` of them, else so many even quantiles of them; the
+    rows of the fit are all rows in either case.
+    """
 
     column: str
-    basis: str = "cr"
+    basis: str = "tp"
     k: int = 10
+    most_centres: int = 500
 
     @property
     def label(self) -> str:
@@ -182,7 +195,7 @@ class Block:
     scale: float = 1.0
     levels: list = field(default_factory=list)
     texts: list[str] | None = None
-    spline: SplineBasis | None = None
+    spline: SplineBasis | ThinPlateBasis | None = None
     penalty: np.ndarray | None = None
 
     def matrix(self, data: Mapping[str, np.ndarray]) -> np.ndarray:
@@ -277,11 +290,18 @@ def _smooth_block(table: DataFrame, term: Smooth) -> Block:
     elif term.basis == "cr":
         row = exact_quantiles(distinct, [], column, np.linspace(0, 1, term.k).tolist()).first()
         knots = np.unique(np.array([row[i] for i in range(term.k)], float))
+    elif term.basis == "tp":
+        few = distinct.limit(term.most_centres + 1).toPandas()[column].to_numpy(float)
+        if len(few) <= term.most_centres:
+            knots = np.sort(few)
+        else:
+            row = exact_quantiles(distinct, [], column, np.linspace(0, 1, term.most_centres).tolist()).first()
+            knots = np.unique(np.array([row[i] for i in range(term.most_centres)], float))
     else:
         raise ValueError(f"unknown basis {term.basis!r}")
     if len(knots) < 4:
         raise ValueError(f"{term.label} needs at least 4 distinct knots")
-    spline = SplineBasis(knots, term.basis == "cc")
+    spline = ThinPlateBasis(knots, min(term.k, len(knots))) if term.basis == "tp" else SplineBasis(knots, term.basis == "cc")
     size = len(spline.penalty)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +345,8 @@ class Model:
     before: tuple[float, np.ndarray] | None = None
     halvings: int = 0
     tried: set = field(default_factory=set)
+    #: Slopes of UBRE in the log smoothing parameters at the end; 0 at an end of the range.
+    gradient: np.ndarray | None = None
     result: dict = field(default_factory=dict)
 
 
@@ -429,6 +451,22 @@ def _independent(gram: np.ndarray, fixed: np.ndarray) -> np.ndarray:
     return kept
 
 
+def _turned(model: Model) -> tuple[np.ndarray, list[np.ndarray]]:
+    """An orthogonal map under which every penalty is diagonal, and those diagonals at smoothing 1.
+
+    A large smoothing then swamps no entry of X'WX but the diagonal ones of its own directions.
+    """
+    p = len(model.columns)
+    turn, diagonals = np.eye(p), []
+    for at, s in model.penalties:
+        value, vector = np.linalg.eigh(s)
+        turn[np.ix_(at, at)] = vector
+        diagonal = np.zeros(p)
+        diagonal[at] = np.where(value > 1e-14 * len(at) * value[-1], value, 0.0)
+        diagonals.append(diagonal)
+    return turn, diagonals
+
+
 def _penalty(model: Model, log_lambda: np.ndarray) -> np.ndarray:
     p = len(model.columns)
     out = np.zeros((p, p))
@@ -437,11 +475,22 @@ def _penalty(model: Model, log_lambda: np.ndarray) -> np.ndarray:
     return out
 
 
+def _inverse(gram: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Inverse of gram + diag(diagonal), scaled to a unit diagonal on the way."""
+    whole = gram + np.diag(diagonal)
+    scale = 1 / np.sqrt(np.maximum(np.diag(whole), 1e-300))
+    return np.linalg.pinv(whole * np.outer(scale, scale), hermitian=True) * np.outer(scale, scale)
+
+
 def _solve(model: Model, sums: dict, log_lambda: np.ndarray) -> dict:
     k = model.kept
     gram, xz = sums["gram"][np.ix_(k, k)], sums["xz"][k]
-    inverse = np.linalg.pinv(gram + _penalty(model, log_lambda)[np.ix_(k, k)], hermitian=True)
-    b = inverse @ xz
+    turn, diagonals = _turned(model)
+    turn = turn[np.ix_(k, k)]
+    rough = sum((math.exp(v) * d[k] for v, d in zip(log_lambda, diagonals)), np.zeros(int(k.sum())))
+    inner = _inverse(turn.T @ gram @ turn, rough)
+    inverse = turn @ inner @ turn.T
+    b = turn @ (inner @ (turn.T @ xz))
     edf = np.einsum("ij,ji->i", inverse, gram)
     rss = sums["zwz"] - 2 * b @ xz + b @ gram @ b
     beta = np.zeros(len(k))
@@ -471,14 +520,16 @@ def _tune(model: Model, sums: dict) -> np.ndarray:
 
 
 def _fit_all(
-    table: DataFrame, blocks: list[Block], models: list[Model], tolerance: float = DEVIANCE_TOLERANCE
+    table: DataFrame, blocks: list[Block], models: list[Model], near: float = 0.05
 ) -> None:
     """Iterate all models together until each has converged.
 
     A step that raises the penalised deviance is halved; one that cannot lower
     it raises an error.  Smoothing parameters are tuned along the way until
-    they stay, or come back to values they had (the refinement follows).
+    they move by less than ``near``, or come back to values they had (the
+    refinement follows).
     """
+    tolerance = DEVIANCE_TOLERANCE
     for start in range(0, len(models), MODELS_PER_PASS):
         group = models[start : start + MODELS_PER_PASS]
         while active := [m for m in group if not m.done]:
@@ -512,6 +563,7 @@ def _fit_all(
                         **{key: float(s[key]) for key in ("n", "sum", "deviance", "loglik", "ylogy")},
                         "cov": fit["cov"],
                         "gram": s["gram"],
+                        "score": s["xz"] - s["gram"] @ np.where(model.kept, model.beta, 0.0),
                         "edf": fit["edf"],
                         "aic": -2 * s["loglik"] + 2 * edf,
                         "ubre": s["deviance"] / s["n"] + 2 * edf / s["n"] - 1,
@@ -523,35 +575,138 @@ def _fit_all(
                 if model.tune and len(model.penalties):
                     tuned = _tune(model, s)
                     spot = tuple(np.round(tuned, 2))
-                    if model.beta is not None and (np.max(np.abs(tuned - model.log_lambda)) < 0.05 or spot in model.tried):
+                    if model.beta is not None and (np.max(np.abs(tuned - model.log_lambda)) < near or spot in model.tried):
                         model.tune = False
                     model.tried.add(spot)
                     model.log_lambda, model.before = tuned, None
                 model.beta = _solve(model, s, model.log_lambda)["beta"]
 
 
+def _slope_sums(table: DataFrame, blocks: list[Block], model: Model, lever: np.ndarray, slopes: np.ndarray) -> dict:
+    """One pass for the derivatives of UBRE at a fit, over the kept columns.
+
+    With weights w, h = x' lever x and s_j = x' slopes[j] of each merged row it sums
+    X'(w h), X' diag(w s_j) X of each j, and w s_j s_k h of each pair.
+    """
+    chosen, beta, kept = model.blocks, np.where(model.kept, model.beta, 0.0), model.kept
+    width, count = int(kept.sum()), len(slopes)
+    triangle, pairs = np.triu_indices(width), np.triu_indices(count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            data = {
+                name: batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                for i, name in enumerate(batch.schema.names)
+            }
+            whole = np.logical_and.reduce([~np.isnan(data[blocks[b].sources[0]]) for b in chosen])
+            data = {name: values[whole] for name, values in data.items()}
+            X = np.hstack([np.ones((int(whole.sum()), 1)), *[blocks[b].matrix(data) for b in chosen]])
+            w = data["__n"] * np.exp(X @ beta)
+            X = X[:, kept]
+            h = np.einsum("ij,jk,ik->i", X, lever, X, optimize=True)
+            s = X @ slopes.T
+            parts = [X.T @ (w * h)]
+            parts += [(X.T @ (X * (w * s[:, j])[:, None]))[triangle] for j in range(count)]
+            parts.append((s.T @ (s * (w * h)[:, None]))[pairs])
+            sums = np.concatenate(parts)
+            total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["pos", "value"])
+
+    schema = T.StructType([T.StructField("pos", T.LongType()), T.StructField("value", T.DoubleType())])
+    flat = np.zeros(width + count * len(triangle[0]) + len(pairs[0]))
+    for r in table.mapInArrow(run, schema).groupBy("pos").agg(F.sum("value").alias("value")).collect():
+        flat[r["pos"]] = r["value"]
+
+    def symmetric(values: np.ndarray, size: int, at: tuple) -> np.ndarray:
+        out = np.zeros((size, size))
+        out[at] = values
+        return out + np.triu(out, 1).T
+
+    grams = flat[width : width + count * len(triangle[0])].reshape(count, -1)
+    return {
+        "pull": flat[:width],
+        "grams": [symmetric(g, width, triangle) for g in grams],
+        "pairs": symmetric(flat[width + grams.size :], count, pairs),
+    }
+
+
+def ubre_slopes(table: DataFrame, blocks: list[Block], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient and Hessian of UBRE in the log smoothing parameters, and the slopes of the coefficients.
+
+    At the fit (G + S) b' = -l_j S_j b, G = X'WX, S = sum_j l_j S_j, since the
+    link is canonical; the deviance moves by -2 b'S b'.  Derivatives of the
+    degrees of freedom tr((G + S)^-1 G) need those of G, which one pass sums.
+    """
+    k, n, size = model.kept, model.result["n"], len(model.penalties)
+    turn, diagonals = _turned(model)
+    turn = turn[np.ix_(k, k)]
+    rough = [math.exp(v) * d[k] for v, d in zip(model.log_lambda, diagonals)]
+    G = turn.T @ model.result["gram"][np.ix_(k, k)] @ turn
+    V = _inverse(G, sum(rough))
+    VG = V @ G
+    lever = V - VG @ V
+    # at the fit the penalty's pull S b is the score, block by block
+    score = model.result["score"][k]
+    whole = turn.T @ score
+    places = np.flatnonzero(k)
+    pulls = [turn.T @ np.where(np.isin(places, at), score, 0.0) for at, _ in model.penalties]
+    slopes = np.array([-V @ pull for pull in pulls])
+    sums = _slope_sums(table, blocks, model, turn @ lever @ turn.T, slopes @ turn.T)
+    pull, own = turn.T @ sums["pull"], [turn.T @ g @ turn for g in sums["grams"]]
+    moved = [own[j] + np.diag(rough[j]) for j in range(size)]
+    VP = [V @ m for m in moved]
+    gradient = np.array([
+        (-2 * whole @ slopes[j] + 2 * (np.trace(V @ own[j]) - np.trace(VP[j] @ VG))) / n for j in range(size)
+    ])
+    hessian = np.zeros((size, size))
+    for j in range(size):
+        for i in range(j, size):
+            bend = -V @ (moved[i] @ slopes[j] + rough[j] * slopes[i] + (pulls[j] if i == j else 0.0))
+            deviance = -2 * (pulls[i] @ slopes[j] + (sum(rough) * slopes[i]) @ slopes[j] + whole @ bend)
+            freedom = sums["pairs"][j, i] + bend @ pull
+            freedom -= np.trace(VP[i] @ V @ own[j]) + np.trace(VP[j] @ V @ own[i])
+            freedom += np.trace(VP[i] @ VP[j] @ VG) + np.trace(VP[j] @ VP[i] @ VG)
+            if i == j:
+                freedom -= np.trace((V * rough[j]) @ VG)
+            hessian[j, i] = hessian[i, j] = (deviance + 2 * freedom) / n
+    return gradient, hessian, slopes @ turn.T
+
+
 def _refine(table: DataFrame, blocks: list[Block], model: Model) -> Model:
-    """Move the smoothing parameters while the UBRE of the full fit improves.
+    """Newton steps on the UBRE of the full fit until its gradient is nil.
 
-    All neighbours are fitted in the same passes, starting from the current fit.
+    A direction of negative curvature is followed downhill; no step is longer
+    than ``LONGEST_STEP``.  Fractions of a step are fitted in the same passes,
+    each from the coefficients that its slopes predict.  A parameter at an end
+    of its range stays there while the gradient points outward.
     """
-    while True:
+    for _ in range(MOST_NEWTON_STEPS):
+        gradient, hessian, slopes = ubre_slopes(table, blocks, model)
+        at = model.log_lambda
+        free = ~(((at >= LOG_LAMBDA[1]) & (gradient < 0)) | ((at <= LOG_LAMBDA[0]) & (gradient > 0)))
+        model.gradient = np.where(free, gradient, 0.0)
+        if np.abs(model.gradient).max() < GRADIENT_TOLERANCE:
+            return model
+        value, vector = np.linalg.eigh(hessian[np.ix_(free, free)])
+        curve = np.maximum(np.abs(value), 1e-7 * max(np.abs(value).max(), 1e-300))
+        step = np.zeros(len(at))
+        step[free] = -vector @ ((vector.T @ gradient[free]) / curve)
+        step *= min(1.0, LONGEST_STEP / np.abs(step).max())
         trials = []
-        for j in range(len(model.log_lambda)):
-            for step in (-2.0, -0.8, -0.3, 0.3, 0.8, 2.0):
-                moved = model.log_lambda.copy()
-                moved[j] = np.clip(moved[j] + step, *LOG_LAMBDA)
-                trials.append(replace(model, log_lambda=moved, beta=model.beta.copy(), tune=False,
-                                      deviance=math.inf, done=False, before=None, halvings=0, result={}))
-        _fit_all(table, blocks, trials, TRIAL_TOLERANCE)
-        best = min(trials, key=lambda t: t.result.get("ubre", math.inf))
-        gain = model.result["ubre"] - best.result.get("ubre", math.inf)
-        if not gain >= 1e-7:
+        for share in STEP_SHARES:
+            moved = np.clip(at + share * step, *LOG_LAMBDA)
+            start = model.beta.copy()
+            start[model.kept] += (moved - at) @ slopes
+            trials.append(replace(model, log_lambda=moved, beta=start, tune=False, deviance=math.inf, done=False,
+                                  before=None, halvings=0, result={}))
+        _fit_all(table, blocks, trials)
+        scores = [t.result.get("ubre", math.inf) for t in trials]
+        if not min(scores) <= model.result["ubre"] + UBRE_NOISE:
             break
-        model = best
-    final = replace(model, tune=False, deviance=math.inf, done=False, before=None, halvings=0, result={})
-    _fit_all(table, blocks, [final])
-    return final
+        model = next(t for t, score in zip(trials, scores) if score <= min(scores) + UBRE_NOISE)
+    return model
 
 
 # ---------------------------------------------------------------- results
@@ -568,6 +723,9 @@ class PoissonFits:
     fitted: dict[str, Model]
     #: A row per smooth: model_id, term, edf, ref_df, statistic and p of the test that the smooth is zero.
     smooths: DataFrame | None = None
+    #: A row per smooth: model_id, term, smoothing (the multiplier of its penalty), gradient of UBRE in its
+    #: logarithm (NULL where it was not tuned to its minimum) and at_bound.
+    smoothing: DataFrame | None = None
 
     def linear_predictor(self, model_id: str) -> Column:
         """The linear predictor as a column; only smooths leave the JVM."""
@@ -602,7 +760,7 @@ class PoissonFits:
         return df.withColumn("fit", F.exp(self.linear_predictor(name))).withColumn("residual", residual)
 
 
-def _smooth_value(spline: SplineBasis, coefs: np.ndarray):
+def _smooth_value(spline: SplineBasis | ThinPlateBasis, coefs: np.ndarray):
     @F.pandas_udf(T.DoubleType())
     def value(x: pd.Series) -> pd.Series:
         v = x.to_numpy(float)
@@ -664,6 +822,7 @@ def smooth_test(beta: np.ndarray, cov: np.ndarray, gram: np.ndarray, at: np.ndar
     return reference, middle, sum(tails) / 2
 
 
+SMOOTHING_SCHEMA = "model_id string, term string, smoothing double, gradient double, at_bound boolean"
 SMOOTH_SCHEMA = "model_id string, term string, edf double, ref_df double, statistic double, p double"
 TERM_SCHEMA = "model_id string, term string, estimate double, std_error double, z double, p double, edf double"
 MODEL_SCHEMA = (
@@ -678,7 +837,7 @@ def _clean(row: Sequence) -> tuple:
 
 
 def _collect(df: DataFrame, y: str, blocks: list[Block], models: list[Model]) -> PoissonFits:
-    term_rows, model_rows, tests = [], [], []
+    term_rows, model_rows, tests, chosen = [], [], [], []
     for model in models:
         r = model.result
         if not r:
@@ -689,6 +848,12 @@ def _collect(df: DataFrame, y: str, blocks: list[Block], models: list[Model]) ->
         at = 1
         smooth_rows = []
         smooth_columns: set[int] = set()
+        penalised = [b for b in model.blocks if blocks[b].penalty is not None]
+        for j, b in enumerate(penalised):
+            value = model.log_lambda[j]
+            slope = math.nan if model.gradient is None else model.gradient[j]
+            multiplier = math.exp(value) / np.abs(blocks[b].penalty).max()
+            chosen.append(_clean((model.model_id, blocks[b].label, multiplier, slope, bool(value in LOG_LAMBDA))))
         for b in model.blocks:
             width = len(blocks[b].names)
             if blocks[b].kind == "smooth":
@@ -728,6 +893,7 @@ def _collect(df: DataFrame, y: str, blocks: list[Block], models: list[Model]) ->
         blocks,
         {m.model_id: m for m in models},
         spark.createDataFrame(tests, SMOOTH_SCHEMA),
+        spark.createDataFrame(chosen, SMOOTHING_SCHEMA),
     )
 
 
@@ -736,6 +902,46 @@ def blocks_free(model: Model, blocks: list[Block], fixed: Mapping[Smooth, float]
     return any(blocks[b].kind == "smooth" and blocks[b].term not in fixed for b in model.blocks)
 
 
+class Bench:
+    """The merged rows of some terms, on which any models of them are fitted."""
+
+    def __init__(self, df: DataFrame, y: str, terms: Sequence[Term], smoothing: Mapping[Smooth, float] | None = None) -> None:
+        self.df, self.y, self.fixed = df, y, smoothing or {}
+        terms = list(dict.fromkeys(terms))
+        merged, _ = _merge(df, y, terms)
+        self.table, texts = _numbered(durable(merged), _text_factors(df, terms))
+        self.blocks = _blocks(self.table, terms, texts)
+        self.index = {t: i for i, t in enumerate(terms)}
+
+    def model(self, model_id: str, wanted: Sequence[Term]) -> Model:
+        chosen = [self.index[t] for t in wanted]
+        penalties, start, at = [], [], 1
+        for b in chosen:
+            block = self.blocks[b]
+            width = len(block.names)
+            if block.penalty is not None:
+                s = block.penalty
+                penalties.append((np.arange(at, at + width), s / np.abs(s).max()))
+                given = self.fixed.get(block.term)
+                start.append(None if given is None else math.log(given * np.abs(s).max()))
+            at += width
+        tune = any(v is None for v in start)
+        if tune and any(v is not None for v in start):
+            raise ValueError(f"model {model_id}: fix the smoothing of all its smooths or of none")
+        return Model(model_id, chosen, np.arange(at), penalties, np.array([v or 0.0 for v in start]), tune)
+
+    def fit(self, models: Mapping[str, Sequence[Term]], refine: bool = True) -> list[Model]:
+        fits = [self.model(name, wanted) for name, wanted in models.items()]
+        _fit_all(self.table, self.blocks, fits, 1.0 if refine else 0.05)
+        if refine:
+            free = {m.model_id for m in fits if m.penalties and m.result and blocks_free(m, self.blocks, self.fixed)}
+            fits = [_refine(self.table, self.blocks, m) if m.model_id in free else m for m in fits]
+        return fits
+
+    def collect(self, models: list[Model]) -> PoissonFits:
+        return _collect(self.df, self.y, self.blocks, models)
+
+
 def fit_poisson(
     df: DataFrame, y: str, models: Mapping[str, Sequence[Term]], refine: bool = True,
     smoothing: Mapping[Smooth, float] | None = None,
@@ -748,34 +954,8 @@ def fit_poisson(
     fixes the multiplier of a smooth's penalty, the integral of the squared
     second derivative; a model whose smooths are all fixed is not tuned.
     """
-    fixed = smoothing or {}
-    terms = list(dict.fromkeys(t for m in models.values() for t in m))
-    merged, _ = _merge(df, y, terms)
-    table, texts = _numbered(durable(merged), _text_factors(df, terms))
-    blocks = _blocks(table, terms, texts)
-    index = {t: i for i, t in enumerate(terms)}
-    fits = []
-    for model_id, wanted in models.items():
-        chosen = [index[t] for t in wanted]
-        penalties, start, at = [], [], 1
-        for b in chosen:
-            width = len(blocks[b].names)
-            if blocks[b].penalty is not None:
-                s = blocks[b].penalty
-                penalties.append((np.arange(at, at + width), s / np.abs(s).max()))
-                given = fixed.get(blocks[b].term)
-                start.append(None if given is None else math.log(given * np.abs(s).max()))
-            at += width
-        fits.append(
-            Model(model_id, chosen, np.arange(at), penalties, np.array([v or 0.0 for v in start]), any(v is None for v in start))
-        )
-        if fits[-1].tune and any(v is not None for v in start):
-            raise ValueError(f"model {model_id}: fix the smoothing of all its smooths or of none")
-    _fit_all(table, blocks, fits)
-    if refine:
-        free = {m.model_id for m in fits if m.penalties and m.result and blocks_free(m, blocks, fixed)}
-        fits = [_refine(table, blocks, m) if m.model_id in free else m for m in fits]
-    return _collect(df, y, blocks, fits)
+    bench = Bench(df, y, [t for m in models.values() for t in m], smoothing)
+    return bench.collect(bench.fit(models, refine))
 
 
 def poisson_glm(
@@ -810,9 +990,94 @@ def one_by_one(df: DataFrame, y: str, candidates: Sequence[Term], fixed: Sequenc
     return fit_poisson(df, y, {term_label(c): [c, *fixed] for c in candidates})
 
 
+def _subset_name(fixed: Sequence[Term], chosen: Sequence[Term]) -> str:
+    return " + ".join(term_label(t) for t in [*fixed, *chosen]) or "1"
+
+
+def _all_subsets(terms: Sequence[Term], fixed: Sequence[Term]) -> dict[str, list[Term]]:
+    return {
+        _subset_name(fixed, chosen): [*fixed, *chosen]
+        for size in range(len(terms) + 1)
+        for chosen in itertools.combinations(terms, size)
+    }
+
+
+def _leading_subsets(bench: Bench, terms: Sequence[Term], fixed: Sequence[Term], ignore: float) -> list[Model]:
+    """The subsets that hold all Akaike weight but at most ``ignore`` of it, by branch and bound.
+
+    A branch is the subsets with some terms in and others still open.  None of
+    them has a lower deviance than the model of all these terms, D, nor fewer
+    coefficients than its settled terms, q; with open terms of c_1, c_2 ...
+    coefficients their weights sum to exp(-D/2 - q) (1 + exp(-c_1)) (1 +
+    exp(-c_2)) ... at most.  Only coefficients that are no combination of
+    earlier ones in the model of all terms count in q and c: they are
+    independent in every subset.  Branches of the greatest bounds are split
+    first, many in the same passes.
+    """
+    if any(isinstance(t, Smooth) for t in [*terms, *fixed]):
+        raise ValueError("a smooth has no bound of its deviance; fit all subsets of such terms (ignore=0)")
+    everything = tuple(range(len(terms)))
+    fitted: dict[tuple[int, ...], Model] = {}
+
+    def fit(wanted: Sequence[tuple[int, ...]]) -> None:
+        missing = [w for w in dict.fromkeys(wanted) if w not in fitted]
+        models = bench.fit({_subset_name(fixed, [terms[i] for i in w]): [*fixed, *[terms[i] for i in w]] for w in missing})
+        fitted.update(zip(missing, models, strict=True))
+
+    fit([everything, ()])
+    if not fitted[everything].result or not fitted[()].result:
+        return list(fitted.values())
+    full = fitted[everything]
+    ends = np.cumsum([1, *[len(bench.blocks[b].names) for b in full.blocks]])[len(fixed):]
+    adds = [int(full.kept[ends[i] : ends[i + 1]].sum()) for i in everything]
+    least = int(fitted[()].kept.sum())
+    level = full.result["deviance"] / 2
+
+    def bound(inside: tuple[int, ...], open_: tuple[int, ...]) -> float:
+        top = fitted[tuple(sorted(inside + open_))]
+        size = least + sum(adds[i] for i in inside)
+        return math.exp(level - top.result["deviance"] / 2 - size) * math.prod(1 + math.exp(-adds[i]) for i in open_)
+
+    def weight(model: Model) -> float:
+        return math.exp(level - model.result["deviance"] / 2 - float(model.result["edf"].sum()))
+
+    # a branch's own top model is fitted; what is still unknown are its other subsets
+    branches = [((), everything, bound((), everything))]
+    while branches:
+        known = sum(weight(m) for m in fitted.values())
+        branches.sort(key=lambda b: b[2])
+        spare, kept = ignore * known, 0
+        while kept < len(branches) and branches[kept][2] <= spare:
+            spare -= branches[kept][2]
+            kept += 1
+        if kept == len(branches):
+            break
+        split = branches[kept:][-MODELS_PER_PASS:]
+        branches = branches[: len(branches) - len(split)]
+        children = []
+        for inside, open_, _ in split:
+            term, rest = open_[0], open_[1:]
+            children += [((*inside, term), rest), (inside, rest)]
+        fit([tuple(sorted(inside + rest)) for inside, rest in children])
+        branches += [(inside, rest, bound(inside, rest)) for inside, rest in children if rest]
+    return list(fitted.values())
+
+
+def _decided(models: list[Model], confidence: float, ignore: float) -> bool:
+    """Whether subsets left out, with at most ``ignore`` of the weight, cannot change the confidence set."""
+    aic = np.sort([m.result["aic"] for m in models if m.result])
+    if ignore == 0 or len(aic) == 0:
+        return True
+    share = np.exp(-(aic - aic[0]) / 2)
+    share /= share.sum()
+    running = np.cumsum(share)
+    inside = running - share < confidence
+    return bool(np.abs(running - confidence).min() > 2 * ignore and share[inside].min() > 2 * ignore)
+
+
 def model_selection(
     df: DataFrame, y: str, terms: Sequence[Term], fixed: Sequence[Term] = (), confidence: float = 0.95,
-    refine: bool = True,
+    refine: bool = True, ignore: float = 0.0,
 ) -> tuple[DataFrame, DataFrame, PoissonFits]:
     """All subsets of terms ranked by AIC, and coefficients averaged over the best.
 
@@ -824,15 +1089,23 @@ def model_selection(
     average a term absent from a model counts as 0 there; its variance is the
     weighted mean of each model's variance plus squared distance from the
     average.
+
+    With many terms, set ``ignore`` to a share of the Akaike weight that may be
+    left out: subsets that are proven to hold at most that much together are
+    then not fitted, and are absent from the ranking.  Weights are too large by
+    that share at most.  The set is still that of all subsets: where a running
+    weight comes near ``confidence``, or a model of the set weighs no more than
+    the share, the share is divided by a thousand and the search goes on.
     """
     sources = list(dict.fromkeys(s for t in [*terms, *fixed] for s in _sources(t)))
     whole = df.na.drop("any", subset=[*sources, y])
-    subsets = {}
-    for size in range(len(terms) + 1):
-        for chosen in itertools.combinations(terms, size):
-            name = " + ".join(term_label(t) for t in [*fixed, *chosen]) or "1"
-            subsets[name] = [*fixed, *chosen]
-    fits = fit_poisson(whole, y, subsets, refine)
+    bench = Bench(whole, y, [*fixed, *terms])
+    if ignore > 0:
+        while not _decided(models := _leading_subsets(bench, terms, fixed, ignore), confidence, ignore):
+            ignore = ignore / 1000 if ignore > 1e-12 else 0.0
+    else:
+        models = bench.fit(_all_subsets(terms, fixed), refine)
+    fits = bench.collect(models)
     order = sorted(fits.fitted.values(), key=lambda m: (m.result["aic"], m.model_id))
     best = order[0].result["aic"]
     raw = [math.exp(-(m.result["aic"] - best) / 2) for m in order]

@@ -329,9 +329,11 @@ def month_splines(knots: int = 10) -> tuple[np.ndarray, np.ndarray]:
     return np.array(values), (turn + turn.T - 2 * np.eye(n)) / h @ bend
 
 
-def penalised(smoothing: float, linear: tuple[str, ...], steps: int = 12) -> str:
-    """Penalised Poisson fit of linear terms and a cyclic smooth of the month; the smooth has the intercept in it."""
-    values, penalty = month_splines()
+def penalised(
+    smoothing: float, linear: tuple[str, ...], steps: int = 12, splines: tuple[np.ndarray, np.ndarray] | None = None
+) -> str:
+    """Penalised Poisson fit of linear terms and a smooth of the month, cyclic unless given; the smooth has the intercept in it."""
+    values, penalty = splines or month_splines()
     n, m = len(linear), values.shape[1]
     size = n + m
     x = [f"x{i}" for i in range(size)]
@@ -833,6 +835,7 @@ SELECT CAST(n AS DOUBLE) AS n, {r('dev', 4)} AS deviance, {r('nul', 4)} AS null_
     q["model_selection"] = f"""WITH RECURSIVE {SERIES}, {all_subsets(every)}
 SELECT CAST(rank AS INTEGER) AS rank, name AS model_id, {r('CAST(edf AS DOUBLE)')} AS edf, {r('deviance')} AS deviance, {r('aic')} AS aic,
   {r('delta')} AS delta, {r('weight')} AS weight, {r('cumulative')} AS cumulative, in_set FROM ranked"""
+    q["best_subsets"] = f"{q['model_selection']} WHERE in_set"
     del every["shannon"]
     q["averaged_model"] = f"""WITH RECURSIVE {SERIES}, {all_subsets(every)},
 used AS (SELECT name, weight / sum(weight) OVER () AS w FROM ranked WHERE in_set),
@@ -886,12 +889,14 @@ SELECT term, {r('b', 4)} AS estimate, {r('sqrt(v)', 4)} AS std_error FROM terms"
     q["fixed_gam_terms"] = f"""{gam}
 SELECT term, {r('b', 5)} AS estimate, {r('e', 5)} AS std_error, {r('b / e', 3)} AS z, {r(normal_p('(b / e)'), 5)} AS p, {r('edf', 5)} AS edf FROM terms
 UNION ALL SELECT 's(month)', NULL, NULL, NULL, NULL, {r('edf - 3', 5)} FROM inv"""
-    q["fixed_gam_summary"] = f"""{gam},
-v AS (SELECT count(*) AS n, sum({DEVIANCE}) AS dev, sum(richness * ln(fit) - fit - lgamma(richness + 1)) AS ll FROM mu),
+    summary = f"""v AS (SELECT count(*) AS n, sum({DEVIANCE}) AS dev, sum(richness * ln(fit) - fit - lgamma(richness + 1)) AS ll FROM mu),
 z AS (SELECT sum({DEVIANCE}) AS nul FROM (SELECT richness, avg(richness) OVER () AS fit FROM mu))
 SELECT CAST(n AS DOUBLE) AS n, {r('edf', 5)} AS edf, {r('dev', 5)} AS deviance, {r('nul', 5)} AS null_deviance,
   {r('1 - dev / nul', 5)} AS deviance_explained, {r('ll', 5)} AS loglik, {r('2 * edf - 2 * ll', 5)} AS aic,
   {r('(dev + 2 * edf) / n - 1', 5)} AS ubre, true AS converged, false AS at_bound FROM v, z, inv"""
+    q["fixed_gam_summary"] = f"{gam},\n{summary}"
+    # with a centre at each month the thin plate is the natural cubic spline
+    q["default_smooth_summary"] = f"WITH RECURSIVE {SERIES}, {penalised(SMOOTHING, ('price',), splines=natural_splines(12))},\n{summary}"
     q["fixed_gam_residuals"] = (
         f"{gam} SELECT date, CAST(richness AS BIGINT) AS richness, {r('fit', 4)} AS fit, {r(signed, 4)} AS residual FROM mu"
     )

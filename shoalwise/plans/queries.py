@@ -538,6 +538,15 @@ def model_selection(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ranking)
 
 
+@query
+def best_subsets(spark: SparkSession, folder: str) -> DataFrame:
+    """The confidence set alone, by branch and bound over the subsets."""
+    ranking, _, _ = op.model_selection(
+        monthly_series(spark, folder), "richness", ["price", "year", "shannon", op.Harmonic("month")], ignore=1e-9
+    )
+    return rounded(ranking.where("in_set"))
+
+
 @query
 def averaged_model(spark: SparkSession, folder: str) -> DataFrame:
     _, averaged, _ = op.model_selection(
@@ -599,6 +608,21 @@ def fixed_gam_residuals(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_fixed_gam(series).residuals(series).select("date", "richness", "fit", "residual"), 4)
 
 
+@query
+def default_smooth_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Thin-plate smooth of the month next to the price at a given smoothing."""
+    by_month = op.Smooth("month", k=12)
+    fits = op.poisson_gam(monthly_series(spark, folder), "richness", ["price"], [by_month], smoothing={by_month: SMOOTHING})
+    return rounded(fits.models.drop("model_id", "iterations"), 5)
+
+
+@query
+def gam_smoothing(spark: SparkSession, folder: str) -> DataFrame:
+    """Smoothing chosen for default smooths, and how flat UBRE is there."""
+    fits = op.poisson_gam(monthly_series(spark, folder), "richness", [], [op.Smooth("price"), op.Smooth("month", "cc", 10)])
+    return fits.smoothing.select("term", F.round(F.log10("smoothing"), 3).alias("log10_smoothing"), (F.abs("gradient") < 1e-6).alias("flat"), "at_bound")
+
+
 @query
 def two_factor_ols(spark: SparkSession, folder: str) -> DataFrame:
     """Monthly price and richness with factors of the year and of the month side by side."""

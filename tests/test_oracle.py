@@ -16,7 +16,7 @@ from shoalwise.plans.queries import QUERIES  # noqa: E402
 from tools.compare import differences, sql_frame  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-ROWS_ONLY = {"poisson_gam", "gam_summary", "gam_residuals", "gam_smooth_tests", "smooth_bands", "station_month_ols"}
+ROWS_ONLY = {"poisson_gam", "gam_summary", "gam_residuals", "gam_smoothing", "gam_smooth_tests", "smooth_bands", "station_month_ols"}
 
 
 def test_every_query_has_sql_or_is_listed():
