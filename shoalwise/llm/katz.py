@@ -1,12 +1,13 @@
 """A Katz back-off language model over all documents, and its scores.
 
-The model is of second order: a token after its predecessor, backing off to
-the token alone, and from there to the unknown word.  Counts are Good-Turing
-discounted; what a context's seen successors leave is spread over the others in
-proportion to their own probability, with exactly normalised weights.
+A token is scored after its ``order`` - 1 predecessors, backing off level by
+level to fewer of them, to the token alone, and from there to the unknown word.
+Counts are Good-Turing discounted; what a context's seen successors leave is
+spread over the others in proportion to their probability a level below, with
+exactly normalised weights.
 
 Tokens stay packed: one row holds the tokens of some thousand documents as
-numpy arrays.  A pack asks for the counts of its distinct words and word pairs;
+numpy arrays.  A pack asks for the counts of its distinct words and word runs;
 Spark deals these requests by hash into buckets, each bucket adds up what all
 packs have of its keys, and the totals go back to the packs that asked.  Rows
 per key only appear for the contexts' sums, which are a table of their own.
@@ -60,7 +61,7 @@ def _unzip_sorted(blob: bytes) -> np.ndarray:
 
 
 def pair_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """64-bit keys of word pairs from the words' 64-bit hashes."""
+    """64-bit keys of runs of words from the keys of the run before the last word and that word's hash."""
     mixed = (before * np.uint64(0x9E3779B97F4A7C15) + after) * np.uint64(0xC2B2AE3D27D4EB4F)
     return mixed ^ (mixed >> np.uint64(29))
 
@@ -120,10 +121,26 @@ def tokenise(docs: DataFrame, key: str, text: str, modulus: int, held_out: int,
     return rows.mapInPandas(pack, PACK)
 
 
+def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has some of the sorted keys, with their places in order."""
+    bucket = keys % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    for b, mine in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
+        yield b, mine
+
+
+class Level:
+    """The distinct runs of one length in a pack: keys in order, a place of each, the run that ends at each token."""
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray, of: np.ndarray, context: np.ndarray | None):
+        self.keys, self.at, self.of, self.context = keys, at, of, context
+
+
 class Pack:
-    """The arrays of one pack, with the distinct words and word pairs in order of their keys."""
+    """The arrays of one pack, with the distinct runs of 1 to ``order`` words."""
 
-    def __init__(self, row):
+    def __init__(self, row, order: int):
         import xxhash
 
         self.number = int(row.pack)
@@ -134,38 +151,39 @@ class Pack:
         self.held = np.frombuffer(row.held, np.uint8).astype(bool)
         begin = xxhash.xxh64_intdigest(BEGIN, SEED)
         hashes = _unzip(row.words, "<u8")
-        order = np.argsort(hashes)
+        ranks = np.argsort(hashes)
         place = np.empty(len(hashes), dtype=np.int64)
-        place[order] = np.arange(len(hashes))
-        self.words = hashes[order]
-        self.tokens = place[_unzip(row.tokens, "<i4")]
-        ends = np.cumsum(self.lengths)
+        place[ranks] = np.arange(len(hashes))
+        words = hashes[ranks]
+        tokens = place[_unzip(row.tokens, "<i4")]
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.doc = np.repeat(np.arange(n), self.lengths)
-        after = self.words[self.tokens]
-        before = np.empty_like(after)
-        before[1:] = after[:-1]
-        before[ends - self.lengths] = begin
-        self.before = before
         self.trains = ~self.held[self.doc]
-        self.pairs, self.at, self.pair = np.unique(pair_key(before, after), return_index=True, return_inverse=True)
+        after = words[tokens]
+        self.levels = [Level(words, np.unique(tokens, return_index=True)[1], tokens, None)]
+        run = after
+        for _ in range(1, order):
+            # a run's context is the run, one word shorter, that ends before its last word
+            before = np.empty_like(run)
+            before[1:] = run[:-1]
+            before[self.starts] = begin
+            run = pair_key(before, after)
+            self.levels.append(Level(*np.unique(run, return_index=True, return_inverse=True), before))
 
     def requests(self, buckets: int) -> Iterator[dict]:
         """Keys with their counts in training documents, by level and bucket."""
-        for level, keys, of in ((1, self.words, self.tokens), (2, self.pairs, self.pair)):
-            counts = np.bincount(of[self.trains], minlength=len(keys)).astype("<i8")
-            bucket = keys % np.uint64(buckets)
-            for b in range(buckets):
-                mine = bucket == b
-                if mine.any():
-                    yield {"level": level, "bucket": b, "pack": self.number, "keys": _zip_sorted(keys[mine]), "counts": _zip(counts[mine])}
-
-    def filled(self, level: int, answers: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        for number, level in enumerate(self.levels, 1):
+            counts = np.bincount(level.of[self.trains], minlength=len(level.keys)).astype("<i8")
+            for b, mine in _dealt(level.keys, buckets):
+                yield {"level": number, "bucket": b, "pack": self.number, "keys": _zip_sorted(level.keys[mine]), "counts": _zip(counts[mine])}
+
+    def filled(self, number: int, answers: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Total counts of the keys of a level, and whether this pack owns a key."""
-        keys = self.words if level == 1 else self.pairs
+        keys = self.levels[number - 1].keys
         totals, owned = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-        bucket = keys % np.uint64(buckets)
-        for row in answers[answers["level"] == level].itertuples():
-            mine = bucket == row.bucket
+        places = dict(_dealt(keys, buckets))
+        for row in answers[answers["level"] == number].itertuples():
+            mine = places[row.bucket]
             signed = _unzip(row.totals, "<i8")
             totals[mine], owned[mine] = np.abs(signed), signed < 0
         return totals, owned
@@ -225,7 +243,7 @@ def discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 PART = (
-    "kind int, context long, doc_row int, pack long, seen double, lower double, times long, doc_id long, held_out boolean, "
+    "kind int, level int, context long, doc_row int, pack long, seen double, lower double, times long, doc_id long, held_out boolean, "
     "n_tokens long, n_known long, base_score double"
 )
 
@@ -238,13 +256,14 @@ def score_documents(
     held_out: int = 1,
     pack_tokens: int = PACK_TOKENS,
     bucket_keys: int = BUCKET_KEYS,
+    order: int = 2,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Learns from rows whose crc32 of the id modulo ``modulus`` is not
     ``held_out``.  ``score`` is the log10 probability of the text's tokens and
-    its end under the Katz model; ``base_score`` that of single tokens with half
-    a count added.  Words are known by 64-bit hashes (two of n words meet by
+    its end under the Katz model of runs of up to ``order`` words (1: words
+    alone); ``base_score`` that of single tokens with half a count added.  Words are known by 64-bit hashes (two of n words meet by
     chance n^2 / 4e19 of the time).
 
     NULL and empty texts are their end alone; NULL ids count as the text '';
@@ -252,6 +271,8 @@ def score_documents(
     rows every token is unknown and has probability 1.  Counts are made over
     all rows; other columns are ignored.
     """
+    if order < 1:
+        raise ValueError("the order is at least 1")
     packs = staged(tokenise(docs, key, text, modulus, held_out, pack_tokens), "packs")
     tokens = packs.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = int(tokens // bucket_keys) + 1
@@ -259,7 +280,7 @@ def score_documents(
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                yield pd.DataFrame(list(Pack(row).requests(buckets)), columns=["level", "bucket", "pack", "keys", "counts"])
+                yield pd.DataFrame(list(Pack(row, order).requests(buckets)), columns=["level", "bucket", "pack", "keys", "counts"])
 
     # one pack at a time: a pack is some megabytes
     asked = packs.mapInPandas(ask, REQUEST)
@@ -268,7 +289,8 @@ def score_documents(
     sums = answers.groupBy("level").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(width)]).collect()
     stats = {r["level"]: [int(r[f"s{i}"]) for i in range(width)] for r in sums}
     n, v, *times = stats.get(1, [0] * width)
-    single, double = discounts(times), discounts(stats.get(2, [0] * width)[2:])
+    factors = [discounts(stats.get(level, [0] * width)[2:]) for level in range(1, order + 1)]
+    single = factors[0]
 
     # what discounting takes off all words is the unknown word's
     off = sum(times[r - 1] * (r - r * single[r]) for r in range(1, LARGEST + 1)) + LEFT * (v - sum(times[:LARGEST]))
@@ -277,19 +299,18 @@ def score_documents(
     def evaluate(mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(mine):
             return pd.DataFrame(columns=[c.split()[0] for c in PART.split(", ")])
-        pack = Pack(next(mine.itertuples()))
-        words, owns_word = pack.filled(1, got, buckets)
-        pairs, owns = pack.filled(2, got, buckets)
-        return _evaluated(pack, words, pairs, owns, n, v, unknown, single, double)
+        pack = Pack(next(mine.itertuples()), order)
+        filled = [pack.filled(level, got, buckets) for level in range(1, order + 1)]
+        return _evaluated(pack, filled, n, v, unknown, factors)
 
     parts = staged(packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(evaluate, PART), "parts")
-    mass = parts.where("kind = 1").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower"))
+    mass = parts.where("kind = 1").groupBy("level", "context").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower"))
     # what a context leaves, over what the words it has not seen have by themselves
     weight = F.log10(F.greatest(1 - F.col("seen"), F.lit(1e-15)) / F.greatest(1 - F.col("lower"), F.lit(1e-15)))
-    weights = mass.select(F.col("context").alias("c"), weight.alias("weight"))
+    weights = mass.select(F.col("level").alias("l"), F.col("context").alias("c"), weight.alias("weight"))
     backed = (
         parts.where("kind = 2")
-        .join(weights, F.col("context") == F.col("c"), "left")
+        .join(weights, (F.col("level") == F.col("l")) & (F.col("context") == F.col("c")), "left")
         .groupBy(F.col("pack").alias("p"), F.col("doc_row").alias("d"))
         .agg(F.sum(F.col("times") * F.coalesce("weight", F.lit(0.0))).alias("backed"))
     )
@@ -305,27 +326,55 @@ def score_documents(
     )
 
 
-def _evaluated(pack: Pack, words, pairs, owns, n, v, unknown, single, double) -> pd.DataFrame:
+def _evaluated(pack: Pack, filled: list[tuple[np.ndarray, np.ndarray]], n: int, v: int, unknown: float, factors: list[np.ndarray]) -> pd.DataFrame:
     """Scores of a pack's documents but for back-off weights; its contexts' sums; which weights its documents need."""
     import xxhash
 
     n_docs = len(pack.lengths)
-    lower = np.where(words > 0, discounted(words, single) / max(n, 1), unknown)
-    # a context's count is its word's count; the beginning occurs as often as the end
-    end = np.uint64(xxhash.xxh64_intdigest(END, SEED))
-    begin = np.uint64(xxhash.xxh64_intdigest(BEGIN, SEED))
-    end_at = np.searchsorted(pack.words, end)
-    place = np.minimum(np.searchsorted(pack.words, pack.before), len(pack.words) - 1)
-    context = np.where(pack.before == begin, words[end_at], words[place])
-    counts = pairs[pack.pair]
-    seen = counts > 0
-    token_lower = lower[pack.tokens]
-    value = np.where(seen, discounted(counts, double) / np.maximum(context, 1), token_lower)
     by_doc = lambda x: np.bincount(pack.doc, x, n_docs)
-    known = words[pack.tokens]
+    words = filled[0][0]
+    known = words[pack.levels[0].of]
+    # the beginning occurs as often as the end
+    begins = words[np.searchsorted(pack.levels[0].keys, np.uint64(xxhash.xxh64_intdigest(END, SEED)))]
+    value = np.where(known > 0, discounted(known, factors[0]) / max(n, 1), unknown)
+    frames, counts = [], known
+    for number, (level, (totals, owns)) in enumerate(zip(pack.levels[1:], filled[1:], strict=True), 2):
+        # a context's count is that of the run it is
+        context = np.empty_like(counts)
+        context[1:] = counts[:-1]
+        context[pack.starts] = begins
+        counts = totals[level.of]
+        seen, lower = counts > 0, value
+        value = np.where(seen, discounted(counts, factors[number - 1]) / np.maximum(context, 1), lower)
+        mine = level.at[owns]
+        contexts, of = np.unique(level.context[mine], return_inverse=True)
+        frames.append(pd.DataFrame(
+            {
+                "kind": 1,
+                "level": number,
+                "context": contexts.view(np.int64),
+                "seen": np.bincount(of, value[mine], len(contexts)),
+                "lower": np.bincount(of, lower[mine], len(contexts)),
+            }
+        ))
+        needs = np.flatnonzero(~seen & (context > 0))
+        order = needs[np.lexsort((level.context[needs], pack.doc[needs]))]
+        doc, at = pack.doc[order], level.context[order]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])) if len(order) else order
+        frames.append(pd.DataFrame(
+            {
+                "kind": 2,
+                "level": number,
+                "context": at[first].view(np.int64),
+                "doc_row": doc[first],
+                "pack": pack.number,
+                "times": np.diff(np.append(first, len(order))),
+            }
+        ))
     docs = pd.DataFrame(
         {
             "kind": 0,
+            "level": 0,
             "context": 0,
             "doc_row": np.arange(n_docs),
             "pack": pack.number,
@@ -340,29 +389,5 @@ def _evaluated(pack: Pack, words, pairs, owns, n, v, unknown, single, double) ->
         }
     )
     docs.loc[~pack.known, "doc_id"] = pd.NA
-    mine = pack.at[owns]
-    contexts, of = np.unique(pack.before[mine], return_inverse=True)
-    sums = pd.DataFrame(
-        {
-            "kind": 1,
-            "context": contexts.view(np.int64),
-            "seen": np.bincount(of, value[mine], len(contexts)),
-            "lower": np.bincount(of, token_lower[mine], len(contexts)),
-        }
-    )
-    needs = np.flatnonzero(~seen & (context > 0))
-    order = needs[np.lexsort((pack.before[needs], pack.doc[needs]))]
-    first = np.flatnonzero(
-        np.concatenate([[True], (pack.doc[order][1:] != pack.doc[order][:-1]) | (pack.before[order][1:] != pack.before[order][:-1])])
-    ) if len(order) else order
-    wants = pd.DataFrame(
-        {
-            "kind": 2,
-            "context": pack.before[order[first]].view(np.int64),
-            "doc_row": pack.doc[order[first]],
-            "pack": pack.number,
-            "times": np.diff(np.append(first, len(order))),
-        }
-    )
-    out = pd.concat([docs, sums, wants], ignore_index=True)
+    out = pd.concat([docs, *frames], ignore_index=True)
     return out.astype({c: "Int64" for c in ("doc_row", "pack", "times", "doc_id", "n_tokens", "n_known")} | {"held_out": "boolean"})

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -68,6 +69,65 @@ def test_katz_matches_brute_force(spark, awkward, pack_tokens, bucket_keys):
         assert abs(sum(p(a, b) for b in alone) + weight[a] * unknown - 1) < 1e-9
 
 
+def plain_katz_of_order(rows, held, order):
+    """(id, score) by runs in dictionaries and one recursion a token."""
+    runs = [Counter() for _ in range(order + 1)]
+    follow = [defaultdict(set) for _ in range(order + 1)]
+    visits = [Counter() for _ in range(order + 1)]
+    past = lambda w, t, k: tuple([katz.BEGIN, *w][max(t + 2 - k, 0) : t + 1])
+    for (_, text), out in zip(rows, held, strict=True):
+        w = [] if out else tokens(text)
+        for t, word in enumerate(w):
+            runs[1][(word,)] += 1
+            for k in range(2, order + 1):
+                runs[k][*past(w, t, k), word] += 1
+                follow[k][past(w, t, k)].add(word)
+                visits[k][past(w, t, k)] += 1
+    factors = [None, *[katz.discounts([Counter(c.values())[r] for r in range(1, katz.LARGEST + 2)]) for c in runs[1:]]]
+    off = lambda k, c: c * factors[k][c] if c <= katz.LARGEST else c - katz.LEFT
+    n = sum(runs[1].values())
+    unknown = 1 - sum(off(1, c) for c in runs[1].values()) / n
+
+    def level(k, context, word):
+        """Probability by runs of ``k`` words; the beginning is one word, whatever the level."""
+        if k == 1:
+            return off(1, runs[1][word,]) / n if runs[1][word,] else unknown
+        shorter = context[1:] if len(context) == k - 1 else context
+        if runs[k][*context, word]:
+            return off(k, runs[k][*context, word]) / visits[k][context]
+        if not visits[k][context]:
+            return level(k - 1, shorter, word)
+        left = 1 - sum(off(k, runs[k][*context, o]) / visits[k][context] for o in follow[k][context])
+        free = 1 - sum(level(k - 1, shorter, o) for o in follow[k][context])
+        return left / free * level(k - 1, shorter, word)
+
+    out = []
+    for i, text in rows:
+        w = tokens(text)
+        out.append((str(i), sum(math.log10(level(order, past(w, t, order), word)) for t, word in enumerate(w))))
+    return out, level, runs, unknown
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_of_any_order_against_recursion(spark, order):
+    rng = random.Random(order)
+    rows = [(i, " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randrange(0, 40)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "a b c d " * 50), (103, "a b c d " * 50), (104, "zz a b zz c")]
+    held = [crc(i, 5) == 1 for i, _ in rows]
+    want, level, runs, unknown = plain_katz_of_order(rows, held, order)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = katz.score_documents(docs, pack_tokens=200, bucket_keys=100, order=order).collect()
+    found = {str(r.doc_id): r.score for r in got}
+    assert len(found) == len(want)
+    for i, score in want:
+        assert found[i] == pytest.approx(score, abs=1e-6)
+    if order > 1:  # the probabilities of a context sum to 1
+        context = ("a", "b", "c")[-order + 1 :]
+        context = tuple(c.encode() for c in context)
+        whole = sum(level(order, context, w) for (w,) in runs[1]) + level(order, context, b"never seen")
+        assert whole == pytest.approx(1, abs=1e-9)
+
+
 def test_katz_without_training_or_documents(spark, empty):
     assert katz.score_documents(empty).count() == 0
     only = next(i for i in range(100) if crc(i, 5) == 1)
