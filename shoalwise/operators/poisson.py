@@ -700,7 +700,7 @@ def _refine(table: DataFrame, blocks: list[Block], model: Model) -> Model:
             start = model.beta.copy()
             start[model.kept] += (moved - at) @ slopes
             trials.append(replace(model, log_lambda=moved, beta=start, tune=False, deviance=math.inf, done=False,
-                                  before=None, halvings=0, result={}))
+                                  before=None, halvings=0, gradient=None, result={}))
         _fit_all(table, blocks, trials)
         scores = [t.result.get("ubre", math.inf) for t in trials]
         if not min(scores) <= model.result["ubre"] + UBRE_NOISE:
