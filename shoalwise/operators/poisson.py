@@ -1036,7 +1036,9 @@ def _leading_subsets(bench: Bench, terms: Sequence[Term], fixed: Sequence[Term],
     def bound(inside: tuple[int, ...], open_: tuple[int, ...]) -> float:
         top = fitted[tuple(sorted(inside + open_))]
         size = least + sum(adds[i] for i in inside)
-        return math.exp(level - top.result["deviance"] / 2 - size) * math.prod(1 + math.exp(-adds[i]) for i in open_)
+        # a settled deviance is above the least one by less than its last change
+        slack = DEVIANCE_TOLERANCE * (top.result["deviance"] + 0.1)
+        return math.exp(level - top.result["deviance"] / 2 + slack - size) * math.prod(1 + math.exp(-adds[i]) for i in open_)
 
     def weight(model: Model) -> float:
         return math.exp(level - model.result["deviance"] / 2 - float(model.result["edf"].sum()))
