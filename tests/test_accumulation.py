@@ -111,3 +111,33 @@ def test_slope_and_quadratic(spark):
     ).withColumn("log_k", F.ln("k"))
     slopes = op.trend(curve, "year", "richness", "log_k")
     assert slopes.where("se > 0").count() == 8
+
+
+@pytest.mark.parametrize("chunk, part, read", [(4, 7, 64), (8, 1000, 1), (4096, 1 << 22, 1 << 25)])
+def test_taxa_and_ranks_in_pieces(large, monkeypatch, chunk, part, read):
+    """Small rows of ranks, tasks that count a few taxa at a time, and one permutation in memory."""
+    pieces = importlib.import_module("shoalwise.operators.accumulation")
+    for name, size in (("CHUNK", chunk), ("SLICE", part), ("READ", read)):
+        monkeypatch.setattr(pieces, name, size)
+    df = large.withColumn("year", F.when(F.col("year") == 2001, F.lit(None)).otherwise(F.col("year")))
+    curve = op.accumulation(df, "year", "tow", permutations=9, seed=4)
+    for year, old in ((None, 2001), (2000, 2000)):
+        got = [r["richness"] for r in curve.where(F.col("year").eqNullSafe(F.lit(year))).orderBy("k").collect()]
+        assert got == pytest.approx(by_hand(sets_of(large, old), 9, 4))
+
+
+def test_no_ranks_move_with_the_observations(large, monkeypatch):
+    """A row of the step that finds first ranks has a key, a place and a mark, whatever the permutations."""
+    pieces = importlib.import_module("shoalwise.operators.accumulation")
+    seen = {}
+    inner = pieces._first_ranks
+    monkeypatch.setattr(pieces, "_first_ranks", lambda cells, *a: seen.setdefault("cells", cells) and inner(cells, *a))
+    op.accumulation(large, "year", "tow", permutations=50)
+    assert dict(seen["cells"].dtypes) == {"__key": "bigint", "__place": "int", "__first": "boolean"}
+
+
+def test_samples_of_one_name_and_no_catch(spark):
+    empty = op.accumulation(spark.createDataFrame([], SCHEMA), "year", "tow", permutations=3)
+    assert empty.collect() == []
+    none = op.accumulation(spark.createDataFrame([(1, "a", "x", 0.0), (1, "b", "x", 0.0)], SCHEMA), "year", "tow", permutations=3)
+    assert [(r["k"], r["richness"]) for r in none.orderBy("k").collect()] == [(1, 0.0), (2, 0.0)]
