@@ -164,3 +164,18 @@ def test_best_subsets_with_copies_of_a_term(rows):
 def test_smooths_have_no_bound(rows):
     with pytest.raises(ValueError):
         op.model_selection(rows, "y", ["v0", op.Smooth("x")], ignore=1e-6)
+
+
+def test_large_counts_that_fit_closely_settle(spark):
+    """Sums of y ln y of 10^9 against a deviance near 0: their difference is mere rounding."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"x": rng.normal(size=84), "z": rng.normal(size=84), "u": rng.normal(size=84)})
+    pdf["y"] = np.round(np.exp(17 + 0.1 * pdf["x"] + 0.02 * pdf["z"]))
+    df = spark.createDataFrame(pdf)
+    found, _, fits = op.model_selection(df, "y", ["x", "z", "u"], ignore=1e-9)
+    eta = {r["x"]: math.log(r["fit"]) for r in fits.residuals(df, "x + z").collect()}
+    assert sorted(r["model_id"] for r in found.where("in_set").collect()) == ["x + z", "x + z + u"]
+    assert max(abs(eta[x] - 17 - 0.1 * x - 0.02 * z) for x, z in zip(pdf["x"], pdf["z"])) < 1e-7
+    best = fits.fitted["x + z"].result
+    want = sum(2 * y * (math.expm1(d := eta[x] - math.log(y)) - d) for x, y in zip(pdf["x"], pdf["y"]))
+    assert best["deviance"] == pytest.approx(want, abs=1e-7)
