@@ -263,3 +263,24 @@ def test_source_targets_with_many_sources(spark):
     got = {r.source: r.target for r in mixing.source_targets(frame.withColumn("x", F.lit(1)).drop("x")).collect()}
     want = plain_targets(sizes)
     assert all(abs(got[s] - want[s]) < 1e-6 for s in sizes)
+
+
+def test_a_shard_holds_its_postings_in_little_memory():
+    """A posting takes 4 bytes for its document, 8 each for its part and impact, and its share of a block's 20."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    np, docs, words = topk.np, 4000, 100
+    postings = np.tile(np.arange(docs, dtype="<i4"), words)
+    row = SimpleNamespace(
+        ids=list(range(docs)), lengths=np.full(docs, words), vocabulary=b" ".join(b"w%d" % i for i in range(words)),
+        postings=topk._pack(postings), counts=topk._pack(np.ones(len(postings), "<i4")),
+        starts=topk._pack(np.arange(words + 1, dtype="<i8") * docs),
+    )
+    tracemalloc.start()
+    shard = topk.Shard(row, float(words))
+    for _ in range(2):
+        shard.weigh([b"w1", b"w2"], np.array([1.0, 2.0]))
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 24 * len(postings) and most < 36 * len(postings)
