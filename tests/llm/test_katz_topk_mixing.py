@@ -284,3 +284,36 @@ def test_a_shard_holds_its_postings_in_little_memory():
     held, most = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert held < 24 * len(postings) and most < 36 * len(postings)
+
+
+@pytest.mark.parametrize("k", [3, 1000])
+def test_a_shard_adds_frequent_words_by_table_and_stays_exact(monkeypatch, k):
+    """Most postings of long queries are in the tables of frequent words; hits are those of a dense product."""
+    from types import SimpleNamespace
+
+    np, docs, words = topk.np, 700, 60
+    rng = np.random.default_rng(5)
+    tf = (rng.random((docs, words)) < np.linspace(0.01, 0.9, words)) * rng.integers(1, 4, (docs, words))
+    tf[100:150], tf[200] = tf[100], 0  # copies, and a document without words
+    lengths, (word, doc) = tf.sum(axis=1), np.nonzero(tf.T)
+    ids = [None if i == 120 else int(i) for i in rng.permutation(docs)]
+    row = SimpleNamespace(
+        ids=ids, lengths=lengths, vocabulary=b" ".join(b"w%d" % i for i in range(words)), postings=topk._pack(doc.astype("<i4")),
+        counts=topk._pack(tf.T[word, doc].astype("<i4")), starts=topk._pack(np.searchsorted(word, np.arange(words + 1)).astype("<i8")),
+    )
+    monkeypatch.setattr(topk, "AGAIN", 100)
+    shard, idf = topk.Shard(row, lengths.mean()), np.linspace(5, 0.1, words)
+    at = shard.weigh([b"w%d" % i for i in range(words)], idf)
+    assert at.tolist() == list(range(words))
+    queries = [np.flatnonzero(rng.random(words) < share) for share in np.linspace(0, 1, 30)]
+    part = tf * (topk.K1 + 1) / (topk.K1 * (1 - topk.B + topk.B * lengths / lengths.mean())[:, None] + tf)
+    want, floors = [], np.zeros(len(queries))
+    for q, terms in enumerate(queries):
+        scores = np.round(part[:, terms] @ idf[terms], topk.DECIMALS)
+        best = sorted(np.flatnonzero(scores > 0), key=lambda d: (-scores[d], ids[d] is None, ids[d] or 0))[:k]
+        want += [(q, int(d), round(float(scores[d]), 6)) for d in best]
+        floors[q] = scores[best[-1]] if q % 2 and len(best) == k else 0
+    got = [(int(q), int(d), round(float(s), 6)) for q, d, s in zip(*shard.search_all(queries, k, floors), strict=True)]
+    assert got == want
+    asked = np.concatenate(queries)
+    assert 10 * shard.sizes[asked].sum() < (tf > 0).sum(axis=0)[asked].sum()
