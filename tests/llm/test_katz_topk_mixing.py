@@ -317,3 +317,53 @@ def test_a_shard_adds_frequent_words_by_table_and_stays_exact(monkeypatch, k):
     assert got == want
     asked = np.concatenate(queries)
     assert 10 * shard.sizes[asked].sum() < (tf > 0).sum(axis=0)[asked].sum()
+
+
+@pytest.mark.parametrize("size", [1, 9, 1 << 20])
+def test_words_of_texts_are_those_of_each_text(size):
+    """Texts that are cut into words together keep their own words, however many bytes are taken at once."""
+    from shoalwise.llm.common import plain_words, words_of_texts
+
+    texts = [b"", b" ", "Ää b-C 9é".encode(), b"one", b"x\x00y\tz", b"  two  THREE ", b"", "日本 語".encode(), b"-"] * 3
+    got = []
+    for low, words, lengths in words_of_texts(texts, size):
+        assert low == len(got)
+        ends = topk.np.cumsum(lengths).tolist()
+        got += [words.slice(end - n, n).to_pylist() for end, n in zip(ends, lengths.tolist(), strict=True)]
+        assert ends[-1] == len(words)
+    assert got == [plain_words(t) for t in texts]
+    assert list(words_of_texts([], size)) == []
+
+
+def test_a_block_of_queries_costs_a_shard_little(monkeypatch):
+    """Words are looked up in the block's and not in all of the shard's; a query's products with a group are made once."""
+    from types import SimpleNamespace
+
+    np, docs, words = topk.np, 1500, 80
+    tf = np.random.default_rng(3).random((docs, words)) < np.linspace(0.01, 0.9, words)
+    word, doc = np.nonzero(tf.T)
+    row = SimpleNamespace(
+        ids=list(range(docs)), lengths=tf.sum(axis=1), vocabulary=b" ".join(b"w%d" % i for i in range(words)),
+        postings=topk._pack(doc.astype("<i4")), counts=topk._pack(np.ones(len(doc), "<i4")),
+        starts=topk._pack(np.searchsorted(word, np.arange(words + 1)).astype("<i8")),
+    )
+    shard = topk.Shard(row, 30.0)
+    tables, products = [], []
+    plain = topk.pc.index_in
+
+    def index_in(values, value_set):
+        tables.append(len(value_set))
+        return plain(values, value_set=value_set)
+
+    class Counted(np.ndarray):
+        def __rmatmul__(self, other):
+            products.append(len(other))
+            return other @ self.view(np.ndarray)
+
+    monkeypatch.setattr(topk, "pc", SimpleNamespace(index_in=index_in))
+    at = shard.weigh([b"w5", b"unknown", b"w70", b"w1"], np.array([5.0, 9.0, 0.5, 6.0]))
+    assert at.tolist() == [5, -1, 70, 1] and tables == [4]
+    shard.weigh([b"w%d" % i for i in range(words)], np.linspace(5, 0.1, words))
+    shard.groups = [(low, high, columns, table.view(Counted), largest) for low, high, columns, table, largest in shard.groups]
+    shard.search_all([np.arange(i, words, 3) for i in range(30)], 5, np.zeros(30))
+    assert 0 < sum(products) <= 30 * len(shard.groups)
